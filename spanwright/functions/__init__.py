@@ -1,0 +1 @@
+"""spanwright.functions"""
