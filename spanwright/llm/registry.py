@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanwright.llm import packing, secrets, url_filter
+from spanwright.llm import fingerprints, packing, secrets, url_filter
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
     "op7_secrets": secrets.op7_secrets,
     "op10_url_filter": url_filter.op10_url_filter,
 }
