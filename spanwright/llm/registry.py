@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spanwright.llm import fingerprints, packing, secrets, url_filter
+from spanwright.llm import fingerprints, packing, secrets, toxicity, url_filter
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op7_secrets": secrets.op7_secrets,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {"op10_url_filter": url_filter.OP10_SQL}
