@@ -26,7 +26,6 @@ def scratch(spark: SparkSession) -> str:
     if not shared:
         shared = os.path.join(tempfile.gettempdir(), "spanwright-checkpoints")
         os.makedirs(shared, exist_ok=True)
-        spark.conf.set("spark.spanwright.scratch", shared)
     return shared.rstrip("/")
 
 
@@ -34,6 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     path = f"{scratch(df.sparkSession)}/spanwright-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files that only the finished job needed
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

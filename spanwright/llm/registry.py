@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spanwright.llm import fingerprints, packing, secrets, toxicity, url_filter
+from spanwright.llm import fingerprints, packing, secrets, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_packing": packing.op2_packing,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op7_secrets": secrets.op7_secrets,
