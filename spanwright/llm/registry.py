@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanwright.llm import fingerprints, packing, secrets, suffix_dedup, toxicity, url_filter
+from spanwright.llm import fingerprints, ngram_join, packing, secrets, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op7_secrets": secrets.op7_secrets,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {"op10_url_filter": url_filter.OP10_SQL}

@@ -261,21 +261,22 @@ def spans_of(n: int, length: int, unique: list[tuple[int, int]]) -> list[tuple[i
     return [(s, e) for s, e in spans]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (what is kept, a character cut in two dropped), n_bytes, n_removed, n_spans, kept_sha256, spans."""
-    rows = _marked(docs, id_col, text_col)
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (what is kept, a character cut in two dropped), n_bytes, n_removed, n_spans, kept_sha256, spans, and the string columns ``carry``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).cast("string").alias(c) for c in carry])
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     ranges = unique_starts(docs, length, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+    schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + "".join(f", `{c}` string" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, text, ranges_ in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "ranges")), strict=True):
+            for d, text, ranges_, *rest in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "ranges", *carry)), strict=True):
                 raw = text.encode()
                 spans = spans_of(len(raw), length, [(r["lo"], r["hi"]) for r in ranges_ or ()])
                 kept = b"".join(raw[s:e] for s, e in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True))
-                out.append({"doc_id": d, "text": kept.decode("utf-8", "ignore"), "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": s, "end": e} for s, e in spans]})
-            arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+                out.append({"doc_id": d, "text": kept.decode("utf-8", "ignore"), "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": s, "end": e} for s, e in spans]} | dict(zip(carry, rest, strict=True)))
+            arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *[(c, pa.string()) for c in carry]])
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return _with_text(rows, ranges, "left").mapInArrow(run, schema)

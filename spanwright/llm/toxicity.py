@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -338,6 +339,21 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     return rows.mapInPandas(run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text scores under ``threshold``."""
+    if model is None:
+        return docs
+    small_batches(docs.sparkSession, 500)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(shared.value.score([t or "" for t in batch.column(text_col).to_pylist()]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score_toxicity(docs, fit(docs, labels))
