@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanwright.llm import fingerprints, html_text, ngram_join, packing, pieces, secrets, suffix_dedup, toxicity, url_filter
+from spanwright.llm import chroma, fingerprints, html_text, ngram_join, packing, pieces, secrets, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_pieces": pieces.op4_pieces,
     "op5_html_text": html_text.op5_html_text,
+    "op6_chroma": chroma.op6_chroma,
     "op7_secrets": secrets.op7_secrets,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ngram_join": ngram_join.op9_ngram_join,
