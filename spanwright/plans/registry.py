@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from spanwright.plans import corpus_queries
+
+QUERIES: dict = {**corpus_queries.QUERIES}
+ORACLES: dict = {**corpus_queries.ORACLES}
