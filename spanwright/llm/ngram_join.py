@@ -37,6 +37,8 @@ BLOCK = 2048
 #: Documents of the sample that orders tokens, and the most frequent tokens it may name.
 SAMPLE, NAMED = 20_000, 200_000
 LEAF = 32
+#: Up to this many classes in pairs, their ids are broadcast.
+BROADCAST_IDS = 200_000
 
 _SPACE = re.compile("[ \t-\r]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -129,6 +131,13 @@ class RTree:
         return self.order[at]
 
 
+def _identity(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
+    if not len(s):
+        return 0, 0
+    return int(s.sum(dtype=np.uint64).astype(np.int64)), int(_mixed(s ^ _MULT[3]).sum(dtype=np.uint64).astype(np.int64))
+
+
 SETS = "doc_id long, n int, h1 long, h2 long, prefix array<long>, point binary"
 
 
@@ -142,8 +151,9 @@ def _set_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> Da
             ids, sizes, h1, h2, prefixes, points = batch.column("doc_id"), [], [], [], [], []
             for s in token_sets(batch.column("text").to_pylist(), n):
                 sizes.append(len(s))
-                h1.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                h2.append(int(_mixed(s ^ _MULT[3]).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                a, b = _identity(s)
+                h1.append(a)
+                h2.append(b)
                 if len(s):
                     rank = np.searchsorted(last, s)
                     known = (rank < len(last)) & (last[np.minimum(rank, len(last) - 1)] == s) if len(last) else np.zeros(len(s), bool)
@@ -237,13 +247,14 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     rows = id_text(docs, id_col, text_col)
     sets = written(_set_rows(rows, _frequent(rows, n), n, percent), "sets")
     named = sets.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"))
+    classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
     # the class's own row: its smallest document's; equal sets have equal prefixes and points
-    heads = named.join(classes.select("h1", "h2", F.col("id").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2"]).select(F.xxhash64("h1", "h2").alias("id"), "n", "prefix", "point", F.col("doc_id").alias("rep"))
+    heads = named.join(classes, ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2", "doc_id"]).select(F.xxhash64("h1", "h2").alias("id"), "n", "prefix", "point", F.col("doc_id").alias("rep"))
     heads = written(heads, "heads")
-    tokens = heads.select("id", "n", "point", F.explode("prefix").alias("token"))
+    # most tokens are one class's alone: numbers only are shuffled until those are gone
+    tokens = heads.select("id", F.explode("prefix").alias("token"))
     met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = tokens.join(met, "token")
+    met = tokens.join(met, "token").join(heads.select("id", "n", "point"), "id")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
     met = met.withColumn("blocks", blocks).withColumn("own", own)
@@ -253,15 +264,19 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
     pairs = written(_candidates(members, percent).distinct(), "pairs")
     # exact counts, from the whole sets of the classes that are in a pair
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    reps = heads.select("id", "n", F.col("rep").alias("doc_id")).join(asked, "id", "left_semi")
+    reps = written(heads.select("id", F.col("rep").alias("doc_id")).join(asked, "id", "left_semi"), "asked")
+    few = reps.count() <= BROADCAST_IDS  # then 16 bytes each go to the tasks; more of them are joined by a shuffle
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = token_sets(batch.column("text").to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], names=["id", "tokens"])
+            marks = [_identity(x) for x in s]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], names=["id", "h1", "h2", "tokens"])
 
-    texts = rows.join(reps.select("doc_id", "id", "n"), "doc_id").select("id", "text")
-    full = written(texts.mapInArrow(whole, "id long, tokens array<long>"), "whole")
+    texts = rows.join(F.broadcast(reps) if few else reps, "doc_id").select("id", "text")
+    # a doc_id may have further texts, of other classes; equal texts are read once
+    full = texts.mapInArrow(whole, "id long, h1 long, h2 long, tokens array<long>").where(F.xxhash64("h1", "h2") == F.col("id")).dropDuplicates(["id"]).select("id", "tokens")
+    full = written(full, "whole")
     a, b = full.select(F.col("id").alias("a"), F.col("tokens").alias("x")), full.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     counted = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
     links = written(counted.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent), "links")
