@@ -200,13 +200,14 @@ def unique_starts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
     )
     lone = anchors.where("n = 1").select("doc_id", "text_hash", "lo", (F.col("lo") + F.col("far") - F.col("near")).alias("hi"))
     mixed = anchors.where("n > 1").select("anchor")
-    open_ = sampled.join(mixed, "anchor", "left_semi").groupBy("anchor", *kind).agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct(*place)).alias("place"))
-    open_ = open_.select("anchor", *kind, "copies", "place.*", F.xxhash64("anchor", *kind).alias("cid"))
+    # grouped by cid, not anchor: a hot anchor's rows are added up where the join has them, and its kinds go to many tasks
+    open_ = sampled.join(mixed, "anchor", "left_semi").withColumn("cid", F.xxhash64("anchor", *kind))
+    open_ = open_.groupBy("cid").agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("anchor", *kind, *place)).alias("row")).select("cid", "copies", "row.*")
     # the bytes around the anchors that are left are fetched once; of equal runs one stands for all
     wanted = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("cid", "anchor", "lo", "far", "near", "copies")).alias("runs"))
     contents = written(_with_text(rows, wanted, "inner").mapInArrow(lambda b: _cut(b, length), CONTENTS), "contents")
     dropped(sampled)
-    found, one = [lone], ["cid", "anchor", "node"]
+    found, one, spent = [lone], ["cid", "anchor", "node"], [contents]
     asked = contents.withColumn("nodes", _nodes(WIDTHS[0]))
     for k, width in enumerate(WIDTHS):
         ranked = asked.mapInArrow(lambda b, w=width: _rank_rows(b, w, length), RANKS)
@@ -215,7 +216,8 @@ def unique_starts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
         gone = single.where("kind = 0").select(*one)
         first, last = F.col("far") - (F.col("node") + 1) * width + 1, F.col("far") - F.col("node") * width
         at = contents.select("cid", "anchor", "doc_id", "text_hash", "lo", "far", "near")
-        found.append(gone.join(at, ["cid", "anchor"]).select("doc_id", "text_hash", (F.col("lo") + F.greatest(first, F.lit(0))).cast("int").alias("lo"), (F.col("lo") + F.least(last, F.col("far") - F.col("near"))).cast("int").alias("hi")))
+        found.append(written(gone.join(at, ["cid", "anchor"]).select("doc_id", "text_hash", (F.col("lo") + F.greatest(first, F.lit(0))).cast("int").alias("lo"), (F.col("lo") + F.least(last, F.col("far") - F.col("near"))).cast("int").alias("hi")), f"unique{k}"))
+        spent.append(single)
         if width == 1:
             break
         # split what is neither unique nor repeats in its whole reach; sets that their run's ends cut have no reach to test
@@ -228,6 +230,9 @@ def unique_starts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
         finer = inside.groupBy("cid", "anchor").agg(F.collect_set("node").alias("parents")).select("cid", "anchor", F.flatten(F.transform("parents", lambda n: F.transform(F.sequence(F.lit(0), F.lit(per - 1)), lambda i: (n * per + i).cast("int")))).alias("nodes"))
         asked = contents.join(finer, ["cid", "anchor"]).withColumn("nodes", F.filter("nodes", lambda i: ((i + 1) * w > F.col("near")) & (i * w <= F.col("far"))))  # noqa: B023
         asked = written(asked, f"asked{k}")
+        spent.append(asked)
+    for x in spent:
+        dropped(x)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
