@@ -10,7 +10,8 @@ classes link when 100 * common >= percent * union; a class's smallest doc_id sta
 * The classes under a token form an R-tree over their points. A point's search leaves out boxes and points whose summed
   coordinate minima, the most that the two sets can share, are too small. A token with more than BLOCK classes is dealt out as
   pairs of blocks of classes, each pair a task's work.
-* Pairs that pass are counted exactly, from the documents' whole sets.
+* What passes connects classes into components; the classes of a component meet with their whole sets, in blocks again, search
+  an R-tree of the component and count what they share with each survivor exactly.
 
 Defined cases: a null text counts as empty; a document without words has no set, links with nothing and is its own component;
 one of fewer than n words has the whole sequence as its one n-gram; repeated rows of a doc_id fall together (a doc_id with two
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import dropped, id_text, small_batches, table, written
+from spanwright.llm.common import id_text, small_batches, table, written
 from spanwright.llm.components import components
 
-GROUPS = 64
+GROUPS = 256
 BLOCK = 2048
 #: Documents of the sample that orders tokens, and the most frequent tokens it may name.
 SAMPLE, NAMED = 20_000, 200_000
@@ -159,7 +160,8 @@ def _set_rows(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> Da
                     known = (rank < len(last)) & (last[np.minimum(rank, len(last) - 1)] == s) if len(last) else np.zeros(len(s), bool)
                     first = np.concatenate([s[~known], s[known]])[: prefix_size(len(s), percent)]
                     prefixes.append(first.view(np.int64))
-                    points.append(np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS), 65535).astype("<u2").tobytes() if len(s) <= 65535 else np.bincount((s >> np.uint64(7)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype("<u4").tobytes())
+                    count = np.bincount((s >> np.uint64(7)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
+                    points.append(count.astype("<u1" if count.max() < 256 else "<u2" if count.max() < 65536 else "<u4").tobytes())
                 else:
                     prefixes.append(None)
                     points.append(None)
@@ -185,87 +187,155 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in counted.collect()], np.int64).view(np.uint64))
 
 
-PAIRS = "a long, b long"
+BLOCKED = ["key", "i", "j"]
+
+
+def _blocked(rows: DataFrame, size: str) -> DataFrame:
+    """``rows`` (key, id, ...) dealt out as pairs (i, j) of blocks of a key's ids, about BLOCK ids each; ``side`` says which."""
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(own <= o, 0).otherwise(1).alias("side")))
+    at = rows.withColumn("at", F.explode(spread)).withColumns({c: F.col(f"at.{c}") for c in ("i", "j", "side")}).drop("at", size)
+    return at.repartition(*BLOCKED).sortWithinPartitions(*BLOCKED, "side", "id")
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of one pair of blocks after the other; at most two blocks are held."""
+    held: list[tuple] = []
+    for batch in batches:
+        for r in zip(*(batch.column(n).to_pylist() for n in (*BLOCKED, "side", "id", *columns)), strict=True):
+            if held and held[-1][:3] != r[:3]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+class _Forest:
+    """Components of numbered rows, and the few edges that join them."""
+
+    def __init__(self, n: int) -> None:
+        self.of, self.edges = np.arange(n), []
+
+    def join(self, k: int, hits: np.ndarray) -> None:
+        other, first = np.unique(self.of[hits], return_index=True)
+        first = first[other != self.of[k]]
+        if len(first):
+            self.edges += [(k, int(h)) for h in hits[first]]
+            self.of[np.isin(self.of, other)] = self.of[k]
+
+
+def _points(raw: list[bytes]) -> np.ndarray:
+    """Count vectors; their bytes say how wide a count is."""
+    return np.array([np.frombuffer(r, {1: "<u1", 2: "<u2", 4: "<u4"}[len(r) // GROUPS]).astype(np.int32) for r in raw])
+
+
+def _sides(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Numbers of the rows that search, of those that are searched, and whether these are the same."""
+    if rows[0][1] == rows[0][2]:
+        every = np.arange(len(rows))
+        return every, every, True
+    side = np.array([r[3] for r in rows])
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), False
 
 
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes whose points allow a link, from rows (token, i, j, side, id, n, point) sorted by (token, i, j)."""
-
-    def meet(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r[4] for r in rows], np.int64)
-        size = np.array([r[5] for r in rows], np.int64)
-        kinds = [np.frombuffer(r[6], "<u2" if len(r[6]) == 2 * GROUPS else "<u4") for r in rows]
-        points = np.array([k.astype(np.int32) for k in kinds])
-        side = np.array([r[3] for r in rows])
-        one = rows[0][1] == rows[0][2]
-        left, right = (np.arange(len(rows)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        a, b = [], []
-        if len(left) and len(right):
-            if len(rows) <= LEAF and one:
-                common = np.minimum(points[:, None], points[None]).sum(2)
-                small, large = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
-                x, y = np.nonzero((common >= needed(size[:, None] + size, percent)) & (100 * small >= percent * large))
-                return ids[x[x < y]], ids[y[x < y]]
+    """(a, b): edges that connect the classes whose points allow a link under a common token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for rows in _meetings(batches, ("n", "point")):
+            left, right, one = _sides(rows)
+            if not len(left) or not len(right) or one and len(rows) < 2:
+                continue
+            points, size, forest = _points([r[6] for r in rows]), np.array([r[5] for r in rows], np.int64), _Forest(len(rows))
+            if one and len(rows) <= LEAF:  # a single leaf: its points are tested against each other
+                both = size[:, None] + size
+                ok = (np.minimum(points[:, None], points).sum(2) >= needed(both, percent)) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size))
+                if ok.sum() > len(rows):
+                    for k in left:
+                        forest.join(k, np.flatnonzero(ok[k]))
+                    out += [(rows[x][4], rows[y][4]) for x, y in forest.edges]
+                continue
             tree = RTree(points[right], size[right])
             for k in left:
-                hit = right[tree.search(points[k], int(size[k]), percent)]
-                if one:
-                    hit = hit[hit > k]
-                a.append(np.full(len(hit), ids[k]))
-                b.append(ids[hit])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+                forest.join(k, right[tree.search(points[k], int(size[k]), percent)])
+            out += [(rows[x][4], rows[y][4]) for x, y in forest.edges]
+            if len(out) > 50_000:
+                yield _edges(out)
+                out = []
+        if out:
+            yield _edges(out)
+
+    return members.mapInArrow(run, "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            out = []
-            for r in zip(*(batch.column(n).to_pylist() for n in ("token", "i", "j", "side", "id", "n", "point")), strict=True):
-                if held and held[-1][:3] != r[:3]:
-                    out.append(meet(held))
-                    held = []
-                held.append(r)  # at most two blocks
-            if out:
-                yield _pairs(out)
-        if held:
-            yield _pairs([meet(held)])
 
-    return members.mapInArrow(run, PAIRS)
+def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    if len(lo):
-        lo, hi = np.unique(np.stack([lo, hi]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))], names=["a", "b"])
+def _verified(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): of a component's classes, edges (a, b) that connect what is linked, and rows (a, null, n): n links of a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _meetings(batches, ("point", "tokens")):
+            left, right, one = _sides(rows)
+            if not len(left) or not len(right) or one and len(rows) < 2:
+                continue
+            sets = [np.array(r[6], np.int64) for r in rows]
+            points, size, forest = _points([r[5] for r in rows]), np.array([len(x) for x in sets], np.int64), _Forest(len(rows))
+            tree, degree = RTree(points[right], size[right]), np.zeros(len(rows), np.int64)
+            # the searched sets' tokens, each with its holders side by side
+            held = np.concatenate([sets[k] for k in right])
+            holder = np.repeat(np.arange(len(right)), size[right])
+            order = np.argsort(held, kind="stable")
+            held, holder = held[order], holder[order]
+            for k in left:
+                near = tree.search(points[k], int(size[k]), percent)
+                near = near[right[near] != k]
+                if not len(near):
+                    continue
+                lo, hi = np.searchsorted(held, sets[k], "left"), np.searchsorted(held, sets[k], "right")
+                spans = hi - lo
+                at = np.repeat(lo - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+                common = np.bincount(holder[at], minlength=len(right))[near]
+                hits = right[near[100 * common >= percent * (size[k] + size[right[near]] - common)]]
+                degree[k] += len(hits)
+                if not one:
+                    degree[hits] += 1
+                forest.join(k, hits)
+            linked = np.flatnonzero(degree)
+            a = [rows[x][4] for x, _ in forest.edges] + [rows[k][4] for k in linked]
+            if a:
+                b = [rows[y][4] for _, y in forest.edges] + [None] * len(linked)
+                n = [None] * len(forest.edges) + degree[linked].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    return members.mapInArrow(run, "a long, b long, n long")
 
 
 def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sets, links): each document's set size, identity and class; the links between different classes with their overlap."""
+    """(sets, links): each document's set size and class; edges (a, b, null) that connect linked classes, and link numbers (a, null, n)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = id_text(docs, id_col, text_col)
     sets = written(_set_rows(rows, _frequent(rows, n), n, percent), "sets")
     named = sets.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
     # the class's own row: its smallest document's; equal sets have equal prefixes and points
+    classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
     heads = named.join(classes, ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2", "doc_id"]).select(F.xxhash64("h1", "h2").alias("id"), "n", "prefix", "point", F.col("doc_id").alias("rep"))
     heads = written(heads, "heads")
     # most tokens are one class's alone: numbers only are shuffled until those are gone
-    tokens = heads.select("id", F.explode("prefix").alias("token"))
-    met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = tokens.join(met, "token").join(heads.select("id", "n", "point"), "id")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
-    met = met.withColumn("blocks", blocks).withColumn("own", own)
-    spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
-    members = met.select("token", "id", "n", "point", F.explode(spread).alias("at")).select("token", "at.i", "at.j", "at.side", "id", "n", "point")
-    members = members.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side", "id")
-    pairs = written(_candidates(members, percent).distinct(), "pairs")
-    # exact counts, from the whole sets of the classes that are in a pair
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    reps = written(heads.select("id", F.col("rep").alias("doc_id")).join(asked, "id", "left_semi"), "asked")
-    few = reps.count() <= BROADCAST_IDS  # then 16 bytes each go to the tasks; more of them are joined by a shuffle
+    tokens = heads.select("id", F.explode("prefix").alias("key"))
+    met = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = tokens.join(met, "key").join(heads.select("id", "n", "point"), "id")
+    joined = components(_candidates(_blocked(met, "m"), percent))
+    # a component's classes meet with their whole sets, and links are counted exactly
+    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    asked = written(joined.join(sizes, "component").join(heads.select("id", "point", "rep"), "id").select("id", F.col("component").alias("key"), "m", "point", F.col("rep").alias("doc_id")), "asked")
+    few = asked.count() <= BROADCAST_IDS  # then a few hundred bytes each go to the tasks; more of them are joined by a shuffle
+    ids = asked.select("id", "doc_id")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,23 +343,18 @@ def ngram_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "d
             marks = [_identity(x) for x in s]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], names=["id", "h1", "h2", "tokens"])
 
-    texts = rows.join(F.broadcast(reps) if few else reps, "doc_id").select("id", "text")
+    texts = rows.join(F.broadcast(ids) if few else ids, "doc_id").select("id", "text")
     # a doc_id may have further texts, of other classes; equal texts are read once
     full = texts.mapInArrow(whole, "id long, h1 long, h2 long, tokens array<long>").where(F.xxhash64("h1", "h2") == F.col("id")).dropDuplicates(["id"]).select("id", "tokens")
-    full = written(full, "whole")
-    a, b = full.select(F.col("id").alias("a"), F.col("tokens").alias("x")), full.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    counted = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
-    links = written(counted.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent), "links")
-    for x in (pairs, full):
-        dropped(x)
+    links = written(_verified(_blocked(full.join(asked.select("id", "key", "m", "point"), "id"), "m"), percent), "links")
     return sets.select("doc_id", "n", F.when(F.col("n") > 0, F.xxhash64("h1", "h2")).alias("class")), links
 
 
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class, n_links (links of its class with other classes) and component_id of every document."""
     sets, links = ngram_links(docs, n, percent, id_col, text_col)
-    joined = components(links)
-    degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    joined = components(links.where("b is not null"))
+    degree = links.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
     least = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     grouped = joined.join(least.withColumnRenamed("class", "id"), "id")
     of = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
