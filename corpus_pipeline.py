@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near duplicates link, directly or over others, the one of the smallest doc_id stays."""
-    return ngram_join.keep_one(docs.select(*COLUMNS))
+    """Of documents that near duplicates (0.8 of their 5-word shingles are common) link, directly or over others, the one of the smallest doc_id stays."""
+    return ngram_join.keep_one(docs.select(*COLUMNS), n=5, percent=80)
 
 
 def remove_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -364,10 +364,10 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
 
 
 def op9_ngram_join(spark, sf_dir):
-    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id. Rows without an id stay."""
     extra = ngram_components(docs, n, percent, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(extra, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

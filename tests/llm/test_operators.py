@@ -346,3 +346,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept) == {1, 3, 4, 5, 6} and kept[1] == a and p not in kept[3] + kept[4] and "[SECRET]" in kept[5] and kept[6] == ""
     pieces_ = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in pieces_} == set(kept)
+
+
+def test_near_copies_of_the_stage_match_brute_force(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    vocab = ["v%d" % k for k in range(3000)]
+    texts = []
+    for _ in range(12):
+        w = [r.choice(vocab) for _ in range(r.randint(100, 140))]
+        cut, edited = w[: round(len(w) * r.uniform(0.8, 0.86))], list(w)
+        for at in range(9, len(w), len(w) // 2):
+            edited[at] = "other"
+        texts += [w, cut, w + [r.choice(vocab) for _ in range(round(len(w) * r.uniform(0.15, 0.3)))], edited]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    up, between = list(range(len(texts))), 0
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                between += 100 * len(a & sets[j]) < 85 * len(a | sets[j])
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    assert between > 10
+    docs = frame(spark, [(k, " ".join(w), "en", "s", 0) for k, w in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x["doc_id"] for x in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
+    assert kept == {top(k) for k in range(len(texts))}
