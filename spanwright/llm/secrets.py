@@ -6,8 +6,8 @@ segmentation into dictionary words, dates, repeats, keyboard walks, character se
 segmentation of k parts costs k! times the product of the parts' guesses. Documents are scanned whole and one by one.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each for itself; an empty table gives
-an empty result; further columns are ignored; of a value's length only the first MAX_VALUE code points enter the programme,
-as longer ones are dear by then.
+an empty result; further columns are ignored; values of any length are costed whole; a guessed value is left out only where base
+spans cover all of it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +34,6 @@ CONTEXT = re.compile(
 )
 #: A document without any of these (lower-cased) has no assignment and no context.
 HINTS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "authorization", "bearer")
-MAX_VALUE = 64
 #: log10 of the guesses from which a value counts as a secret.
 MIN_LOG10 = 8.0
 
@@ -93,26 +93,71 @@ def segments(value: str) -> Iterator[tuple[int, int, float]]:
             if (times := (j - i) // unit) >= 2 and unit * times >= 3:
                 yield i, i + unit * times, unit * math.log10(_alphabet(value[i : i + unit])) + math.log10(times)
             i = max(i + 1, j - unit + 1)
-    i = 0
-    while i < n - 2:  # keyboard walks, and sequences such as abcd or 9876
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEAR:
-            j += 1
-        turns = sum(1 for k in range(i + 2, j) if ord(low[k]) - ord(low[k - 1]) != ord(low[k - 1]) - ord(low[k - 2]))
-        if j - i >= 3:
-            yield i, j, math.log10(47 * 4.6) + math.log10(j - i) + 0.5 * min(turns, j - i)
-        step, k = (ord(value[i + 1]) - ord(value[i])), i + 1
-        while k < n and ord(value[k]) - ord(value[k - 1]) == step:
-            k += 1
-        if k - i >= 3 and abs(step) in (1, 2):
-            yield i, k, math.log10(26 * 2 * (k - i))
-        i += 1
+    # keyboard walks, and sequences such as abcd or 9876: where those that hold i and i + 1 end, and the turns up to a character
+    walk, line, turns = [n] * (n + 1), [n] * (n + 1), [0] * (n + 1)
+    for i in range(n - 2, -1, -1):
+        walk[i] = walk[i + 1] if (low[i], low[i + 1]) in NEAR else i + 1
+        line[i] = line[i + 1] if i + 2 < n and ord(value[i + 2]) - ord(value[i + 1]) == ord(value[i + 1]) - ord(value[i]) else i + 2
+    for k in range(2, n):
+        turns[k] = turns[k - 1] + (ord(low[k]) - ord(low[k - 1]) != ord(low[k - 1]) - ord(low[k - 2]))
+    for i in range(n - 2):
+        if (j := walk[i]) - i >= 3:
+            yield i, j, math.log10(47 * 4.6) + math.log10(j - i) + 0.5 * (turns[j - 1] - turns[i + 1])
+        if (j := line[i]) - i >= 3 and abs(ord(value[i + 1]) - ord(value[i])) in (1, 2):
+            yield i, j, math.log10(26 * 2 * (j - i))
+
+
+def _log10_factorial(k: int) -> float:
+    return math.lgamma(k + 1) / math.log(10)
+
+
+def _priced(n: int, one: float, ends: dict[int, list[tuple[int, float]]], price: float) -> tuple[float, int]:
+    """Cheapest sum of the parts' log10 guesses and ``price`` a part over ``n`` characters, and its number of parts (the least)."""
+    part, brute = [(0.0, 0)], [(math.inf, 0)]  # the last part is a segment, or a brute-force stretch
+    for e in range(1, n + 1):
+        (a, k), (b, m) = part[-1], brute[-1]
+        brute.append(min((a + one + price, k + 1), (b + one, m)))
+        best = (math.inf, 0)
+        for s, g in ends.get(e, ()):
+            c, k = min(part[s], brute[s])
+            best = min(best, (c + g + price, k + 1))
+        part.append(best)
+    return min(part[-1], brute[-1])
+
+
+def _counted(n: int, one: float, ends: dict[int, list[tuple[int, float]]], most: int) -> float:
+    """The programme over every number of parts up to ``most``."""
+    last: dict[int, int] = {}
+    for e, parts in ends.items():
+        for s, _ in parts:
+            last[s] = max(last.get(s, 0), e)
+    leaving: dict[int, list[int]] = {}
+    for s, e in last.items():
+        leaving.setdefault(e, []).append(s)
+    part, brute = np.full(most + 1, np.inf), np.full(most + 1, np.inf)
+    part[0] = 0.0
+    held = {0: part}  # rows that a later segment starts from
+    for e in range(1, n + 1):
+        grown = brute + one
+        grown[1:] = np.minimum(grown[1:], part[:-1] + one)
+        part, brute = np.full(most + 1, np.inf), grown
+        for s, g in ends.get(e, ()):
+            part[1:] = np.minimum(part[1:], held[s][:-1] + g)
+        for s in leaving.get(e, ()):
+            del held[s]
+        if e in last:
+            held[e] = np.minimum(part, brute)
+    return float(min(g + _log10_factorial(k) for k, g in enumerate(np.minimum(part, brute).tolist())))
 
 
 @lru_cache(maxsize=4096)
 def log10_guesses(value: str) -> float:
-    """Cost of the cheapest segmentation: log10 of k! times the parts' guesses, k the number of parts."""
-    value = value[:MAX_VALUE]
+    """Cost of the cheapest segmentation: log10 of k! times the parts' guesses, k the number of parts.
+
+    With a fixed price a part the programme needs no part counts, and its optimum bounds every segmentation from below: one of k
+    parts costs log10(k!) - price * k more than it at least. The whole programme runs only over numbers of parts that no such
+    bound rules out, so values of thousands of characters stay cheap.
+    """
     n = len(value)
     if not n:
         return 0.0
@@ -120,22 +165,27 @@ def log10_guesses(value: str) -> float:
     ends: dict[int, list[tuple[int, float]]] = {}
     for i, j, g in segments(value):
         ends.setdefault(j, []).append((i, g))
-    most = n
-    # best[e][k]: cheapest product over the first e characters in k parts
-    best = [[math.inf] * (most + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for e in range(1, n + 1):
-        here = best[e]
-        for s in range(e):  # a brute-force stretch; two of them side by side are one
-            cost = max(1.0, one * (e - s))
-            for k, before in enumerate(best[s][: e]):
-                if before + cost < here[k + 1]:
-                    here[k + 1] = before + cost
-        for s, cost in ends.get(e, ()):
-            for k, before in enumerate(best[s][: e]):
-                if before + cost < here[k + 1]:
-                    here[k + 1] = before + cost
-    return min(g + math.lgamma(k + 1) / math.log(10) for k, g in enumerate(best[n]) if g < math.inf)
+    lo, hi = 0.0, math.log10(n + 1)
+    upper, bounds = one * n, []
+    for step in range(12):
+        price = (lo + hi) / 2 if step else 0.0
+        total, k = _priced(n, one, ends, price)
+        upper = min(upper, total - price * k + _log10_factorial(k))
+        bounds.append((total, price))
+        if not step and k == 1 or math.log10(k) <= price <= math.log10(k + 1):
+            return upper  # the bound itself is reached
+        lo, hi = (price, hi) if math.log10(k) > price else (lo, price)
+    open_ = [k for k in range(1, n + 1) if all(total + _log10_factorial(k) - price * k < upper - 1e-9 for total, price in bounds)]
+    return min(upper, _counted(n, one, ends, open_[-1])) if open_ else upper
+
+
+def _uncovered(s: int, e: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether a character of [s, e) lies outside ``spans``."""
+    for a, b in sorted(spans):
+        if a > s:
+            break
+        s = max(s, b)
+    return s < e
 
 
 def scan(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int, float]]:
@@ -153,7 +203,7 @@ def scan(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int, f
         for m in CONTEXT.finditer(text):
             s, e = m.span(1)
             e -= len(m[1]) - len(m[1].rstrip(".)]}:!?"))
-            if e - s >= 6 and not any(a < e and s < b for a, b in base) and (g := log10_guesses(text[s:e])) >= min_log10:
+            if e - s >= 6 and _uncovered(s, e, base) and (g := log10_guesses(text[s:e])) >= min_log10:
                 found.append((s, 3, "guess", e, g))
     return [(kind, s, e, g) for s, _, kind, e, g in sorted(found)]
 

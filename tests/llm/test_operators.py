@@ -220,6 +220,37 @@ def test_guess_cost_is_the_minimum():
     assert secrets.log10_guesses(value) == pytest.approx(walk(0, 0, 0.0))
 
 
+def test_long_values_are_costed_whole():
+    import math
+    import time
+
+    def brute(value):
+        n, one, best = len(value), math.log10(secrets._alphabet(value)), [{0: 0.0}]
+        parts = list(secrets.segments(value))
+        for e in range(1, n + 1):
+            here = {}
+            for s, g in [(s, one * (e - s)) for s in range(e)] + [(i, g) for i, j, g in parts if j == e]:
+                for k, c in best[s].items():
+                    here[k + 1] = min(here.get(k + 1, math.inf), c + g)
+            best.append(here)
+        return min(c + math.lgamma(k + 1) / math.log(10) for k, c in best[n].items())
+
+    r = random.Random(8)
+    made = lambda: "".join(r.choice([r.choice(secrets.WORDS), "1987-03-12", "qwerty", "abcd", "aaaa", r.choice("xkQ7#zJ!2")]) for _ in range(r.randint(1, 14)))
+    for value in ["0" * 64 + "gV7#kq9!Lm2x", *(made() for _ in range(40))]:
+        assert secrets.log10_guesses(value) == pytest.approx(brute(value)), value
+    key = "0" * 64 + "gV7#kq9!Lm2x"
+    assert secrets.mask("passphrase: " + key + " end") == "passphrase: [SECRET] end"
+    began = time.time()
+    assert secrets.log10_guesses("0" * 20000 + "gV7#kq9!Lm2x") > 8 and secrets.log10_guesses("qw" * 5000) < secrets.log10_guesses("".join(r.choice("abcXYZ019#") for _ in range(5000)))
+    assert time.time() - began < 20
+
+
+def test_values_beyond_base_spans_are_masked():
+    assert secrets.mask("a password=correct!Horse#9 b") == "a [SECRET] b"
+    assert [k for k, *_ in secrets.scan("token=abcdef12Q7zz")] == ["assign"]
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
