@@ -5,6 +5,11 @@ Base spans come from fixed patterns. Beside them, a value that stands in a wider
 segmentation into dictionary words, dates, repeats, keyboard walks, character sequences and brute-force stretches, where a
 segmentation of k parts costs k! times the product of the parts' guesses. Documents are scanned whole and one by one.
 
+The dictionary has three ranked lists: passwords that guessers try first, common English words, and the words of the corpus
+itself by the number of documents that hold them outside credential values (a secret that only stands where secrets stand does
+not become a word by being copied). Words of MIN_DOCS documents or more count; of a large corpus so many as fit MAX_WORDS,
+words of equal numbers of documents being in or out together. Any other word is costed as brute force.
+
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each for itself; an empty table gives
 an empty result; further columns are ignored; values of any length are costed whole; a guessed value is left out only where base
 spans cover all of it.
@@ -23,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import id_text, small_batches, table
+from spanwright.llm.common import dropped, id_text, small_batches, table, written
+from spanwright.llm.words import COMMON
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -44,7 +50,23 @@ WORDS = (
     "summer winter spring autumn orange purple yellow silver golden london paris berlin madrid google apple server default change "
     "example sample demo public private database system network temp pass key api none null true false string value your here"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+#: Words of the corpus: least number of documents, most words of the dictionary, lengths; counts that a task holds before it hands them on.
+MIN_DOCS, MAX_WORDS, SHORTEST, LONGEST, HELD = 5, 100_000, 3, 24, 200_000
+WORD = re.compile(r"[^\W\d_]+")
+
+
+class Words:
+    """Ranked words; each list ranks for itself, and a word has its best rank."""
+
+    def __init__(self, *lists: list[str]) -> None:
+        self.rank: dict[str, int] = {}
+        for words in lists:
+            for k, w in enumerate(words, 1):
+                self.rank[w] = min(k, self.rank.get(w, k))
+        self.longest = max(map(len, self.rank))
+
+
+BASE = Words(WORDS, COMMON)
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 DATES = re.compile(r"(?:19|20)\d\d(?:([-/.]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])([-/.])(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d")
@@ -68,18 +90,19 @@ def _alphabet(s: str) -> int:
     return max(10, size + 33 * any(not c.isalnum() and c.isascii() for c in s) + 100 * any(not c.isascii() for c in s))
 
 
-def segments(value: str) -> Iterator[tuple[int, int, float]]:
+def segments(value: str, words: Words = BASE) -> Iterator[tuple[int, int, float]]:
     """(start, end, log10 guesses) of every part that is cheaper than brute force may be."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
+    forms, get = ((low, 1), (plain, 2)) if plain != low else ((low, 1),), words.rank.get
     for i in range(n):
-        for j in range(i + 3, min(n, i + 12) + 1):
-            for form, factor in ((low, 1), (plain, 2)):
-                if (rank := RANK.get(form[i:j])) is not None:
+        for j in range(i + SHORTEST, min(n, i + words.longest) + 1):
+            for form, factor in forms:
+                if (rank := get(form[i:j])) is not None:
                     upper = sum(c.isupper() for c in value[i:j])
                     cased = 1 if not upper else 2 if upper in (1, j - i) else 2 ** min(upper, j - i - upper + 1) + 1
                     yield i, j, math.log10(rank * cased * factor + 1)
-                if (rank := RANK.get(form[i:j][::-1])) is not None:
+                if (rank := get(form[i:j][::-1])) is not None:
                     yield i, j, math.log10(rank * 2 * factor + 1)
     for i in range(n):
         if m := DATES.match(value, i):
@@ -151,7 +174,7 @@ def _counted(n: int, one: float, ends: dict[int, list[tuple[int, float]]], most:
 
 
 @lru_cache(maxsize=4096)
-def log10_guesses(value: str) -> float:
+def log10_guesses(value: str, words: Words = BASE) -> float:
     """Cost of the cheapest segmentation: log10 of k! times the parts' guesses, k the number of parts.
 
     With a fixed price a part the programme needs no part counts, and its optimum bounds every segmentation from below: one of k
@@ -163,7 +186,7 @@ def log10_guesses(value: str) -> float:
         return 0.0
     one = math.log10(_alphabet(value))
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, g in segments(value):
+    for i, j, g in segments(value, words):
         ends.setdefault(j, []).append((i, g))
     lo, hi = 0.0, math.log10(n + 1)
     upper, bounds = one * n, []
@@ -188,22 +211,22 @@ def _uncovered(s: int, e: int, spans: list[tuple[int, int]]) -> bool:
     return s < e
 
 
-def scan(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int, float]]:
+def scan(text: str, min_log10: float = MIN_LOG10, words: Words = BASE) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, log10 guesses) by start, then kind: assign, access, hex, guess."""
     found = []
     low = text.lower()
     hinted = any(h in low for h in HINTS)
     if hinted:
-        found += [(m.start(), 0, "assign", m.end(), log10_guesses(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), 0, "assign", m.end(), log10_guesses(m[2], words)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
-        found += [(m.start(), 1, "access", m.end(), log10_guesses(m[0])) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), 2, "hex", m.end(), log10_guesses(m[0])) for m in HEX.finditer(text)]
+        found += [(m.start(), 1, "access", m.end(), log10_guesses(m[0], words)) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, "hex", m.end(), log10_guesses(m[0], words)) for m in HEX.finditer(text)]
     if hinted:
         base = [(s, e) for s, _, _, e, _ in found]
         for m in CONTEXT.finditer(text):
             s, e = m.span(1)
             e -= len(m[1]) - len(m[1].rstrip(".)]}:!?"))
-            if e - s >= 6 and _uncovered(s, e, base) and (g := log10_guesses(text[s:e])) >= min_log10:
+            if e - s >= 6 and _uncovered(s, e, base) and (g := log10_guesses(text[s:e], words)) >= min_log10:
                 found.append((s, 3, "guess", e, g))
     return [(kind, s, e, g) for s, _, kind, e, g in sorted(found)]
 
@@ -211,22 +234,61 @@ def scan(text: str, min_log10: float = MIN_LOG10) -> list[tuple[str, int, int, f
 SPANS = "array<struct<kind:string,start:long,end:long,log10_guesses:double>>"
 
 
+def _counted_words(texts: Iterator[str]) -> Iterator[dict[str, int]]:
+    """Numbers of the texts that hold each word outside credential values, in parts of about HELD words."""
+    count: dict[str, int] = {}
+    for t in texts:
+        low = t.lower()
+        if any(h in low for h in HINTS):
+            for pattern, k in ((CONTEXT, 1), (ASSIGN, 2)):
+                low = pattern.sub(lambda m, k=k: m[0][: m.start(k) - m.start()], low)
+        for w in set(WORD.findall(low)):
+            if SHORTEST <= len(w) <= LONGEST:
+                count[w] = count.get(w, 0) + 1
+        if len(count) >= HELD:
+            yield count
+            count = {}
+    yield count
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text") -> Words:
+    """The dictionary with the words of ``docs``; at most MAX_WORDS of them come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for count in _counted_words(t or "" for batch in batches for t in batch.column(0).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    words = written(texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS), "words")
+    # numbers of documents that occur: their sum is at most the corpus's words, so they are few
+    least, total = None, 0
+    for r in sorted(words.groupBy("n").count().collect(), reverse=True):
+        total += r["count"]
+        if total > MAX_WORDS:
+            break
+        least = r["n"]
+    ranked = [] if least is None else sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
+    dropped(words)
+    return Words(WORDS, COMMON, [r["word"] for r in ranked])
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = MIN_LOG10, keep_text: bool = False) -> DataFrame:
     """doc_id and the found spans (code points, end exclusive); ``keep_text`` also hands the text on."""
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text_col))  # at most MAX_WORDS words and the fixed lists
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf if keep_text else pdf[["doc_id"]]
-            yield out.assign(spans=[[dict(zip(("kind", "start", "end", "log10_guesses"), x, strict=True)) for x in scan(t, min_log10)] for t in pdf["text"]])
+            yield out.assign(spans=[[dict(zip(("kind", "start", "end", "log10_guesses"), x, strict=True)) for x in scan(t, min_log10, shared.value)] for t in pdf["text"]])
 
     return id_text(docs, id_col, text_col).mapInPandas(run, f"doc_id long, {'text string, ' if keep_text else ''}spans {SPANS}")
 
 
-def mask(text: str, min_log10: float = MIN_LOG10, mark: str = "[SECRET]") -> str:
+def mask(text: str, min_log10: float = MIN_LOG10, mark: str = "[SECRET]", words: Words = BASE) -> str:
     """The text with every found span, overlapping ones as one, replaced by ``mark``."""
     out, at = [], 0
-    for _, s, e, _ in scan(text, min_log10):
+    for _, s, e, _ in scan(text, min_log10, words):
         if s >= at:
             out += [text[at:s], mark]
         at = max(at, e)
@@ -237,11 +299,12 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", min_log10: float = MIN
     """``docs`` with the spans of its texts masked, all columns kept; null texts become empty."""
     small_batches(docs.sparkSession)
     schema = docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
-            yield batch.set_column(k, batch.schema.field(k), pa.array([mask(t or "", min_log10) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
+            yield batch.set_column(k, batch.schema.field(k), pa.array([mask(t or "", min_log10, words=shared.value) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
 
     return docs.mapInArrow(run, schema)
 

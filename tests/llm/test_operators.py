@@ -251,6 +251,18 @@ def test_values_beyond_base_spans_are_masked():
     assert [k for k, *_ in secrets.scan("token=abcdef12Q7zz")] == ["assign"]
 
 
+def test_prose_after_credential_words_is_left_alone(spark):
+    for text in ["The secret is simple.", "the token is invalid", "Your passphrase: required", "The password is missing, and the token is expired."]:
+        assert secrets.mask(text) == text
+    assert secrets.mask("the secret is gV7#kq9!Lm2x") == "the secret is [SECRET]"
+    # words of the corpus count, but not by standing where secrets stand
+    rows = [(k, "a vexomple stands here") for k in range(6)] + [(k, "passphrase: qvzkwx") for k in range(10, 20)] + [(30, "the secret is vexomple"), (31, None)]
+    got = {x["doc_id"]: x["text"] for x in secrets.mask_secrets(frame(spark, rows)).collect()}
+    assert got[30] == "the secret is vexomple" and got[10] == "passphrase: [SECRET]" and got[0] == rows[0][1]
+    found = {x["doc_id"]: [s["kind"] for s in x["spans"]] for x in secrets.find_secrets(frame(spark, rows)).collect()}
+    assert found[30] == [] and found[10] == ["guess"] and len(found) == len(rows)
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
