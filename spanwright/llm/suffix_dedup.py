@@ -1,11 +1,11 @@
-"""Removal of long repeated byte strings, by prefix doubling over sampled positions.
+"""Removal of long repeated byte strings, by hashes of strings around minimum-hash anchors (in place of prefix doubling).
 
 A byte goes if a string of ``length`` bytes that covers it also starts somewhere else. Ranking every position would shuffle
 many times the corpus, so positions are ranked through samples that equal strings share: the anchor of a start p is the
 leftmost place of the smallest hash of SEED bytes within [p, p + length). Starts in a row with one anchor make a run, about
 one for each 190 bytes; equal strings have equal anchors at equal distances, so only runs of one anchor can hold them.
 
-Each round ranks what is left by longer strings around the anchor. Spark sorts the pairs (rank so far, string added) and what
+Each round hashes longer strings around the anchor, for what is left. Spark groups by the hashes and what
 is unique leaves: its starts are kept for good. What repeats in the whole reach of a set of starts leaves too: they all go.
 The compared strings grow from the anchor's SEED bytes towards ``length``, where every start stands for itself:
 
