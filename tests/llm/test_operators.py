@@ -251,6 +251,25 @@ def test_values_beyond_base_spans_are_masked():
     assert [k for k, *_ in secrets.scan("token=abcdef12Q7zz")] == ["assign"]
 
 
+#: Credential contexts, and whether the value there is found by the guess programme (the rest are base patterns).
+PLANTED = (
+    "passphrase: {}", "my pwd={} ok", "export DB_PASSWORD_PROD='{}'", 'SECRET_KEY_BASE={}\n', "db_password: {}", '"api-key" => "{}"', "Authorization: Basic {}", "authorization = Token {}", "curl -H 'x: Bearer {}'",
+    "mysql --password={} -u x", "tool --api-key {} run", "<db:password>{}</db:password>", "postgres://user:{}@db.host/x", "https://u:{}@example.com", "the secret is {}.", "credentials := {}", "config['token'] = '{}'", "private_key is {}",
+)
+
+
+def test_planted_values_are_found():
+    r = random.Random(12)
+    made = ["".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%+_") for _ in range(r.randint(10, 40))) + "7x" for _ in range(20)]
+    missed = [(c, v) for c in PLANTED for v in made if v in secrets.mask("Some words before. " + c.format(v) + " and after")]
+    assert not missed, missed[:5]
+    for c in PLANTED:  # what is guessed at once is no secret, wherever the base patterns don't say so
+        text = c.format("password1")
+        assert not [x for x in secrets.scan(text) if x[0] == "guess"], text
+    for plain in ("see https://example.com:8080/a@b", "bearer of the message", "a key: value store", "mailto:someone@example.com", "the pass is closed", "tokens of thanks"):
+        assert secrets.mask(plain) == plain
+
+
 def test_prose_after_credential_words_is_left_alone(spark):
     for text in ["The secret is simple.", "the token is invalid", "Your passphrase: required", "The password is missing, and the token is expired."]:
         assert secrets.mask(text) == text
@@ -329,12 +348,32 @@ def test_ngram_components(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     rows += [(900, None), (901, ""), (902, "a b"), (903, "A  B"), (904, "a"), (905, "  "), (906, "x\ty z\n q r"), (907, "x y z q r"), (908, "É x y z"), (909, "é x y z")]
     monkeypatch.setattr(ngram_join, "BLOCK", 16)  # hot tokens are dealt out in blocks
-    got = sorted(tuple(x) for x in ngram_join.ngram_components(clashing(spark, rows)).select("doc_id", "n_shingles", "component_id").collect())
+    got = sorted(tuple(x) for x in ngram_join.ngram_components(clashing(spark, rows), 4, 85).select("doc_id", "n_shingles", "component_id").collect())
     assert got == brute_components(rows)
     assert ngram_join.ngram_components(frame(spark, [])).count() == 0
     assert len(ngram_join.ngram_components(frame(spark, ODD)).collect()) == len(ODD)
 
 
+def test_token_sets_match_python(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(11)
+    texts = [" ".join("W%d" % r.randrange(300) for _ in range(r.randint(0, 60))) for _ in range(60)] + ["A  B", "a b", "É x y z", "é x y z", " x y ", "", None, "x" * 600 + " b", "X" * 600 + " B", "y" * 3000 + "\x1c z\x85q", "\u00a0 t"]
+    words = lambda t: [x for x in re.split("[ \t-\r]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+    for piece in (1 << 19, 700):  # a text longer than a piece is read in several
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        for n in (1, 4, 5):
+            want, got, at = [], [], 0
+            for t in texts:
+                w = words(t)
+                want.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+            for a, z, tokens, edges in ngram_join.token_sets(pa.array(texts), n):
+                assert a == at
+                got, at = got + [set(tokens[s:e].tolist()) for s, e in zip(edges[:-1], edges[1:])], z
+            assert at == len(texts) and [len(x) for x in got] == [len(x) for x in want]
+            assert all((len(got[i] & got[j]) == len(want[i] & want[j])) for i in range(len(texts)) for j in range(i))
+
+
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 6, (500, ngram_join.GROUPS)).astype(np.int32)
