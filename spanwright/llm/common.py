@@ -53,8 +53,9 @@ def slices(edges: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
 
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-#: A number for each byte, the same one for A-Z and a-z.
-_VALUE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+#: A number for each byte, and the same with A-Z read as a-z.
+_PLAIN = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_FOLDED = _PLAIN[_LOWER]
 #: Bytes that end a word: white space.
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = 0x9E3779B97F4A7C15
@@ -79,7 +80,7 @@ def _scales(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _piece_words(b: np.ndarray, edges: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece_words(b: np.ndarray, edges: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = ends[b]
     turn = np.flatnonzero(np.diff(space, prepend=True, append=True))
     lo, hi = turn[::2], turn[1::2]
@@ -89,27 +90,28 @@ def _piece_words(b: np.ndarray, edges: np.ndarray, ends: np.ndarray) -> tuple[np
         lo, hi = np.sort(np.concatenate([lo, inner])), np.sort(np.concatenate([hi, inner]))
     up, down = _scales(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_VALUE[b] * up[: len(b)], out=sums[1:])
+    np.cumsum((_FOLDED if fold else _PLAIN)[b] * up[: len(b)], out=sums[1:])
     hashes = mixed((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
     for k in np.flatnonzero(hi - lo > LONG_WORD):
         import xxhash
 
-        hashes[k] = xxhash.xxh64_intdigest(_LOWER[b[lo[k] : hi[k]]].astype(np.uint8).tobytes(), 9)
-    return lo, hashes
+        own = b[lo[k] : hi[k]]
+        hashes[k] = xxhash.xxh64_intdigest((_LOWER[own].astype(np.uint8) if fold else own).tobytes(), 9)
+    return lo, hi, hashes
 
 
-def word_hashes(b: np.ndarray, edges: np.ndarray, piece: int = 1 << 19, ends: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words, A-Z lower-cased, of texts laid end to end; ``edges`` of texts end words too. Many bytes are read in pieces that end between words."""
+def word_hashes(b: np.ndarray, edges: np.ndarray, piece: int = 1 << 19, ends: np.ndarray = SPACE, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words (``fold``: A-Z lower-cased) of texts laid end to end; ``edges`` of texts end words too. Many bytes are read in pieces that end between words."""
     if len(b) <= 2 * piece:
-        return _piece_words(b, edges, ends)
+        return _piece_words(b, edges, ends, fold)
     at, out = 0, []
     while at < len(b):
         end = min(len(b), at + piece)
         while end < len(b) and not ends[b[end - 1]]:
             gap = np.flatnonzero(ends[b[end : end + piece]])
             end = end + int(gap[0]) + 1 if len(gap) else min(len(b), end + piece)
-        lo, hashes = _piece_words(b[at:end], edges - at, ends)
-        out.append((lo + at, hashes))
+        lo, hi, hashes = _piece_words(b[at:end], edges[np.searchsorted(edges, at) : np.searchsorted(edges, end, "right")] - at, ends, fold)
+        out.append((lo + at, hi + at, hashes))
         at = end
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

@@ -51,7 +51,7 @@ def token_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray,
     data, edges = utf8(column)
     for a, z in slices(edges, PIECE):
         own = edges[a : z + 1] - edges[a]
-        starts, words = word_hashes(data[edges[a] : edges[z]], own, PIECE)
+        starts, _, words = word_hashes(data[edges[a] : edges[z]], own, PIECE)
         first = np.searchsorted(starts, own)
         rows = len(words) - n + 1
         grams = np.repeat(_MULT[:1] * np.uint64(n), max(rows, 0))

@@ -17,21 +17,62 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import id_text, small_batches, table
+from spanwright.llm.common import id_text, small_batches, table, utf8, word_hashes
 
 #: Code points of text in a group, about.
 GROUP_CHARS = 2_000_000
-#: Entries of the chunk cache of one Python worker, at about 200 bytes each.
-CACHE_ENTRIES = 700_000
+#: Chunks whose ids a Python worker keeps, at about 30 bytes each.
+CACHE_ENTRIES = 600_000
+#: Runs of letters that are encoded as one text.
+JOINED = 5000
+#: Bytes that end a chunk.
+_BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
+
+
+class Known:
+    """Ids of chunks by the chunks' hashes, in flat arrays; the longest unused half goes when there are too many."""
+
+    def __init__(self, path: str | None = None) -> None:
+        self.path, self.turn = path, 0
+        self.keys, self.start, self.size, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``keys``, and which of them are there."""
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        return at, there
+
+    def add(self, keys: np.ndarray, ids: list[bytes], wanted: np.ndarray) -> None:
+        """Take in new sorted keys; ``wanted`` ones are in use now."""
+        self.turn += 1
+        at, there = self.find(wanted)
+        self.used[at[there]] = self.turn
+        if len(self.keys) + len(keys) > CACHE_ENTRIES:
+            keep = self.used >= min(self.turn, int(np.median(self.used)) + 1) if len(self.used) else np.zeros(0, bool)
+            size = self.size[keep]
+            self.ids = self.ids[_stretches(self.start[keep], size)]
+            self.keys, self.size, self.used, self.start = self.keys[keep], size, self.used[keep], np.cumsum(size) - size
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.size = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.size, at, size)
+        self.used = np.insert(self.used, at, np.full(len(keys), self.turn, np.int32))
+
+
+def _stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of stretches of ``size`` from ``start``, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
 
 _tokenizers: dict = {}
-_cache: dict[str, bytes] = {}
-_runs: dict[str, bytes] = {}
-_cache_of: list = [None]
+_known = Known()
 
 
 def default_tokenizer_path() -> str:
@@ -40,29 +81,41 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text, as the tokenizer gives them without special tokens.
+def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, as the tokenizer gives them without special tokens, and the edges between texts.
 
     A space ends a chunk in this tokenizer's normaliser and pre-tokeniser, which drop white space, so a text's ids are those of
-    its chunks one after the other. Each different chunk is encoded once and kept. A chunk of Latin-1 letters with stops behind
-    them is two pre-tokens already, so its letters go to the merges alone, lower-cased; any other chunk takes the whole way.
+    its chunks one after the other. Each different chunk is encoded once and kept under its 64-bit hash. A chunk of Latin-1
+    letters with stops behind them is two pre-tokens already, so its letters go to the merges alone, lower-cased; any other
+    chunk takes the whole way.
     """
-    full, merges = _tokenizer(path)
-    if _cache_of[0] != path or len(_cache) > CACHE_ENTRIES:
-        _cache.clear()
-        _runs.clear()
-        _cache_of[0] = path
-    split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = set().union(*map(set, split)).difference(_cache) if split else set()
-    simple = {c: (m[1].lower(), m[2]) for c in new if (m := SIMPLE(c))}
-    _encode({r for r, _ in simple.values()}, merges)
-    _encode({p for _, p in simple.values()}, full)
-    for c, (r, p) in simple.items():
-        _cache[c] = _runs[r] + _runs[p]
-    for c, e in zip(odd := [c for c in new if c not in simple], full.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-        _cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-    get = _cache.__getitem__
-    return [np.frombuffer(b"".join(map(get, chunks)), dtype="<u4") for chunks in split]
+    global _known
+    if _known.path != path:
+        _known = Known(path)
+    data, edges = utf8(column)
+    lo, hi, hashes = word_hashes(data, edges, ends=_BLANK, fold=False)
+    chunks, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    new = np.flatnonzero(~_known.find(chunks)[1])
+    _known.add(chunks[new], _encoded([data[lo[k] : hi[k]].tobytes().decode() for k in first[new]], path), chunks)
+    at, _ = _known.find(chunks)
+    size = _known.size[at][which]
+    ids = _known.ids[_stretches(_known.start[at][which], size)]
+    return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(lo, edges)]
+
+
+def _encoded(chunks: list[str], path: str) -> list[bytes]:
+    """Ids of each of some different chunks."""
+    full, merges, blank = _tokenizer(path)
+    simple = [(m[1].lower(), m[2]) if (m := SIMPLE(c)) else (None, c) for c in chunks]
+    runs, whole = list({r for r, _ in simple if r is not None}), list({c for _, c in simple})
+    of: dict[str | None, bytes] = {None: b""}
+    for k in range(0, len(runs), JOINED):
+        part = runs[k : k + JOINED]
+        ids = np.array(merges.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends, raw = 4 * np.append(np.flatnonzero(ids == blank), len(ids)), ids.tobytes()
+        of.update(zip(part, map(raw.__getitem__, map(slice, [0, *(ends[:-1] + 4).tolist()], ends.tolist())), strict=True))
+    rest = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(whole, full.encode_batch_fast(whole, add_special_tokens=False), strict=True)}
+    return [of[r] + rest[c] for r, c in simple]
 
 
 #: Letters that lower-casing and composing change in the same way everywhere, then stops.
@@ -70,24 +123,19 @@ SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 
 
 def _tokenizer(path: str):
-    """The tokenizer, and its merges alone."""
+    """The tokenizer, its merges alone for runs with blanks between, and the blank's id, which no run has."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         full = Tokenizer.from_file(path)
         merges = Tokenizer(full.model)
-        merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        _tokenizers[path] = full, merges
+        merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (blank,) = merges.encode_batch_fast([" "], add_special_tokens=False)[0].ids
+        _tokenizers[path] = full, merges, blank
     return _tokenizers[path]
 
 
-def _encode(strings: set[str], tokenizer) -> None:
-    new = list(strings.difference(_runs))
-    for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        _runs[x] = np.array(e.ids, dtype="<u4").tobytes()
-
-
 class Tournament:
     """Free room of bins in a complete binary tree; every node holds the greatest room below it."""
 
@@ -187,26 +235,27 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the row number deals repeated rows apart
     rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
 
-    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = [np.append(a, np.uint32(end_id)) for a in encode_texts(pdf["text"].tolist(), path)]
-        doc = pdf["doc_id"].tolist()
+    names = [x.split()[0] for x in PIECES.split(", ")]
+
+    def packed(key: tuple, group: pa.Table) -> pa.Table:
+        texts = group.column("text").combine_chunks()
+        ids, edges = encode_column(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, path)
+        own = [np.append(ids[s:e], np.uint32(end_id)) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         cols: list[tuple] = []
         kept = []
-        for k, seq in enumerate(pack([len(a) for a in ids], length)):
+        for k, seq in enumerate(pack([len(a) for a in own], length)):
             at = 0
             for d, s, n in seq:
-                part = ids[d][s : s + n]
-                cols.append((doc[d], s, n, zlib.crc32(part.tobytes()), len(ids[d]), (int(key[0]) << 32) + k, at))
+                part = own[d][s : s + n]
+                cols.append((d, s, n, zlib.crc32(part.tobytes()), len(own[d]), (key[0].as_py() << 32) + k, at))
                 if with_ids:
                     kept.append(part.astype("int32"))
                 at += n
-        out = pd.DataFrame(cols, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        out["doc_id"] = pd.array([None if x != x else x for x in out["doc_id"]], dtype="Int64")
-        if with_ids:
-            out["ids"] = kept
-        return out
+        doc, *rest = zip(*cols, strict=True)
+        arrays = [group.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)]
+        return pa.table(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names=names + (["ids"] if with_ids else []))
 
-    return rows.groupBy("g").applyInPandas(packed, PIECES + (", ids array<int>" if with_ids else ""))
+    return rows.groupBy("g").applyInArrow(packed, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def op2_packing(spark, sf_dir):
