@@ -31,6 +31,7 @@ WORD_BUCKETS, GRAM_BUCKETS = 1 << 18, 1 << 14
 EMBED, HIDDEN, PREFIX = 8, 8, 4
 MAX_TRAIN, MAX_WINDOWS = 4000, 24
 STEPS, BATCH = 360, 192
+SLICE = 500_000
 #: Pull of the word and trigram vectors towards zero, so that chance words of few documents stay near it.
 DECAY = 0.05
 EMBED_RATE = 0.001
@@ -159,7 +160,12 @@ class Model:
         return [x @ self.p["W"][s] + self.p["b"][s] for s in (0, 1)]
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Calibrated score of the highest window of each text."""
+        """Calibrated score of the highest window of each text; about SLICE characters are read at once."""
+        ends = np.cumsum([len(t) for t in texts]) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        return np.concatenate([np.zeros(0), *(self._score(texts[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True) if z > a)])
+
+    def _score(self, texts: list[str]) -> np.ndarray:
         known: dict[str, int] = {}
         ids: list[int] = []
         spans, owner = [], []
@@ -326,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every whole text."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     rows = id_text(docs, id_col, text_col)
     if model is None:
         return rows.select("doc_id", F.lit(0.05).alias("score"))
@@ -343,7 +349,7 @@ def keep_clean(docs: DataFrame, model: Model | None, text_col: str = "text", thr
     """The rows of ``docs``, all columns kept, whose text scores under ``threshold``."""
     if model is None:
         return docs
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
