@@ -1,7 +1,7 @@
 """Secret scans: three base patterns, and password guess costs of values in credential contexts.
 
-Base spans come from fixed patterns. Beside them, a value that stands in a wider credential context (``passphrase: ...``,
-``"pwd" = ...``, ``Bearer ...``) is a secret if guessing it is dear: a dynamic programme over the value finds the cheapest
+Base spans come from fixed patterns. Beside them, a value that stands in a wider credential context (CONTEXTS: names in
+prose, settings and environment files, headers, options, elements, urls) is a secret if guessing it is dear: a dynamic programme over the value finds the cheapest
 segmentation into dictionary words, dates, repeats, keyboard walks, character sequences and brute-force stretches, where a
 segmentation of k parts costs k! times the product of the parts' guesses. Documents are scanned whole and one by one.
 
@@ -34,12 +34,23 @@ from spanwright.llm.words import COMMON
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|authorization|bearer)["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+|(?<=bearer)\x20+)(?:bearer\x20+)?["'`]?([^\s"'`,;<>]{6,})""",
-    re.I | re.A,
+_NAME = r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
+_VALUE = r"""["'`]?([^\s"'`,;<>]{6,})"""
+#: Where credentials stand, group 1 the value: after a name (password: x, "db_password" => "x", SECRET_KEY_BASE=x, the token is x),
+#: in a header, as an option of a command, in an element of that name, and before the host of a url.
+CONTEXTS = tuple(
+    re.compile(x, re.I | re.A)
+    for x in (
+        _NAME + r"""(?:[_-]?\w{0,24})?["'`]?\]?(?:\x20*(?::=|[:=]|=>)\x20*|\x20+is\x20+)(?:bearer\x20+)?""" + _VALUE,
+        r"""(?:authorization|auth[_-]header)["']?\x20*[:=]\x20*["']?(?:(?:basic|bearer|digest|token|apikey)\x20+)?""" + _VALUE,
+        r"(?<![a-z])bearer\x20+(?=\S*[0-9+/_=-])" + _VALUE,
+        r"(?<!\S)--?" + _NAME + r"(?:=|\x20+)" + _VALUE,
+        r"<(?:\w+:)?[\w-]{0,24}" + _NAME + r"[\w-]{0,24}>\s{0,8}([^\s<>]{6,})\s{0,8}</",
+        r"[a-z][a-z0-9+.-]{1,24}://[^\s:/@]{0,64}:([^\s/@]{6,})@(?=[\w\[])",
+    )
 )
 #: A document without any of these (lower-cased) has no assignment and no context.
-HINTS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "authorization", "bearer")
+HINTS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "auth", "bearer", "://")
 #: log10 of the guesses from which a value counts as a secret.
 MIN_LOG10 = 8.0
 
@@ -223,9 +234,9 @@ def scan(text: str, min_log10: float = MIN_LOG10, words: Words = BASE) -> list[t
     found += [(m.start(), 2, "hex", m.end(), log10_guesses(m[0], words)) for m in HEX.finditer(text)]
     if hinted:
         base = [(s, e) for s, _, _, e, _ in found]
-        for m in CONTEXT.finditer(text):
-            s, e = m.span(1)
-            e -= len(m[1]) - len(m[1].rstrip(".)]}:!?"))
+        values = {m.span(1): m[1] for pattern in CONTEXTS for m in pattern.finditer(text)}
+        for (s, e), value in values.items():
+            e -= len(value) - len(value.rstrip(".)]}:!?"))
             if e - s >= 6 and _uncovered(s, e, base) and (g := log10_guesses(text[s:e], words)) >= min_log10:
                 found.append((s, 3, "guess", e, g))
     return [(kind, s, e, g) for s, _, kind, e, g in sorted(found)]
@@ -240,8 +251,8 @@ def _counted_words(texts: Iterator[str]) -> Iterator[dict[str, int]]:
     for t in texts:
         low = t.lower()
         if any(h in low for h in HINTS):
-            for pattern, k in ((CONTEXT, 1), (ASSIGN, 2)):
-                low = pattern.sub(lambda m, k=k: m[0][: m.start(k) - m.start()], low)
+            for pattern, k in ((ASSIGN, 2), *((x, 1) for x in CONTEXTS)):
+                low = pattern.sub(lambda m, k=k: m[0][: m.start(k) - m.start()] + " " + m[0][m.end(k) - m.start() :], low)
         for w in set(WORD.findall(low)):
             if SHORTEST <= len(w) <= LONGEST:
                 count[w] = count.get(w, 0) + 1
@@ -316,4 +327,5 @@ def op7_secrets(spark, sf_dir):
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(line(F.filter("spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.round(s["log10_guesses"], 2).cast("string")), ",").alias("log10_guesses"),
     )
