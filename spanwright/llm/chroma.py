@@ -142,7 +142,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int | None, float]:
 
 def fingerprint_audio(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     """(id, fingerprint array<long>) of every recording."""
-    small_batches(media.sparkSession, 256)
+    small_batches(media.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -175,7 +175,7 @@ def melody(values: np.ndarray) -> np.ndarray:
 
 def record_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, take, other): a WAV of each vector's melody, and of a second take: eight notes later in, softer, with hiss."""
-    small_batches(vectors.sparkSession, 256)
+    small_batches(vectors.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -196,7 +196,7 @@ def _seed(x: np.ndarray) -> int:
 
 def fingerprint_takes(media: DataFrame, id_col: str = "id", take: str = "take", other: str = "other") -> DataFrame:
     """id, n_items, fingerprint_sha256, and the alignment of the two recordings of a row: offset (in items) and bit_error."""
-    small_batches(media.sparkSession, 256)
+    small_batches(media.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
