@@ -14,6 +14,8 @@ from spanwright.llm import ngram_join, packing, secrets, suffix_dedup, toxicity
 from spanwright.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of fifty words and more: a passage of over fifty words that stands elsewhere too is a repeat.
+LONG_REPEAT = 250
 
 
 def _shaped(docs: DataFrame) -> DataFrame:
@@ -33,8 +35,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def remove_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 bytes that start more than once go from the texts."""
-    return _shaped(suffix_dedup.remove_repeats(docs, carry=("lang", "source")))
+    """Bytes in strings of LONG_REPEAT bytes that start more than once go from the texts."""
+    return _shaped(suffix_dedup.remove_repeats(docs, length=LONG_REPEAT, carry=("lang", "source")))
 
 
 def mask_found_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
