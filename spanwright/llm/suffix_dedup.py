@@ -184,30 +184,28 @@ def _rank_rows(batches: Iterator[pa.RecordBatch], width: int, length: int) -> It
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=[x.split()[0] for x in RANKS.split(", ")])
 
 
-def unique_starts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, lo, hi): ranges of starts whose string of ``length`` bytes is found nowhere else. All others repeat."""
+def repeated_starts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, lo, hi, single): ranges of starts, those of runs whose anchor is found elsewhere too, and (``single``) the
+    parts of these whose strings of ``length`` bytes are found nowhere else after all. The rest of them repeats; all others are unique."""
     small_batches(docs.sparkSession)
     rows = _marked(docs, id_col, text_col)
     sampled = written(_run_rows(rows, length), "runs")
-    # round 0: a lone anchor's run is unique in all its starts; one kind of run alone repeats in all; what is mixed stays.
+    # round 0: a lone anchor's starts are unique; where all runs of an anchor are equal all of them repeat; what is mixed stays.
     # Each anchor's rows meet as partial results, so a hot anchor is a row a task.
     place, kind = ["doc_id", "text_hash", "lo"], ["reach", "far", "near"]
-    anchors = written(
-        sampled.groupBy("anchor").agg(
-            F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in (*place, "far", "near")],
-            F.max("reach").alias("most"), F.min("reach").alias("least"), F.min("far").alias("far0"), F.min("near").alias("near0"),
-        ).where("n = 1 or most <> least or far <> far0 or near <> near0"), "anchors",
-    )
-    lone = anchors.where("n = 1").select("doc_id", "text_hash", "lo", (F.col("lo") + F.col("far") - F.col("near")).alias("hi"))
-    mixed = anchors.where("n > 1").select("anchor")
-    # grouped by cid, not anchor: a hot anchor's rows are added up where the join has them, and its kinds go to many tasks
-    open_ = sampled.join(mixed, "anchor", "left_semi").withColumn("cid", F.xxhash64("anchor", *kind))
+    anchors = sampled.withColumn("kind", F.xxhash64(*kind)).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("most"), F.min("kind").alias("least"))
+    anchors = written(anchors.where("n > 1").select("anchor", (F.col("most") != F.col("least")).alias("mixed")), "anchors")
+    several = written(sampled.join(anchors, "anchor"), "several")
+    dropped(sampled)
+    dropped(anchors)
+    found = [several.select("doc_id", "text_hash", "lo", (F.col("lo") + F.col("far") - F.col("near")).alias("hi"), F.lit(False).alias("single"))]
+    # grouped by cid, not anchor: a hot anchor's rows are added up where they are, and its kinds go to many tasks
+    open_ = several.where("mixed").withColumn("cid", F.xxhash64("anchor", *kind))
     open_ = open_.groupBy("cid").agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("anchor", *kind, *place)).alias("row")).select("cid", "copies", "row.*")
     # the bytes around the anchors that are left are fetched once; of equal runs one stands for all
     wanted = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("cid", "anchor", "lo", "far", "near", "copies")).alias("runs"))
     contents = written(_with_text(rows, wanted, "inner").mapInArrow(lambda b: _cut(b, length), CONTENTS), "contents")
-    dropped(sampled)
-    found, one, spent = [lone], ["cid", "anchor", "node"], [contents]
+    one, spent = ["cid", "anchor", "node"], [contents]
     asked = contents.withColumn("nodes", _nodes(WIDTHS[0]))
     for k, width in enumerate(WIDTHS):
         ranked = asked.mapInArrow(lambda b, w=width: _rank_rows(b, w, length), RANKS)
@@ -216,7 +214,8 @@ def unique_starts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
         gone = single.where("kind = 0").select(*one)
         first, last = F.col("far") - (F.col("node") + 1) * width + 1, F.col("far") - F.col("node") * width
         at = contents.select("cid", "anchor", "doc_id", "text_hash", "lo", "far", "near")
-        found.append(written(gone.join(at, ["cid", "anchor"]).select("doc_id", "text_hash", (F.col("lo") + F.greatest(first, F.lit(0))).cast("int").alias("lo"), (F.col("lo") + F.least(last, F.col("far") - F.col("near"))).cast("int").alias("hi")), f"unique{k}"))
+        at = gone.join(at, ["cid", "anchor"]).select("doc_id", "text_hash", (F.col("lo") + F.greatest(first, F.lit(0))).cast("int").alias("lo"), (F.col("lo") + F.least(last, F.col("far") - F.col("near"))).cast("int").alias("hi"), F.lit(True).alias("single"))
+        found.append(written(at, f"unique{k}"))
         spent.append(single)
         if width == 1:
             break
@@ -252,17 +251,22 @@ def _with_text(rows: DataFrame, by_text: DataFrame, how: str) -> DataFrame:
     return rows.join(b, rows["doc_id"].eqNullSafe(b["__d"]) & (rows["text_hash"] == b["__h"]), how).drop("__d", "__h")
 
 
-def spans_of(n: int, length: int, unique: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal removed runs of bytes of a text of n bytes, given the ranges of its unique starts."""
+def spans_of(length: int, runs: set[tuple[int, int]], single: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal removed runs of bytes, given ranges of starts and the parts of them that don't repeat."""
     spans: list[list[int]] = []
-    p = 0
-    for lo, hi in [*sorted(unique), (n - length + 1, n)]:
-        if lo > p:  # starts p .. lo - 1 repeat
-            if spans and p <= spans[-1][1]:
-                spans[-1][1] = lo - 1 + length
-            else:
-                spans.append([p, lo - 1 + length])
-        p = max(p, hi + 1)
+    left = sorted(single, reverse=True)
+    for lo, hi in sorted(runs):
+        p = lo
+        while p <= hi:
+            while left and left[-1][1] < p:
+                left.pop()
+            a, b = left[-1] if left and left[-1][0] <= hi else (hi + 1, hi)
+            if a > p:  # starts p .. a - 1 repeat
+                if spans and p <= spans[-1][1]:
+                    spans[-1][1] = a - 1 + length
+                else:
+                    spans.append([p, a - 1 + length])
+            p = max(a, b + 1)
     return [(s, e) for s, e in spans]
 
 
@@ -270,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """doc_id, text (what is kept, a character cut in two dropped), n_bytes, n_removed, n_spans, kept_sha256, spans, and the string columns ``carry``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).cast("string").alias(c) for c in carry])
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    ranges = unique_starts(docs, length, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_starts(docs, length, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi", "single")).alias("ranges"))
     schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + "".join(f", `{c}` string" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +282,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             out = []
             for d, text, ranges_, *rest in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "ranges", *carry)), strict=True):
                 raw = text.encode()
-                spans = spans_of(len(raw), length, [(r["lo"], r["hi"]) for r in ranges_ or ()])
+                spans = spans_of(length, *({(r["lo"], r["hi"]) for r in ranges_ or () if r["single"] == k} for k in (False, True)))
                 kept = b"".join(raw[s:e] for s, e in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True))
                 out.append({"doc_id": d, "text": kept.decode("utf-8", "ignore"), "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": s, "end": e} for s, e in spans]} | dict(zip(carry, rest, strict=True)))
             arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *[(c, pa.string()) for c in carry]])
