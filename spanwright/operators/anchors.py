@@ -164,6 +164,6 @@ def select(sents: DataFrame, n_candidates: int = 60, alpha: float = 2.0) -> Orde
     """Divergence-ordered anchors among the most frequent words, with a count model on all sentences and on each half."""
     words = M.word_table(sents, n_candidates)
     counts = {r["word"]: r["n"] for r in words.collect()}
-    table = lambda s: divergence_table(M.pair_divergences(M.count_model(s, words), words, alpha))
+    table = lambda s: divergence_table(M.pair_divergences(s, words, alpha))
     a, b = halves(sents)
     return divergence_ordered(table(sents), table(a), table(b), counts)

@@ -101,6 +101,49 @@ class Chart:
 
         return float(score[0, n, self.start]), show(0, n, self.start)
 
+    def bracketed(self, nodes: list[dict], best: bool = False) -> tuple[float, str | None] | None:
+        """Log weight of all labellings of a tree's shape, or the heaviest labelling (the first rule by name on ties) and its text."""
+        if not nodes or self.start < 0:
+            return None
+        own: dict[int, np.ndarray] = {}
+        back: dict[tuple[int, int], int] = {}
+        with np.errstate(divide="ignore"):
+            logp = np.log(self.p)
+            for x in reversed(nodes):  # children stand behind their parents
+                if x["word"] is not None:
+                    own[x["id"]] = np.log(self.leaves([x["word"]])[0])
+                    continue
+                v = logp + own[x["left"]][self.b] + own[x["right"]][self.c]
+                out = np.full(len(self.nts), -np.inf)
+                if best:
+                    for k in np.argsort(-v, kind="stable"):
+                        if v[k] > out[self.a[k]]:
+                            out[self.a[k]] = v[k]
+                            back[x["id"], int(self.a[k])] = int(k)
+                else:
+                    np.logaddexp.at(out, self.a, v)
+                own[x["id"]] = out
+        top = own[nodes[0]["id"]][self.start]
+        if top == -np.inf:
+            return None
+        if not best:
+            return float(top), None
+        out_, todo = [], [(0, self.start)]
+        while todo:
+            t = todo.pop()
+            if isinstance(t, str):
+                out_.append(t)
+                continue
+            k, a = t
+            x = nodes[k]
+            if x["word"] is not None:
+                out_.append(f"({self.nts[a]} {x['word']})")
+            else:
+                r = back[x["id"], a]
+                out_.append(f"({self.nts[a]} ")
+                todo += [")", (x["right"], int(self.c[r])), " ", (x["left"], int(self.b[r]))]
+        return float(top), "".join(out_)
+
     def trees(self, w: list[str]) -> int:
         """Number of trees, exactly."""
         n = len(w)
@@ -180,6 +223,36 @@ def viterbi(sents: DataFrame, chart: Chart) -> DataFrame:
     return _per_sentence(sents, chart, lambda c, w: dict(zip(("lp", "tree"), b, strict=True)) if (b := c.best(w)) else None, kind, "best", "struct<lp:double,tree:string>")
 
 
+def known_words(sents: DataFrame, chart: Chart, unk: str) -> DataFrame:
+    """``sents`` with words that the grammar lacks replaced, for the parsers."""
+    keys = [c for c in sents.columns if c != "w"]
+    shared = sents.sparkSession.sparkContext.broadcast(frozenset(chart.lex))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([None if w is None else [x if x in shared.value else unk for x in w] for w in batch.column("w").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), words], names=[*keys, "w"])
+
+    return sents.select(*keys, "w").mapInArrow(run, ", ".join(f"`{c}` {sents.schema[c].dataType.simpleString()}" for c in keys) + ", w array<string>")
+
+
+def bracketed_scores(trees: DataFrame, chart: Chart) -> DataFrame:
+    """``trees`` (keys, nodes) with lp (log weight of all labellings of the shape) and best (lp, tree), null where there is none."""
+    keys = [c for c in trees.columns if c != "nodes"]
+    schema = ", ".join(f"`{c}` {trees.schema[c].dataType.simpleString()}" for c in keys) + ", lp double, best struct<lp:double,tree:string>"
+    shared = trees.sparkSession.sparkContext.broadcast(chart)
+    kind = pa.struct([("lp", pa.float64()), ("tree", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [n or [] for n in batch.column("nodes").to_pylist()]
+            lp = [x[0] if (x := shared.value.bracketed(n)) else None for n in nodes]
+            best = [dict(zip(("lp", "tree"), x, strict=True)) if (x := shared.value.bracketed(n, True)) else None for n in nodes]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(lp, pa.float64()), pa.array(best, kind)], names=[*keys, "lp", "best"])
+
+    return trees.mapInArrow(run, schema)
+
+
 def tree_counts(sents: DataFrame, chart: Chart) -> DataFrame:
     """``sents`` with n_trees, exact as a decimal of 38 digits."""
     from decimal import Decimal

@@ -1,9 +1,9 @@
 """Exchange clustering of words on bigram mutual information.
 
-What an exchange needs is aggregated by Spark: each word's counts with every cluster, and the cluster table. A sweep moves words
-one after the other, each seeing the moves before it, which is done on the driver over the frequent words' table (bounded by
-``max_words``); ``sweep_together`` is the distributed form, in which all words judge their best move against the same table and
-only moves that raise the objective by themselves are tried, the better half at a time.
+What an exchange needs is aggregated by Spark: each word's counts with every cluster, and the cluster table. ``exchange_together``
+is the distributed form: all words judge their best move against the same table, and the moves of a share of the words are kept if
+the objective rises. ``exchange`` moves words one after the other, each seeing the moves before it, on the driver, over a table that
+``max_words`` and ``max_pairs`` bound.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.operators.tokens import BOUNDARY, cluster_bigrams, exchange_objective
+from spanwright.operators.lineage import cut
+from spanwright.operators.tokens import BOUNDARY, cluster_bigrams
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -24,18 +25,20 @@ def objective(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
 
 
-def exchange(bigrams: DataFrame, clusters: DataFrame, n_clusters: int, max_sweeps: int = 20, max_words: int = 20_000) -> DataFrame:
+def exchange(bigrams: DataFrame, clusters: DataFrame, n_clusters: int, max_sweeps: int = 20, max_words: int = 2_000, max_pairs: int = 1_000_000) -> DataFrame:
     """(word, cid) after ordered sweeps, until no word moves. Words outside ``clusters`` and the boundary stay in cluster 0."""
     spark = bigrams.sparkSession
     rows = clusters.orderBy("word").limit(max_words + 1).collect()
     if len(rows) > max_words:
-        raise ValueError(f"more than {max_words} words to move one by one: use sweep_together")
+        raise ValueError(f"more than {max_words} words to move one by one: use exchange_together")
     words = [r["word"] for r in rows]
     at, cid = {w: k for k, w in enumerate(words)}, np.array([r["cid"] for r in rows], int)
     pool = clusters.select(F.col("word"))
     name = lambda c: F.when(F.col(c) == BOUNDARY, None).otherwise(F.col(c))
     known = bigrams.join(F.broadcast(pool.withColumnRenamed("word", "w1").withColumn("k1", F.lit(1))), "w1", "left").join(F.broadcast(pool.withColumnRenamed("word", "w2").withColumn("k2", F.lit(1))), "w2", "left")
-    pairs = known.groupBy(F.when(F.col("k1") == 1, name("w1")).alias("a"), F.when(F.col("k2") == 1, name("w2")).alias("b")).agg(F.sum("n").alias("n")).collect()  # over the kept words
+    pairs = known.groupBy(F.when(F.col("k1") == 1, name("w1")).alias("a"), F.when(F.col("k2") == 1, name("w2")).alias("b")).agg(F.sum("n").alias("n")).limit(max_pairs + 1).collect()  # over the kept words
+    if len(pairs) > max_pairs:
+        raise ValueError(f"more than {max_pairs} pairs of words: use exchange_together")
     outside = len(words)
     cids = np.append(cid, 0)
     table = np.zeros((n_clusters, n_clusters))
@@ -87,28 +90,46 @@ def exchange(bigrams: DataFrame, clusters: DataFrame, n_clusters: int, max_sweep
     return spark.createDataFrame([(w, int(c)) for w, c in zip(words, cids[:outside], strict=True)], "word string, cid int")
 
 
-def clustering_objective(bigrams: DataFrame, clusters: DataFrame) -> float:
-    return float(exchange_objective(cluster_bigrams(bigrams, clusters)).first()[0] or 0.0)
-
-
-def sweep_together(bigrams: DataFrame, clusters: DataFrame, n_clusters: int) -> tuple[DataFrame, bool]:
-    """One distributed sweep: every word's best cluster against the table as it stands, by a join and an aggregation; the moves
-    of a hash half of the words are kept if the objective rises. Returns the clusters and whether it rose."""
-    before = clustering_objective(bigrams, clusters)
-    c = clusters.select("word", "cid")
-    right = bigrams.join(c.withColumnRenamed("word", "w2").withColumnRenamed("cid", "g"), "w2", "left").groupBy(F.col("w1").alias("word"), F.coalesce("g", F.lit(0)).alias("g")).agg(F.sum("n").alias("out"))
-    left = bigrams.join(c.withColumnRenamed("word", "w1").withColumnRenamed("cid", "g"), "w1", "left").groupBy(F.col("w2").alias("word"), F.coalesce("g", F.lit(0)).alias("g")).agg(F.sum("n").alias("inn"))
+def cluster_table(bigrams: DataFrame, clusters: DataFrame, n_clusters: int) -> np.ndarray:
+    """Counts of neighbouring clusters."""
     table = np.zeros((n_clusters, n_clusters))
     for r in cluster_bigrams(bigrams, clusters).collect():  # clusters squared rows
         table[r["c1"], r["c2"]] = r["n"]
+    return table
+
+
+def best_moves(bigrams: DataFrame, clusters: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, cid, to, gain): every word's cluster of the greatest sum of its neighbours' log shares, and how much that is above its own."""
+    c = clusters.select("word", "cid")
+    sides = F.explode(F.array(F.struct(F.col("w1").alias("word"), F.col("w2").alias("other"), F.lit(0).alias("side")), F.struct(F.col("w2").alias("word"), F.col("w1").alias("other"), F.lit(1).alias("side"))))
+    near = bigrams.select(sides.alias("x"), "n").select("x.*", "n").join(c.withColumnRenamed("word", "other").withColumnRenamed("cid", "g"), "other", "left")
+    near = near.groupBy("word", "side", F.coalesce("g", F.lit(0)).alias("g")).agg(F.sum("n").alias("n"))
+    n_clusters = len(table)
     share = np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * n_clusters)), np.log((table.T + 0.5) / (table.sum(0)[:, None] + 0.5 * n_clusters))
-    spark = bigrams.sparkSession
-    gain = spark.createDataFrame([(k, g, float(share[0][k, g]), float(share[1][k, g])) for k in range(1, n_clusters) for g in range(n_clusters)], "k int, g int, lo double, li double")
-    both = right.join(left, ["word", "g"], "full").join(c, "word").join(F.broadcast(gain), "g")
-    score = both.groupBy("word", "cid", "k").agg(F.sum(F.coalesce("out", F.lit(0)) * F.col("lo") + F.coalesce("inn", F.lit(0)) * F.col("li")).alias("s"))
-    best = score.groupBy("word", "cid").agg(F.max(F.struct("s", (-F.col("k")).alias("m"))).alias("b")).select("word", "cid", (-F.col("b.m")).alias("to"))
-    for half in (0, 1):
-        moved = best.withColumn("cid", F.when(F.pmod(F.xxhash64("word"), F.lit(2)) == half, F.col("to")).otherwise(F.col("cid"))).select("word", F.col("cid").cast("int").alias("cid"))
-        if clustering_objective(bigrams, moved) > before + 1e-9:
-            return moved, True
-    return clusters, False
+    gains = bigrams.sparkSession.createDataFrame([(side, k, g, float(share[side][k, g])) for side in (0, 1) for k in range(1, n_clusters) for g in range(n_clusters)], "side int, k int, g int, l double")
+    score = near.join(F.broadcast(gains), ["side", "g"]).groupBy("word", "k").agg(F.sum(F.col("n") * F.col("l")).alias("s"))
+    best = score.groupBy("word").agg(F.max(F.struct("s", (-F.col("k")).alias("m"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("all"))
+    return best.join(c, "word").select("word", "cid", (-F.col("b.m")).alias("to"), (F.col("b.s") - F.try_element_at("all", "cid")).alias("gain"))
+
+
+def sweep_together(bigrams: DataFrame, clusters: DataFrame, table: np.ndarray, least_gain: float = 1e-6) -> tuple[DataFrame, np.ndarray] | None:
+    """One distributed sweep: the best moves of all words, of each half, of each quarter (by hash), until one of these raises the
+    objective by ``least_gain`` of it; the clusters and their table after it, or nothing where none does."""
+    moves = best_moves(bigrams, clusters, table).where("to <> cid and gain > 0").select("word", "to").persist()
+    before = objective(table)
+    for parts in (1, 2, 4):
+        for k in range(parts):
+            tried = clusters.join(moves.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k), "word", "left").select("word", F.coalesce("to", "cid").cast("int").alias("cid"))
+            after = cluster_table(bigrams, tried, len(table))
+            if objective(after) > before + least_gain * abs(before):
+                return tried, after
+    return None
+
+
+def exchange_together(bigrams: DataFrame, clusters: DataFrame, n_clusters: int) -> DataFrame:
+    """(word, cid) after distributed sweeps, until none raises the objective. Each sweep's clusters are a checkpoint of their own."""
+    clusters = cut(clusters)
+    table = cluster_table(bigrams, clusters, n_clusters)
+    while (step := sweep_together(bigrams, clusters, table)) is not None:
+        clusters, table = cut(step[0]), step[1]
+    return clusters

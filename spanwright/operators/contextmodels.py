@@ -4,36 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from spanwright.operators.tokens import contexts, word_counts
 
 
-def count_model(sents: DataFrame, words: DataFrame, k: int = 1, alpha: float = 0.1) -> DataFrame:
-    """(word, ctx, weight, cand, logp): log P(cand | ctx) with add-alpha smoothing over the candidate words, for each word's contexts."""
+def pair_divergences(sents: DataFrame, words: DataFrame, alpha: float = 2.0, k: int = 1, smoothing: float = 0.1) -> DataFrame:
+    """(a, b, d): Renyi divergence of a's contexts against b's: ln sum w (P(a|c) E(b) / (P(b|c) E(a)))^(alpha - 1) / (alpha - 1).
+
+    P is the counts' share with ``smoothing`` added to every candidate word (word, n), so P(a|c) / P(b|c) is the ratio of smoothed
+    counts: what b lacks is a's own sum, and only contexts that both have are met pair by pair.
+    """
     c = contexts(sents, words, k)
-    total = c.groupBy("ctx").agg(F.sum("n").alias("t"))
-    size = words.agg(F.count(F.lit(1)).alias("v"))
-    own = c.join(c.groupBy("word").agg(F.sum("n").alias("m")), "word").select("word", "ctx", (F.col("n") / F.col("m")).alias("weight"))
-    cand = c.select(F.col("word").alias("cand"), "ctx", F.col("n").alias("k"))
-    grid = own.crossJoin(F.broadcast(words.select(F.col("word").alias("cand"))))
-    x = grid.join(cand, ["ctx", "cand"], "left").join(total, "ctx").crossJoin(F.broadcast(size))
-    return x.select("word", "ctx", "weight", "cand", F.ln((F.coalesce("k", F.lit(0)) + alpha) / (F.col("t") + alpha * F.col("v"))).alias("logp"))
-
-
-def pair_divergences(model: DataFrame, counts: DataFrame, alpha: float = 2.0) -> DataFrame:
-    """(a, b, d): Renyi divergence of a's contexts against b's: ln sum w (P(a|c) E(b) / (P(b|c) E(a)))^(alpha - 1) / (alpha - 1)."""
-    own = model.where("word = cand").select(F.col("word").alias("a"), "ctx", "weight", F.col("logp").alias("la"))
-    other = model.where("word <> cand").select(F.col("word").alias("a"), "ctx", F.col("cand").alias("b"), F.col("logp").alias("lb"))
-    e = counts.select("word", F.ln(F.col("n").cast("double")).alias("le"))
-    x = own.join(other, ["a", "ctx"]).join(F.broadcast(e.select(F.col("word").alias("a"), F.col("le").alias("ea"))), "a").join(F.broadcast(e.select(F.col("word").alias("b"), F.col("le").alias("eb"))), "b")
-    ratio = (F.col("la") - F.col("ea")) - (F.col("lb") - F.col("eb"))
-    if alpha == 1:
-        d = F.sum(F.col("weight") * ratio)
-    elif alpha == float("inf"):
-        d = F.max(ratio)
-    else:
-        d = F.ln(F.sum(F.col("weight") * F.exp((alpha - 1) * ratio))) / (alpha - 1)
-    return x.groupBy("a", "b").agg(d.alias("d"))
+    own = c.withColumns({"w": F.col("n") / F.sum("n").over(Window.partitionBy("word")), "s": F.col("n") + F.lit(smoothing)})
+    held = own.groupBy("ctx").agg(F.collect_list(F.struct("word", "w", "s")).alias("held"))  # as long as the candidate list
+    pairs = F.flatten(F.transform("held", lambda u: F.transform(F.filter("held", lambda v: v["word"] != u["word"]), lambda v: F.struct(u["word"].alias("a"), v["word"].alias("b"), u["w"].alias("w"), (u["s"] / v["s"]).alias("r"), (u["s"] / F.lit(smoothing)).alias("r0")))))
+    met = held.where(F.size("held") > 1).select(F.explode(pairs).alias("p")).select("p.*")
+    e = words.select("word", F.ln(F.col("n").cast("double")).alias("e"))
+    grid = e.select(F.col("word").alias("a"), F.col("e").alias("ea")).join(e.select(F.col("word").alias("b"), F.col("e").alias("eb")), F.col("a") != F.col("b"))
+    if alpha == float("inf"):
+        # the greatest ratio of a context of a's that b lacks is the first, in falling order, that is not among the shared ones
+        ranked = own.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("s", "ctx")), False).alias("mine")).select(F.col("word").alias("a"), "mine")
+        shared = c.select(F.col("word").alias("b"), F.col("ctx")).groupBy("b").agg(F.collect_set("ctx").alias("has"))
+        top = met.groupBy("a", "b").agg(F.max("r").alias("r"))
+        lone = grid.join(ranked, "a").join(shared, "b").select("a", "b", (F.array_max(F.transform(F.filter("mine", lambda x: ~F.array_contains("has", x["ctx"])), lambda x: x["s"])) / F.lit(smoothing)).alias("r0"))
+        return grid.join(lone, ["a", "b"]).join(top, ["a", "b"], "left").select("a", "b", (F.ln(F.greatest("r", "r0")) + F.col("eb") - F.col("ea")).alias("d"))
+    f = (lambda x: F.ln(x)) if alpha == 1 else (lambda x: F.pow(x, alpha - 1))
+    base = own.groupBy(F.col("word").alias("a")).agg(F.sum(F.col("w") * f(F.col("s") / F.lit(smoothing))).alias("base"))
+    extra = met.groupBy("a", "b").agg(F.sum(F.col("w") * (f(F.col("r")) - f(F.col("r0")))).alias("extra"))
+    total = F.col("base") + F.coalesce("extra", F.lit(0.0))
+    d = total if alpha == 1 else F.ln(total) / (alpha - 1)
+    return grid.join(base, "a").join(extra, ["a", "b"], "left").select("a", "b", (d + F.col("eb") - F.col("ea")).alias("d"))
 
 
 def antichain(divergences: list[tuple[str, str, float]], order: list[str], near: float = 0.3) -> list[str]:

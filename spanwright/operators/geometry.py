@@ -84,6 +84,29 @@ def hull_weights(y: np.ndarray, basis: np.ndarray, steps: int = 100, tolerance:
     return w
 
 
+def hull_weights_of(y: np.ndarray, basis: np.ndarray, steps: int = 100, tolerance: float = 1e-5) -> np.ndarray:
+    """``hull_weights`` of many rows at once."""
+    w = np.full((len(y), len(basis)), 1 / len(basis))
+    x, last, go = w @ basis, np.full(len(y), np.inf), np.arange(len(y))
+    for _ in range(steps):
+        if not len(go):
+            break
+        k = np.argmin((x[go] - y[go]) @ basis.T, axis=1)
+        move = basis[k] - x[go]
+        size = (move**2).sum(1)
+        t = np.clip((move * (y[go] - x[go])).sum(1) / np.maximum(size, 1e-300), 0, 1)
+        t[size <= 0] = 0
+        go, k, t, move = go[t > 0], k[t > 0], t[t > 0], move[t > 0]
+        w[go] *= (1 - t)[:, None]
+        w[go, k] += t
+        x[go] += t[:, None] * move
+        d = np.linalg.norm(x[go] - y[go], axis=1)
+        more = (d >= tolerance) & (last[go] - d >= tolerance)
+        last[go] = d
+        go = go[more]
+    return w
+
+
 def hull_table(rows: DataFrame, anchors: dict[str, list[float]]) -> DataFrame:
     """(word, anchor, weight, distance) of every row's hull weights; anchors are few and go to the tasks."""
     names = list(anchors)
@@ -91,14 +114,13 @@ def hull_table(rows: DataFrame, anchors: dict[str, list[float]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for word, v in zip(b.column("word").to_pylist(), b.column("v").to_pylist(), strict=True):
-                y = np.array(v)
-                w = hull_weights(y, basis)
-                for a, x in zip(names, w, strict=True):
-                    for o, value in zip(out, (word, a, float(x), float(np.linalg.norm(w @ basis - y))), strict=True):
-                        o.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=["word", "anchor", "weight", "distance"])
+            if not b.num_rows:
+                continue
+            y = np.array(b.column("v").to_pylist(), float)
+            w = hull_weights_of(y, basis)
+            far = np.linalg.norm(w @ basis - y, axis=1)
+            word = b.column("word").take(pa.array(np.repeat(np.arange(len(y)), len(names))))
+            yield pa.RecordBatch.from_arrays([word, pa.array(names * len(y), pa.string()), pa.array(w.ravel()), pa.array(np.repeat(far, len(names)))], names=["word", "anchor", "weight", "distance"])
 
     return rows.select("word", "v").mapInArrow(run, "word string, anchor string, weight double, distance double")
 

@@ -297,3 +297,132 @@ def treebank_rules(productions: DataFrame) -> DataFrame:
     """(lhs, r1, r2, n, p) from a row per production of a treebank: relative frequencies."""
     c = productions.groupBy(*RULE).agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lhs")))
+
+
+def derivation_scores(productions: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lp): log weight of each tree from a row per production (keys, lhs, r1, r2); null where the grammar lacks a rule of it."""
+    y = rules.select(*[F.col(c).alias(f"y_{c}") for c in RULE], "p")
+    on = F.col("lhs").eqNullSafe(F.col("y_lhs")) & F.col("r1").eqNullSafe(F.col("y_r1")) & F.col("r2").eqNullSafe(F.col("y_r2"))
+    x = productions.groupBy(*keys, *RULE).agg(F.count(F.lit(1)).alias("n")).join(y, on, "left")
+    lacks = F.max((F.coalesce("p", F.lit(0.0)) <= 0).cast("int"))
+    return x.groupBy(*keys).agg(F.when(lacks == 0, F.sum(F.when(F.col("p") > 0, F.col("n") * F.ln("p")))).alias("lp"))
+
+
+def recursive_parts(rules: DataFrame) -> list[list[str]]:
+    """Nonterminals that reach each other, set by set in the order of their first members; over a table of nonterminals."""
+    nts, _, rows = _reduced(rules)
+    reach = np.eye(len(nts), dtype=bool)
+    for a, b, c, _ in rows:
+        reach[a, [b, c]] = True
+    while True:  # squared until nothing is added
+        more = reach @ reach
+        if (more == reach).all():
+            break
+        reach = more
+    both = reach & reach.T
+    return [[nts[k] for k in np.flatnonzero(both[i])] for i in range(len(nts)) if not both[i, :i].any()]
+
+
+def outside_scores(rules: DataFrame, z: dict[str, float], start: str = "S") -> dict[str, float]:
+    """Sum of the weights of all that may stand around each nonterminal, of a convergent weighted grammar; the start's own use counts 1."""
+    nts, _, rows = _reduced(rules)
+    t, i = np.zeros((len(nts), len(nts))), np.array([z[a] for a in nts])
+    for a, b, c, p in rows:
+        t[b, a] += p * i[c]
+        t[c, a] += p * i[b]
+    o = np.linalg.solve(np.eye(len(nts)) - t, np.eye(len(nts))[nts.index(start)])
+    return dict(zip(nts, o.tolist(), strict=True))
+
+
+def all_scores(rules: DataFrame, start: str = "S") -> DataFrame:
+    """(nt, inside, outside, io) of a convergent weighted grammar: sums over its trees, its contexts, and both together."""
+    z = partition_function(rules)
+    o = outside_scores(rules, z, start)
+    return rules.sparkSession.createDataFrame([(a, z[a], o[a], z[a] * o[a]) for a in sorted(z)], "nt string, inside double, outside double, io double")
+
+
+def weighted_expectations(rules: DataFrame, scores: DataFrame) -> DataFrame:
+    """(lhs, r1, r2, e): weight of all trees, each times its uses of the rule: outside of the left side, p, insides of the children."""
+    x = _with(_with(rules, scores.select("nt", "inside"), "inside"), scores.select("nt", "outside"), "outside")
+    return x.select(*RULE, (F.col("p") * F.col("outside_lhs") * F.col("inside_r1") * F.col("inside_r2")).alias("e"))
+
+
+def expected_words(rules: DataFrame) -> DataFrame:
+    """(nt, word, e): expected number of each word below each nonterminal of a consistent grammar."""
+    nts, _, rows = _reduced(rules)
+    t = np.zeros((len(nts), len(nts)))
+    for a, b, c, p in rows:
+        t[a, b] += p
+        t[a, c] += p
+    uses = np.linalg.inv(np.eye(len(nts)) - t)
+    table = rules.sparkSession.createDataFrame([(a, b, float(uses[i, j])) for i, a in enumerate(nts) for j, b in enumerate(nts) if uses[i, j] > 0], "nt string, lhs string, u double")
+    return lexical(rules).join(F.broadcast(table), "lhs").groupBy("nt", F.col("r1").alias("word")).agg(F.sum(F.col("p") * F.col("u")).alias("e"))
+
+
+def is_convergent(rules: DataFrame, start: str = "S") -> bool:
+    """Whether the start's trees have a finite sum: fixed-point steps from 0, which only rise, neither leave all bounds nor go on rising."""
+    try:
+        return bool(np.isfinite(partition_function(rules, "fixpoint", 1000)[start]))
+    except Divergent:
+        return False
+
+
+def is_consistent(rules: DataFrame, epsilon: float = 1e-5, start: str = "S") -> bool:
+    try:
+        return abs(partition_function(rules, "fixpoint", 5000)[start] - 1) < epsilon
+    except Divergent:
+        return False
+
+
+def lexically_scaled(rules: DataFrame) -> DataFrame:
+    """Lexical weights times 1 / (8 words x greatest binary weight x greatest lexical weight): convergent, of the same conditional distribution."""
+    top = rules.agg(F.countDistinct(F.when(F.col("r2").isNull(), F.col("r1"))).alias("w"), F.max(F.when(F.col("r2").isNotNull(), F.col("p"))).alias("b"), F.max(F.when(F.col("r2").isNull(), F.col("p"))).alias("l"))
+    return rules.crossJoin(F.broadcast(top)).select(*RULE, F.when(F.col("r2").isNull(), F.col("p") / (8 * F.col("w") * F.col("b") * F.col("l"))).otherwise(F.col("p")).alias("p"))
+
+
+def containing(rules: DataFrame, word: str, start: str = "S") -> DataFrame:
+    """The grammar of the strings that hold ``word``: nonterminals are pairs of states before and after its first place.
+
+    ``Ax00`` has no such word, ``Ax01`` its first, ``Ax11`` stands behind it and is free; only what the new start reaches stays.
+    """
+    tag = lambda c, x: F.concat(c, F.lit(x))
+    lex, two = lexical(rules), binary(rules)
+    hit = F.col("r1") == word
+    parts = [lex.select(tag("lhs", "x01").alias("lhs"), "r1", "r2", "p").where(hit), lex.select(tag("lhs", "x00").alias("lhs"), "r1", "r2", "p").where(~hit), lex.select(tag("lhs", "x11").alias("lhs"), "r1", "r2", "p")]
+    for a, b, c in (("x00", "x00", "x00"), ("x01", "x00", "x01"), ("x01", "x01", "x11"), ("x11", "x11", "x11")):
+        parts.append(two.select(tag("lhs", a).alias("lhs"), tag("r1", b).alias("r1"), tag("r2", c).alias("r2"), "p"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return useful(out, f"{start}x01")
+
+
+def lexical_posteriors(rules: DataFrame, word: str, start: str = "S") -> list[tuple[str, float]]:
+    """Nonterminals that a word may come from, the likeliest first."""
+    post = terminal_posteriors(rules, expectation_frame(rules, start)).where(F.col("word") == word)
+    return [(r["nt"], r["posterior"]) for r in post.orderBy(F.desc("posterior"), "nt").collect()]
+
+
+def bottom_up_step(rules: DataFrame, counts: DataFrame, n: float) -> DataFrame:
+    """Binary bottom-up weights estimated anew from expected counts of n sentences: E(rule) / (E(B) E(C)); lexical ones stay."""
+    e = counts.groupBy("lhs").agg((F.sum("n") / n).alias("e"))
+    x = matched(rules, counts.select(*RULE, F.col("n").alias("p")))
+    x = x.join(F.broadcast(e.select(F.col("lhs").alias("r1"), F.col("e").alias("e1"))), "r1", "left").join(F.broadcast(e.select(F.col("lhs").alias("r2"), F.col("e").alias("e2"))), "r2", "left")
+    return x.select(*RULE, F.when(F.col("r2").isNull(), F.col("p")).otherwise(F.coalesce(F.try_divide(F.coalesce("q", F.lit(0.0)) / n, F.col("e1") * F.col("e2")), F.lit(0.0))).alias("p"))
+
+
+def length_kl(target: DataFrame, hypothesis: DataFrame, most: int) -> float:
+    """Divergence of yield lengths up to ``most``, all longer ones as one."""
+    p, q = (dict(length_distribution(g, most)) for g in (target, hypothesis))
+    out, rest_p, rest_q = 0.0, 1.0, 1.0
+    for n, x in p.items():
+        rest_p, rest_q = rest_p - x, rest_q - q[n]
+        if x > 0:
+            if q[n] <= 0:
+                return float("inf")
+            out += x * float(np.log(x / q[n]))
+    if rest_p > 0:
+        if rest_q <= 0:
+            return float("inf")
+        out += rest_p * float(np.log(rest_p / rest_q))
+    return out

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.operators import charts, trees
+from spanwright.operators import grammar as G
 from spanwright.operators.grammar import is_normalised
 
 
@@ -62,3 +64,66 @@ def sample_trees(rules: DataFrame, n: int, seed: int, start: str = "S", max_dept
 def yields(trees: DataFrame) -> DataFrame:
     """(sample, w): the words of sampled trees."""
     return trees.where("tree is not null").select("sample", F.expr(r"regexp_extract_all(tree, '([^\\s()]+)\\)', 1)").alias("w"))
+
+
+def random_grammar(spark, nonterminals: int, terminals: int, seed: int, binary_share: float = 0.4, concentration: float = 1.0, zipf: float = 1.0, per_nonterminal: int | None = None) -> DataFrame:
+    """(lhs, r1, r2, p): a normalised grammar drawn at random. The start rewrites as pairs only and is in no right side.
+
+    Every other nonterminal keeps ``1 - binary_share`` of its mass for words (under one half branches, so trees are finite) and deals
+    it over words, all or ``per_nonterminal`` of them, by Zipf weights in an order of its own; pairs get Dirichlet weights.
+    """
+    rng = np.random.default_rng(seed)
+    below, words = [f"NT{k}" for k in range(1, nonterminals)], trees.made_words(terminals, rng)
+    rows = []
+    for a in ["S", *below]:
+        share = 1.0 if a == "S" else binary_share
+        for (b, c), p in zip([(b, c) for b in below for c in below], rng.dirichlet(np.full(len(below) ** 2, concentration)), strict=True):
+            rows.append((a, b, c, float(share * p)))
+        if a != "S":
+            own = rng.permutation(words)[:per_nonterminal]
+            w = np.arange(1, len(own) + 1) ** -float(zipf)
+            rows += [(a, str(x), None, float((1 - share) * p)) for x, p in zip(own, w / w.sum(), strict=True)]
+    return spark.createDataFrame([r for r in rows if r[3] > 0], "lhs string, r1 string, r2 string, p double")
+
+
+def with_terminals(rules: DataFrame, terminals: int, seed: int, zipf: float = 1.0) -> DataFrame:
+    """The same nonterminals and pairs over a lexicon of another size: each nonterminal's lexical mass is dealt anew."""
+    rng = np.random.default_rng(seed)
+    words = trees.made_words(terminals, rng)
+    rows = []
+    for r in G.lexical(rules).groupBy("lhs").agg(F.sum("p").alias("m")).orderBy("lhs").collect():  # one row per nonterminal
+        w = np.arange(1, terminals + 1) ** -float(zipf)
+        rows += [(r["lhs"], str(x), None, float(r["m"] * p)) for x, p in zip(rng.permutation(words), w / w.sum(), strict=True)]
+    return rules.sparkSession.createDataFrame(rows, "lhs string, r1 string, r2 string, p double").unionByName(G.binary(rules).select("lhs", "r1", "r2", "p"))
+
+
+def scored_samples(rules: DataFrame, n: int, seed: int, max_length: int = 50, start: str = "S", models: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(sample, tree, len, and for the grammar itself and each further one: lp_tree, lp_bracket, lp_string): log weights of sampled
+    trees, of all labellings of their shapes, and of their strings; null where a grammar has none. Trees over ``max_length`` words go."""
+    read = trees.read_trees(sample_trees(rules, n, seed, start).where("tree is not null"), "tree").where("nodes is not null")
+    read = read.withColumn("w", trees.leaf_words(F.col("nodes"))).where(F.size("w") <= max_length)
+    out = read.select("sample", "tree", F.size("w").alias("len"))
+    for name, g in ({"target": rules} | (models or {})).items():
+        chart = charts.chart_of(g, start)
+        string = charts.inside_log_probability(read.select("sample", "w"), chart).withColumnRenamed("lp", f"{name}_string")
+        bracket = charts.bracketed_scores(read.select("sample", "nodes"), chart).select("sample", F.col("lp").alias(f"{name}_bracket"))
+        prods = read.select("sample", F.explode("nodes").alias("x"), "nodes")
+        child = lambda c: F.get("nodes", F.col(f"x.{c}"))["label"]
+        lex = F.col("x.word").isNotNull()
+        prods = prods.select("sample", F.col("x.label").alias("lhs"), F.when(lex, F.col("x.word")).otherwise(child("left")).alias("r1"), F.when(~lex, child("right")).alias("r2"))
+        tree = G.derivation_scores(prods, g, ["sample"]).withColumnRenamed("lp", f"{name}_tree")
+        out = out.join(string, "sample").join(bracket, "sample").join(tree, "sample")
+    return out
+
+
+def string_entropy(scored: DataFrame) -> DataFrame:
+    """One row: entropy of strings, of trees given strings (ambiguity), and word perplexity, from a grammar's own samples."""
+    return scored.agg((-F.avg("target_string")).alias("entropy"), F.avg(F.col("target_string") - F.col("target_tree")).alias("ambiguity"), F.exp(-F.sum("target_string") / F.sum(F.col("len") + 1)).alias("perplexity"))
+
+
+def string_density(rules: DataFrame, length: int, n: int, seed: int) -> float:
+    """Share of n strings of ``length`` words, drawn evenly, that the grammar has."""
+    words = [r["r1"] for r in G.lexical(rules).select("r1").distinct().orderBy("r1").collect()]  # the lexicon
+    at = [F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(len(words))).cast("int") for k in range(length)]
+    s = rules.sparkSession.range(n).select("id", F.array(*[F.get(F.array(*[F.lit(w) for w in words]), a) for a in at]).alias("w"))
+    return float(charts.inside_log_probability(s, charts.chart_of(rules)).agg(F.avg(F.col("lp").isNotNull().cast("double"))).first()[0])

@@ -12,8 +12,8 @@ def mutual(bg: Column, u1: Column, u2: Column) -> Column:
     return F.when(bg > 0, bg * F.ln(bg / (u1 * u2))).otherwise(F.lit(0.0))
 
 
-def pmi(bigrams: DataFrame, words: DataFrame, total: DataFrame, min_count: int = 5) -> DataFrame:
-    """(w1, w2, n, pmi) of frequent neighbours: ln E(w1 w2) - ln E(w1) - ln E(w2), expectations per sentence."""
+def pmi(bigrams: DataFrame, words: DataFrame, total: DataFrame, min_count: int = 1) -> DataFrame:
+    """(w1, w2, n, pmi) of neighbours seen ``min_count`` times: ln E(w1 w2) - ln E(w1) - ln E(w2), expectations per sentence."""
     a = words.select(F.col("word").alias("w1"), F.col("n").alias("n1"))
     b = words.select(F.col("word").alias("w2"), F.col("n").alias("n2"))
     x = bigrams.where(F.col("n") >= min_count).join(a, "w1").join(b, "w2").crossJoin(F.broadcast(total))
@@ -61,43 +61,59 @@ def distributions(features: DataFrame) -> DataFrame:
 
 
 def pair_table(dist: DataFrame, key: str = "word") -> DataFrame:
-    """Rows (a, b, feature, p, q) over the union of the supports of every ordered pair; for a bounded set of words."""
-    words = dist.select(key).distinct()
-    pairs = words.select(F.col(key).alias("a")).join(words.select(F.col(key).alias("b")), F.col("a") != F.col("b"))
-    support = dist.select("feature").distinct()
-    grid = pairs.join(support)
-    p = dist.select(F.col(key).alias("a"), "feature", "p")
-    q = dist.select(F.col(key).alias("b"), "feature", F.col("p").alias("q"))
-    return grid.join(p, ["a", "feature"], "left").join(q, ["b", "feature"], "left").select("a", "b", "feature", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
+    """(a, b, p, q, lone) of every ordered pair of words and each feature that a has: q is 0 where b lacks it. For a bounded set of words.
+
+    One row a word, its features in a map: pairs of words are made once, not once a feature.
+    """
+    rows = dist.where("p > 0").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "p"))).alias("m"))
+    a, b = rows.select(F.col(key).alias("a"), F.col("m").alias("ma")), rows.select(F.col(key).alias("b"), F.col("m").alias("mb"))
+    return a.join(b, F.col("a") != F.col("b")).select("a", "b", F.transform(F.map_entries("ma"), lambda e: F.struct(e["value"].alias("p"), F.coalesce(F.try_element_at("mb", e["key"]), F.lit(0.0)).alias("q"))).alias("pq"))
 
 
 def renyi(pairs: DataFrame, alpha: float) -> DataFrame:
-    """(a, b, d): Renyi divergence of order alpha; infinite where b lacks what a has; order 1 is Kullback-Leibler."""
-    lacks = F.max(((F.col("p") > 0) & (F.col("q") <= 0)).cast("int"))
-    ok = (F.col("p") > 0) & (F.col("q") > 0)
-    if alpha == 1:
-        d = F.sum(F.when(ok, F.col("p") * F.ln(F.try_divide(F.col("p"), F.when(ok, F.col("q"))))).otherwise(0.0))
+    """(a, b, d): Renyi divergence of order alpha of the rows of ``pair_table``; infinite where b lacks what a has; order 1 is Kullback-Leibler."""
+    lacks = F.exists("pq", lambda x: x["q"] <= 0)
+    add = (lambda x: x["p"] * F.ln(x["p"] / x["q"])) if alpha == 1 else (lambda x: x["p"] * F.pow(x["p"] / x["q"], alpha - 1))
+    total = F.aggregate(F.filter("pq", lambda x: x["q"] > 0), F.lit(0.0), lambda s, x: s + add(x))
+    return pairs.select("a", "b", F.when(lacks, F.lit(float("inf"))).otherwise(F.round(total if alpha == 1 else F.ln(total) / (alpha - 1), 9)).alias("d"))
+
+
+def chi2_pairs(contexts: DataFrame, min_column: int = 5, focus: str | None = None) -> DataFrame:
+    """(a, b, chi2, n, df, v): homogeneity of two words' contexts, over columns that they hold more than ``min_column`` times together.
+
+    With one degree of freedom each difference is drawn half a count towards nothing (Yates). ``focus`` pairs one word with the
+    others. Only the words that share a context meet there (a bounded list of words); what a word holds alone counts through its
+    sums: chi2 = (sum x^2 / (x + y) - nx^2 / n) n^2 / (nx ny), where a column of one word alone adds x or nothing to the sum.
+    """
+    held = contexts.groupBy("side", "ctx").agg(F.collect_list(F.struct("word", "n")).alias("held")).where(F.size("held") > 1)
+    pair = lambda u, v: F.struct(u["word"].alias("a"), v["word"].alias("b"), u["n"].alias("x"), v["n"].alias("y"))
+    if focus is None:
+        met = F.flatten(F.transform("held", lambda u: F.transform(F.filter("held", lambda v: v["word"] > u["word"]), lambda v: pair(u, v))))
     else:
-        d = F.ln(F.sum(F.when(ok, F.col("p") * F.pow(F.try_divide(F.col("p"), F.when(ok, F.col("q"))), alpha - 1)).otherwise(0.0))) / (alpha - 1)
-    return pairs.groupBy("a", "b").agg(F.when(lacks == 1, F.lit(float("inf"))).otherwise(F.round(d, 9)).alias("d"))
-
-
-def chi2_pairs(contexts: DataFrame, min_column: int = 5) -> DataFrame:
-    """(a, b, chi2, n, df, v): homogeneity of two words' contexts, over columns that they hold more than ``min_column`` times together."""
-    words = contexts.select("word").distinct()
-    pairs = words.select(F.col("word").alias("a")).join(words.select(F.col("word").alias("b")), F.col("a") < F.col("b"))
-    x = contexts.select(F.col("word").alias("a"), "side", "ctx", F.col("n").alias("x")).join(pairs, "a").select("a", "b", "side", "ctx", "x", F.lit(0).cast("long").alias("y"))
-    y = contexts.select(F.col("word").alias("b"), "side", "ctx", F.col("n").alias("y")).join(pairs, "b").select("a", "b", "side", "ctx", F.lit(0).cast("long").alias("x"), "y")
-    cells = x.unionByName(y).groupBy("a", "b", "side", "ctx").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where(F.col("x") + F.col("y") > min_column)
-    rows = cells.groupBy("a", "b").agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.count(F.lit(1)).alias("cols"))
-    c = F.col("x") + F.col("y")
-    n = F.col("nx") + F.col("ny")
-    ex, ey = F.col("nx") * c / n, F.col("ny") * c / n
-    each = F.try_divide((F.col("x") - ex) ** 2, ex) + F.try_divide((F.col("y") - ey) ** 2, ey)
-    return (
-        cells.join(rows, ["a", "b"]).where("cols >= 2 and nx > 0 and ny > 0").groupBy("a", "b").agg(F.sum(each).alias("chi2"), F.max(n).alias("n"), (F.max("cols") - 1).alias("df"))
-        .select("a", "b", F.round("chi2", 6).alias("chi2"), "n", "df", F.round(F.sqrt(F.col("chi2") / F.col("n")), 9).alias("v"))
+        ordered = lambda u, v: F.when(u["word"] < v["word"], pair(u, v)).otherwise(pair(v, u))
+        met = F.flatten(F.transform(F.filter("held", lambda u: u["word"] == focus), lambda u: F.transform(F.filter("held", lambda v: v["word"] != focus), lambda v: ordered(u, v))))
+    both = held.select(F.explode(met).alias("p")).select("p.*", (F.col("p.x") + F.col("p.y") > min_column).alias("large"))
+    when = lambda c: F.when(F.col("large"), c)
+    over = lambda c: F.when(F.col(c) > min_column, F.col(c))
+    shared = both.groupBy("a", "b").agg(
+        F.sum(when(F.col("x"))).alias("sx"), F.sum(when(F.col("y"))).alias("sy"), F.sum(when(F.col("x") * F.col("x") / (F.col("x") + F.col("y")))).alias("q"), F.count_if("large").alias("cols"),
+        F.max(when(F.struct("x", "y"))).alias("one"), F.sum(over("x")).alias("ox"), F.sum(over("y")).alias("oy"), F.count(over("x")).alias("cx"), F.count(over("y")).alias("cy"),
     )
+    large = contexts.where(F.col("n") > min_column).groupBy("word").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c"))
+    words = contexts.groupBy("word").agg(F.count(F.lit(1)).alias("__")).drop("__")
+    order = F.col("a") < F.col("b") if focus is None else (F.col("a") < F.col("b")) & ((F.col("a") == focus) | (F.col("b") == focus))
+    x = words.select(F.col("word").alias("a")).join(words.select(F.col("word").alias("b")), order).join(shared, ["a", "b"], "left")
+    for c in ("a", "b"):
+        x = x.join(large.select(F.col("word").alias(c), F.col("s").alias(f"l{c}"), F.col("c").alias(f"c{c}")), c, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    x = x.select("a", "b", "one", zero("q").alias("q"), (zero("la") - zero("ox")).alias("ax"), (zero("lb") - zero("oy")).alias("bx"), zero("sx").alias("sx"), zero("sy").alias("sy"), (zero("cols") + zero("ca") - zero("cx") + zero("cb") - zero("cy")).alias("cols"))
+    x = x.withColumns({"nx": F.col("sx") + F.col("ax"), "ny": F.col("sy") + F.col("bx")}).withColumn("n", F.col("nx") + F.col("ny")).where("cols >= 2 and nx > 0 and ny > 0")
+    n, nx, ny = (F.col(c).cast("double") for c in ("n", "nx", "ny"))
+    # two columns: the second is what the first leaves
+    x1, y1 = F.coalesce("one.x", "ax").cast("double"), F.coalesce(F.col("one.y"), F.lit(0)).cast("double")
+    gap = F.greatest(F.abs(x1 * (ny - y1) - (nx - x1) * y1) / n - 0.5, F.lit(0.0))
+    chi2 = F.when(F.col("cols") == 2, gap * gap * (1 / (x1 + y1) + 1 / (n - x1 - y1)) * n * n / (nx * ny)).otherwise((F.col("q") + F.col("ax") - nx * nx / n) * n * n / (nx * ny))
+    return x.withColumn("chi2", chi2).select("a", "b", F.round("chi2", 6).alias("chi2"), "n", (F.col("cols") - 1).alias("df"), F.round(F.sqrt(F.greatest("chi2", F.lit(0.0)) / F.col("n")), 9).alias("v"))
 
 
 def variation_of_information(table: DataFrame, a: str, b: str) -> DataFrame:
@@ -137,7 +153,7 @@ def distance_from(vectors: DataFrame, basis: list[list[float]], vec: str = "v")
 
 
 def violation_fraction(pairs: DataFrame, epsilon: float) -> DataFrame:
-    """(a, b, vf): share of features where ln p - ln q < -epsilon, over features that both have."""
-    both = pairs.where("p > 0 and q > 0")
-    low = (F.ln("p") - F.ln("q") < -epsilon).cast("double")
-    return both.groupBy("a", "b").agg(F.round(F.avg(low), 9).alias("vf"))
+    """(a, b, vf): share of features where ln p - ln q < -epsilon, over features that both have (rows of ``pair_table``)."""
+    both = F.filter("pq", lambda x: x["q"] > 0)
+    low = F.size(F.filter(both, lambda x: F.ln(x["p"]) - F.ln(x["q"]) < -epsilon))
+    return pairs.withColumn("k", F.size(both)).where("k > 0").select("a", "b", F.round(low / F.col("k"), 9).alias("vf"))

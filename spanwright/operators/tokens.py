@@ -11,9 +11,9 @@ BOUNDARY = "<s>"
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sno, w): a text's non-empty sentences, cut at full stops and line ends, lower-cased, letters only."""
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(text_col), r"[.\n]+")).alias("sno", "t"))
-    words = F.filter(F.split(F.trim(F.regexp_replace("t", r"[^\p{L}]+", " ")), " "), lambda x: x != "")
-    return parts.select("doc_id", "sno", words.alias("w")).where(F.size("w") > 0)
+    # one generator over finished sentences: a filter behind it would split the text a second time
+    each = F.transform(F.split(F.lower(text_col), r"[.\n]+"), lambda t, k: F.struct(k.alias("sno"), F.regexp_extract_all(t, F.lit(r"(\p{L}+)"), F.lit(1)).alias("w")))
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.filter(each, lambda x: F.size(x["w"]) > 0)))
 
 
 def sequences(events: DataFrame, key: str, order: list[str], symbol: str, length: int) -> DataFrame:
@@ -33,6 +33,11 @@ def word_counts(sents: DataFrame) -> DataFrame:
     return sents.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_of(ngrams: DataFrame, word: str = "w2") -> DataFrame:
+    """Word counts from an n-gram table, whose exchange Spark then uses for both."""
+    return ngrams.where(F.col(word) != BOUNDARY).groupBy(F.col(word).alias("word")).agg(F.sum("n").alias("n"))
+
+
 def _padded(w: Column) -> Column:
     return F.concat(F.array(F.lit(BOUNDARY)), w, F.array(F.lit(BOUNDARY)))
 
@@ -76,14 +81,41 @@ def of_length(sents: DataFrame, n: int) -> DataFrame:
 def vocabulary(counts: DataFrame, min_count: int = 1) -> DataFrame:
     """(word, n, id): ids from 1 by descending count, then word; the boundary has 0.
 
-    The rank comes from per-range ranks plus the ranges' sizes, so no task holds the whole vocabulary.
+    Ids are ranks within ranges plus the sizes of the ranges before: a range is one count and two first letters for rare words, of
+    which there are most, and a power of two of counts for others, so no task holds the whole vocabulary.
     """
-    kept = counts.where(F.col("n") >= min_count)
-    ranked = kept.withColumn("bucket", -F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
-    sizes = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))  # one row for each power of two
-    before = sizes.select("bucket", F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    local = ranked.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("n"), "word")))
-    return local.join(F.broadcast(before), "bucket").select("word", "n", (F.col("k") + F.col("before")).cast("long").alias("id"))
+    rare = F.col("n") < 64
+    ranked = counts.where(F.col("n") >= min_count).withColumns({"level": F.when(rare, -F.col("n")).otherwise(-64 - F.floor(F.log2(F.col("n").cast("double")))).cast("long"), "head": F.when(rare, F.substring("word", 1, 2)).otherwise("")})
+    sizes = ranked.groupBy("level", "head").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("level", "head", F.coalesce(F.sum("size").over(Window.orderBy("level", "head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    local = ranked.withColumn("k", F.row_number().over(Window.partitionBy("level", "head").orderBy(F.desc("n"), "word")))
+    return local.join(before, ["level", "head"]).select("word", "n", (F.col("k") + F.col("before")).cast("long").alias("id"))
+
+
+#: Ids of what is no word: padding, start and end of a sentence, unknown words (fixed values).
+SPECIAL = {"<pad>": 0, "<sos>": 1, "<eos>": 2, "<unk>": 3}
+
+
+def special_vocabulary(counts: DataFrame, min_count: int = 1) -> DataFrame:
+    """(word, id): the special tokens, and behind them the words by descending count."""
+    own = counts.sparkSession.createDataFrame(sorted(SPECIAL.items(), key=lambda x: x[1]), "word string, id long")
+    return own.unionByName(vocabulary(counts, min_count).select("word", (F.col("id") + len(SPECIAL) - 1).alias("id")))
+
+
+def encoded(sents: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(keys, ids): sentences as ids between start and end, unknown words as <unk>."""
+    keys = [c for c in sents.columns if c != "w"]
+    t = sents.select(*keys, F.posexplode_outer("w").alias("pos", "word")).join(vocabulary.select("word", "id"), "word", "left")
+    inner = F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(SPECIAL["<unk>"])).alias("id"))))), lambda x: x["id"])
+    return t.groupBy(*keys).agg(F.concat(F.array(F.lit(SPECIAL["<sos>"]).cast("long")), inner, F.array(F.lit(SPECIAL["<eos>"]).cast("long"))).alias("ids"))
+
+
+def decoded(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(keys, w): ids as words again, special ones left out but <unk>."""
+    keys = [c for c in rows.columns if c != "ids"]
+    t = rows.select(*keys, F.posexplode("ids").alias("pos", "id")).join(vocabulary.select("word", "id"), "id", "left")
+    kept = F.when(~F.col("word").isin("<pad>", "<sos>", "<eos>"), F.struct("pos", "word"))
+    return t.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["word"]).alias("w"))
 
 
 def replace_rare(sents: DataFrame, counts: DataFrame, min_count: int, unk: str = "unk") -> DataFrame:
@@ -99,11 +131,11 @@ def contexts(sents: DataFrame, wanted: DataFrame, k: int = 2) -> DataFrame:
     pad = F.array_repeat(F.lit(BOUNDARY), k)
     padded = sents.select(F.concat(pad, "w", pad).alias("p"), F.posexplode("w").alias("pos", "word"))
     ctx = F.concat_ws(" ", F.slice("p", F.col("pos") + 1, F.lit(k)), F.slice("p", F.col("pos") + k + 2, F.lit(k)))
-    rows = padded.select("word", ctx.alias("ctx")).join(F.broadcast(wanted.select("word")), "word", "left_semi")
+    rows = padded.join(wanted.select("word"), "word", "left_semi").select("word", ctx.alias("ctx"))
     return rows.groupBy("word", "ctx").agg(F.count(F.lit(1)).alias("n"))
 
 
-def gap_correction(sents: DataFrame, min_count: int = 5) -> DataFrame:
+def gap_correction(sents: DataFrame, min_count: int = 1) -> DataFrame:
     """Per context (left, right): ln c1 - ln c2 + ln T2 - ln T1 of its one-word against its two-word gaps.
 
     A context never seen around two words counts half there; only contexts of ``min_count`` one-word gaps are given.
@@ -159,8 +191,9 @@ def exchange_objective(table: DataFrame) -> DataFrame:
     return x.agg(F.round(F.sum(n * F.ln(n / (u1 * u2))), 3).alias("objective"))
 
 
-def word_contexts(bigrams: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(word, side, ctx, n): neighbours of the wanted words, boundary left out."""
+def word_contexts(bigrams: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(word, side, ctx, n): neighbours of the wanted words, or of all; boundary left out."""
     inner = bigrams.where((F.col("w1") != BOUNDARY) & (F.col("w2") != BOUNDARY))
-    both = inner.select(F.col("w2").alias("word"), F.lit("left").alias("side"), F.col("w1").alias("ctx"), "n").unionByName(inner.select(F.col("w1").alias("word"), F.lit("right").alias("side"), F.col("w2").alias("ctx"), "n"))
-    return both.join(F.broadcast(wanted.select("word")), "word", "left_semi")
+    sides = F.explode(F.array(F.struct(F.col("w2").alias("word"), F.lit("left").alias("side"), F.col("w1").alias("ctx"), "n"), F.struct(F.col("w1").alias("word"), F.lit("right").alias("side"), F.col("w2").alias("ctx"), "n")))
+    both = inner.select(sides.alias("x")).select("x.*")
+    return both if wanted is None else both.join(wanted.select("word"), "word", "left_semi")

@@ -152,3 +152,53 @@ def random_tree(words: list[str], labels: list[str], rng: np.random.Generator) -
         return f"({label} {build(lo, lo + k + 1, str(rng.choice(labels)))} {build(lo + k + 1, hi, str(rng.choice(labels)))})"
 
     return build(0, len(words), labels[0])
+
+
+def depth(nodes: list[dict] | None) -> int:
+    """Levels of a tree; a single leaf has one."""
+    if not nodes:
+        return 0
+    level = {0: 1}
+    for n in nodes:  # parents stand before their children
+        for c in (n["left"], n["right"]):
+            if c >= 0:
+                level[c] = level[n["id"]] + 1
+    return max(level.values())
+
+
+def unlabelled(nodes: Column) -> Column:
+    """A tree's shape with its words, as text: equal for trees that differ in labels only."""
+    return F.array_join(F.transform(nodes, lambda n: F.concat_ws(":", n["i"].cast("string"), n["j"].cast("string"), F.coalesce(n["word"], F.lit("")))), " ")
+
+
+def simplified(nested: str) -> str:
+    """Bracket text whose lexical nodes have a preterminal of their own, ``(A (PREA w))``, as ``(A w)``; a root above the start,
+    ``(S1 (S ...))``, goes. Both are unary nodes, so any unary node gives way to its child, lexical ones keeping the upper label."""
+    stack: list[list] = [[]]
+    for t in _TOKEN.findall(nested):
+        if t == "(":
+            stack.append([])
+        elif t == ")":
+            x = stack.pop()
+            if len(x) == 2 and isinstance(x[1], list):  # unary
+                x = [x[0], x[1][1]] if len(x[1]) == 2 and isinstance(x[1][1], str) else x[1]
+            stack[-1].append(x)
+        else:
+            stack[-1].append(t)
+    text = lambda x: x if isinstance(x, str) else "(" + " ".join(text(y) for y in x) + ")"
+    return text(stack[0][0])
+
+
+def max_entropy(n: int) -> float:
+    """Entropy of a uniform choice among the binary trees over n words."""
+    return float(np.log(catalan(n - 1))) if n > 0 else 0.0
+
+
+def made_words(n: int, rng: np.random.Generator, length: int = 3) -> list[str]:
+    """n different strings of lower-case letters; longer ones where the short ones don't suffice."""
+    out: dict[str, None] = {}
+    while len(out) < n:
+        if len(out) * 2 >= 26**length:
+            length += 1
+        out["".join(chr(97 + k) for k in rng.integers(0, 26, length))] = None
+    return list(out)

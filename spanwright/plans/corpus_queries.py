@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from spanwright.operators import stats as S
 from spanwright.operators import tokens as T
 
-N_CLUSTERS, MIN_COUNT, TOP = 10, 10, 12
+#: Clusters, least count of a clustered word, candidate words of the pair queries.
+N_CLUSTERS, MIN_COUNT, TOP = 10, 10, 300
 
 
 def _t(spark, sf, name):
@@ -23,12 +24,12 @@ def _counts(spark, sf):
 
 
 def _top(spark, sf, n=TOP):
-    """The n most frequent words."""
-    return _counts(spark, sf).orderBy(F.desc("n"), "word").limit(n)
+    """The n most frequent words, a list of fixed size, as a table of its own."""
+    return spark.createDataFrame([tuple(r) for r in _counts(spark, sf).orderBy(F.desc("n"), "word").limit(n).collect()], "word string, n long")
 
 
-def _clusters(spark, sf):
-    return T.hashed_clusters(_counts(spark, sf), N_CLUSTERS, MIN_COUNT)
+def _clusters(counts):
+    return T.hashed_clusters(counts, N_CLUSTERS, MIN_COUNT)
 
 
 def word_expectations(spark, sf):
@@ -48,24 +49,29 @@ def length2_expectations(spark, sf):
 
 def bigram_pmi(spark, sf):
     s = _sents(spark, sf)
-    return S.pmi(T.inner_bigrams(s), T.word_counts(s), T.sentence_count(s))
+    b = T.bigram_counts(s)
+    # a sentence has one boundary before it
+    total = b.where(F.col("w1") == T.BOUNDARY).agg(F.sum("n").alias("total"))
+    return S.pmi(b.where((F.col("w1") != T.BOUNDARY) & (F.col("w2") != T.BOUNDARY)), T.counts_of(b), total)
 
 
 def marginal(spark, sf):
-    return T.marginal_features(T.bigram_counts(_sents(spark, sf)), _clusters(spark, sf), N_CLUSTERS)
+    b = T.bigram_counts(_sents(spark, sf))
+    return T.marginal_features(b, _clusters(T.counts_of(b)), N_CLUSTERS)
 
 
 def joint(spark, sf):
-    return T.joint_features(T.trigram_counts(_sents(spark, sf)), _clusters(spark, sf), N_CLUSTERS)
+    t = T.trigram_counts(_sents(spark, sf))
+    return T.joint_features(t, _clusters(T.counts_of(t)), N_CLUSTERS)
 
 
 def cluster_table(spark, sf):
-    return T.cluster_bigrams(T.bigram_counts(_sents(spark, sf)), _clusters(spark, sf))
+    b = T.bigram_counts(_sents(spark, sf))
+    return T.cluster_bigrams(b, _clusters(T.counts_of(b)))
 
 
 def _top_pairs(spark, sf):
-    top = _top(spark, sf)
-    return S.pair_table(S.distributions(marginal(spark, sf).join(F.broadcast(top.select("word")), "word", "left_semi")))
+    return S.pair_table(S.distributions(marginal(spark, sf).join(F.broadcast(_top(spark, sf).select("word")), "word", "left_semi")))
 
 
 def basis_distance(spark, sf):
@@ -99,13 +105,13 @@ QUERIES = {
     "context_features_joint": joint,
     "cluster_bigram_table": cluster_table,
     "exchange_objective": lambda sp, sf: T.exchange_objective(cluster_table(sp, sf)),
-    "word_context_long": lambda sp, sf: T.word_contexts(T.bigram_counts(_sents(sp, sf)), _counts(sp, sf).where("n >= 200")),
+    "word_context_long": lambda sp, sf: T.word_contexts(T.bigram_counts(_sents(sp, sf))),
     "chi2_pairs": lambda sp, sf: S.chi2_pairs(T.word_contexts(T.bigram_counts(_sents(sp, sf)), _top(sp, sf))),
     "segment_association": segment_association,
     "renyi_pairs": lambda sp, sf: S.renyi(_top_pairs(sp, sf), 2.0),
     "kl_pairs": lambda sp, sf: S.renyi(_top_pairs(sp, sf), 1),
     "violation_fraction": lambda sp, sf: S.violation_fraction(_top_pairs(sp, sf), 0.5),
-    "shrinkage_rows": lambda sp, sf: S.shrunk(marginal(sp, sf).join(_counts(sp, sf).where("n >= 50").select("word"), "word", "left_semi")),
+    "shrinkage_rows": lambda sp, sf: S.shrunk(marginal(sp, sf)),
     "basis_distance": basis_distance,
     "variation_of_information": lambda sp, sf: S.variation_of_information(_t(sp, sf, "documents"), "lang", "source"),
 }
@@ -113,16 +119,16 @@ QUERIES = {
 SENT = r"""
 doc_parts AS (SELECT doc_id, regexp_split_to_array(lower(text), '[.\n]+') AS p FROM documents),
 sent_text AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS sno FROM doc_parts),
-sent AS (SELECT doc_id, sno, w FROM (SELECT doc_id, sno, list_filter(string_split(trim(regexp_replace(t, '[^\p{L}]+', ' ', 'g')), ' '), lambda x : x <> '') AS w FROM sent_text) WHERE len(w) > 0),
+sent AS MATERIALIZED (SELECT doc_id, sno, w FROM (SELECT doc_id, sno, list_filter(string_split(trim(regexp_replace(t, '[^\p{L}]+', ' ', 'g')), ' '), lambda x : x <> '') AS w FROM sent_text) WHERE len(w) > 0),
 padded AS (SELECT doc_id, sno, w, list_concat(['<s>'], w, ['<s>']) AS p FROM sent),
 tok AS (SELECT doc_id, sno, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM sent),
-cnt AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+cnt AS MATERIALIZED (SELECT word, count(*) AS n FROM tok GROUP BY word),
 total AS (SELECT count(*) AS total FROM sent)"""
-BI = ", pairs AS (SELECT unnest(list_zip(p[:-2], p[2:])) AS b FROM padded), bi AS (SELECT b[1] AS w1, b[2] AS w2, count(*) AS n FROM pairs GROUP BY ALL)"
-TRI = ", trip AS (SELECT unnest(list_zip(p[1:-3], p[2:-2], p[3:])) AS b FROM padded), tri AS (SELECT b[1] AS w1, b[2] AS w2, b[3] AS w3, count(*) AS n FROM trip GROUP BY ALL)"
+BI = ", pairs AS (SELECT unnest(list_zip(p[:-2], p[2:])) AS b FROM padded), bi AS MATERIALIZED (SELECT b[1] AS w1, b[2] AS w2, count(*) AS n FROM pairs GROUP BY ALL)"
+TRI = ", trip AS (SELECT unnest(list_zip(p[1:-3], p[2:-2], p[3:])) AS b FROM padded), tri AS MATERIALIZED (SELECT b[1] AS w1, b[2] AS w2, b[3] AS w3, count(*) AS n FROM trip GROUP BY ALL)"
 CL = f", cl AS (SELECT word, (1 + ('0x' || substr(md5('7:' || word), 1, 8))::BIGINT % {N_CLUSTERS - 1})::INTEGER AS cid FROM cnt WHERE n >= {MIN_COUNT})"
 TOPQ = f", top AS (SELECT word, n FROM cnt ORDER BY n DESC, word LIMIT {TOP})"
-MARG = f""", marg AS (SELECT word, feature, sum(n)::BIGINT AS value FROM (
+MARG = f""", marg AS MATERIALIZED (SELECT word, feature, sum(n)::BIGINT AS value FROM (
   SELECT w2 AS word, coalesce(cid, 0) AS feature, bi.n FROM bi LEFT JOIN cl ON cl.word = w1 WHERE w2 <> '<s>'
   UNION ALL SELECT w1, coalesce(cid, 0) + {N_CLUSTERS + 1}, bi.n FROM bi LEFT JOIN cl ON cl.word = w2 WHERE w1 <> '<s>') GROUP BY ALL)"""
 CTAB = ", ct AS (SELECT coalesce(a.cid, 0) AS c1, coalesce(b.cid, 0) AS c2, sum(bi.n)::BIGINT AS n FROM bi LEFT JOIN cl a ON a.word = w1 LEFT JOIN cl b ON b.word = w2 GROUP BY ALL)"
@@ -133,14 +139,19 @@ pq AS (SELECT a.word AS a, b.word AS b, f.feature, coalesce(x.p, 0) AS p, coales
 
 
 def _chi2(source: str) -> str:
+    """Cells of the pairs that share a context, one by one; what a word holds alone enters by its columns' sums."""
     return f"""
-pr AS (SELECT x.word AS a, y.word AS b FROM (SELECT DISTINCT word FROM {source}) x JOIN (SELECT DISTINCT word FROM {source}) y ON x.word < y.word),
-ce AS (SELECT a, b, side, ctx, sum(x)::BIGINT AS x, sum(y)::BIGINT AS y FROM (
-  SELECT a, b, side, ctx, n AS x, 0 AS y FROM {source} JOIN pr ON word = a UNION ALL SELECT a, b, side, ctx, 0, n FROM {source} JOIN pr ON word = b) GROUP BY ALL HAVING sum(x) + sum(y) > 5),
-ro AS (SELECT a, b, sum(x)::BIGINT AS nx, sum(y)::BIGINT AS ny, count(*) AS cols FROM ce GROUP BY ALL),
-e AS (SELECT ce.*, nx, ny, cols, nx * (x + y) / (nx + ny)::DOUBLE AS ex, ny * (x + y) / (nx + ny)::DOUBLE AS ey FROM ce JOIN ro USING (a, b) WHERE cols >= 2 AND nx > 0 AND ny > 0),
-c2 AS (SELECT a, b, sum((x - ex) ** 2 / ex + (y - ey) ** 2 / ey) AS chi2, max(nx + ny) AS n, max(cols) - 1 AS df FROM e GROUP BY ALL)
-SELECT a, b, round(chi2, 6) AS chi2, n, df, round(sqrt(chi2 / n), 9) AS v FROM c2"""
+sh AS (SELECT x.word AS a, y.word AS b, side, ctx, x.n AS x, y.n AS y FROM {source} x JOIN {source} y USING (side, ctx) WHERE x.word < y.word),
+sa AS (SELECT a, b, sum(CASE WHEN x + y > 5 THEN x END) AS sx, sum(CASE WHEN x + y > 5 THEN y END) AS sy, count(*) FILTER (x + y > 5) AS c, sum(x) FILTER (x > 5) AS ox, sum(y) FILTER (y > 5) AS oy, count(*) FILTER (x > 5) AS cx, count(*) FILTER (y > 5) AS cy FROM sh GROUP BY ALL),
+lg AS (SELECT word, sum(n) FILTER (n > 5) AS s, count(*) FILTER (n > 5) AS c FROM {source} GROUP BY word),
+ro AS (SELECT u.word AS a, v.word AS b, coalesce(u.s, 0) - coalesce(ox, 0) AS ax, coalesce(v.s, 0) - coalesce(oy, 0) AS bx, u.c - coalesce(cx, 0) AS ca, v.c - coalesce(cy, 0) AS cb, coalesce(sx, 0) AS sx, coalesce(sy, 0) AS sy, coalesce(sa.c, 0) AS c
+  FROM lg u JOIN lg v ON u.word < v.word LEFT JOIN sa ON sa.a = u.word AND sa.b = v.word),
+rr AS (SELECT a, b, ax, bx, ca, cb, (sx + ax)::DOUBLE AS nx, (sy + bx)::DOUBLE AS ny, c + ca + cb AS cols FROM ro WHERE c + ca + cb >= 2 AND sx + ax > 0 AND sy + bx > 0),
+ce AS (SELECT a, b, x::DOUBLE AS x, y::DOUBLE AS y FROM sh WHERE x + y > 5 UNION ALL SELECT a, b, ax, 0 FROM rr WHERE cols = 2 AND ca = 1 UNION ALL SELECT a, b, 0, bx FROM rr WHERE cols = 2 AND cb = 1),
+e AS (SELECT ce.a, ce.b, x, y, cols, nx * (x + y) / (nx + ny) AS ex, ny * (x + y) / (nx + ny) AS ey FROM ce JOIN rr USING (a, b)),
+c2 AS (SELECT a, b, sum(CASE WHEN cols = 2 THEN greatest(abs(x - ex) - 0.5, 0) ** 2 / ex + greatest(abs(y - ey) - 0.5, 0) ** 2 / ey ELSE (x - ex) ** 2 / ex + (y - ey) ** 2 / ey END) AS chi2 FROM e GROUP BY ALL),
+ch AS (SELECT rr.a, rr.b, coalesce(chi2, 0) + CASE WHEN cols = 2 THEN 0 ELSE ax * ny / nx + bx * nx / ny END AS chi2, (nx + ny)::BIGINT AS n, cols - 1 AS df FROM rr LEFT JOIN c2 USING (a, b))
+SELECT a, b, round(chi2, 6) AS chi2, n, df, round(sqrt(chi2 / n), 9) AS v FROM ch"""
 
 
 ORACLES = {
@@ -150,14 +161,14 @@ ORACLES = {
     "length1_expectations": f"WITH {SENT}, x AS (SELECT w[1] AS word, count(*) AS n FROM sent WHERE len(w) = 1 GROUP BY ALL) SELECT word, n, round(n / total::DOUBLE, 9) AS e FROM x, total",
     "length2_expectations": f"WITH {SENT}, x AS (SELECT w[1] AS w1, w[2] AS w2, count(*) AS n FROM sent WHERE len(w) = 2 GROUP BY ALL) SELECT w1, w2, n, round(n / total::DOUBLE, 9) AS e FROM x, total",
     "bigram_pmi": f"""WITH {SENT}{BI} SELECT w1, w2, bi.n, round(ln(bi.n) + ln(total) - ln(a.n) - ln(b.n), 9) AS pmi
-FROM bi JOIN cnt a ON a.word = w1 JOIN cnt b ON b.word = w2, total WHERE w1 <> '<s>' AND w2 <> '<s>' AND bi.n >= 5""",
+FROM bi JOIN cnt a ON a.word = w1 JOIN cnt b ON b.word = w2, total WHERE w1 <> '<s>' AND w2 <> '<s>'""",
     "context_counts_k2": f"""WITH {SENT}{TOPQ}, p2 AS (SELECT w, list_concat(['<s>', '<s>'], w, ['<s>', '<s>']) AS p FROM sent),
 c AS (SELECT p, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM p2)
 SELECT word, array_to_string(list_concat(p[i:i+1], p[i+3:i+4]), ' ') AS ctx, count(*) AS n FROM c WHERE word IN (SELECT word FROM top) GROUP BY ALL""",
     "gap_correction": f"""WITH {SENT}, g1 AS (SELECT unnest(list_zip(p[1:-3], p[3:])) AS c FROM padded), g2 AS (SELECT unnest(list_zip(p[1:-4], p[4:])) AS c FROM padded WHERE len(w) > 1),
 c1 AS (SELECT c[1] AS l, c[2] AS r, count(*) AS c1 FROM g1 GROUP BY ALL), c2 AS (SELECT c[1] AS l, c[2] AS r, count(*) AS c2 FROM g2 GROUP BY ALL),
 t AS (SELECT sum(len(w)) AS t1, sum(len(w) - 1) AS t2 FROM sent)
-SELECT l, r, c1, coalesce(c2, 0) AS c2, round(ln(c1) - ln(coalesce(c2, 0.5)) + ln(t2) - ln(t1), 9) AS gap FROM c1 LEFT JOIN c2 USING (l, r), t WHERE c1 >= 5""",
+SELECT l, r, c1, coalesce(c2, 0) AS c2, round(ln(c1) - ln(coalesce(c2, 0.5)) + ln(t2) - ln(t1), 9) AS gap FROM c1 LEFT JOIN c2 USING (l, r), t""",
     "vocab_ids": f"WITH {SENT} SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS id FROM cnt WHERE n >= 2",
     "unk_replace": f"WITH {SENT} SELECT doc_id, sno::INTEGER AS sno, string_agg(CASE WHEN n >= {MIN_COUNT} THEN word ELSE 'unk' END, ' ' ORDER BY pos) AS s FROM tok JOIN cnt USING (word) GROUP BY ALL",
     "freq_of_freq": f"WITH {SENT} SELECT n AS r, count(*) AS nr FROM cnt GROUP BY ALL",
@@ -173,13 +184,13 @@ FROM tri LEFT JOIN cl a ON a.word = w1 LEFT JOIN cl b ON b.word = w3 GROUP BY AL
     "cluster_bigram_table": f"WITH {SENT}{BI}{CL}{CTAB} SELECT * FROM ct",
     "exchange_objective": f"""WITH {SENT}{BI}{CL}{CTAB}, u AS (SELECT c1, sum(n)::DOUBLE AS u1 FROM ct GROUP BY c1), v AS (SELECT c2, sum(n)::DOUBLE AS u2 FROM ct GROUP BY c2)
 SELECT round(sum(n * ln(n / (u1 * u2))), 3) AS objective FROM ct JOIN u USING (c1) JOIN v USING (c2)""",
-    "word_context_long": f"WITH {SENT}{BI}{WCTX} SELECT * FROM wc WHERE word IN (SELECT word FROM cnt WHERE n >= 200)",
+    "word_context_long": f"WITH {SENT}{BI}{WCTX} SELECT * FROM wc",
     "chi2_pairs": f"WITH {SENT}{BI}{WCTX}{TOPQ}, src AS (SELECT * FROM wc WHERE word IN (SELECT word FROM top)), {_chi2('src')}",
     "segment_association": f"WITH src AS (SELECT c_mktsegment AS word, 'nation' AS side, c_nationkey::VARCHAR AS ctx, count(*) AS n FROM customer GROUP BY ALL), {_chi2('src')}",
     "renyi_pairs": f"WITH {SENT}{BI}{CL}{MARG}{TOPQ}{DIST} SELECT a, b, CASE WHEN bool_or(p > 0 AND q <= 0) THEN 'inf'::DOUBLE ELSE round(ln(sum(CASE WHEN p > 0 AND q > 0 THEN p * (p / q) ELSE 0 END)), 9) END AS d FROM pq GROUP BY ALL",
     "kl_pairs": f"WITH {SENT}{BI}{CL}{MARG}{TOPQ}{DIST} SELECT a, b, CASE WHEN bool_or(p > 0 AND q <= 0) THEN 'inf'::DOUBLE ELSE round(sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0 END), 9) END AS d FROM pq GROUP BY ALL",
     "violation_fraction": f"WITH {SENT}{BI}{CL}{MARG}{TOPQ}{DIST} SELECT a, b, round(avg(CASE WHEN ln(p) - ln(q) < -0.5 THEN 1.0::DOUBLE ELSE 0 END), 9) AS vf FROM pq WHERE p > 0 AND q > 0 GROUP BY ALL",
-    "shrinkage_rows": f"""WITH {SENT}{BI}{CL}{MARG}, m AS (SELECT * FROM marg WHERE word IN (SELECT word FROM cnt WHERE n >= 50)), nn AS (SELECT word, sum(value)::DOUBLE AS n FROM m GROUP BY word),
+    "shrinkage_rows": f"""WITH {SENT}{BI}{CL}{MARG}, m AS MATERIALIZED (SELECT * FROM marg), nn AS (SELECT word, sum(value)::DOUBLE AS n FROM m GROUP BY word),
 g AS (SELECT feature, sum(value)::DOUBLE AS g FROM m GROUP BY feature), t AS (SELECT sum(value)::DOUBLE AS t, count(DISTINCT feature)::DOUBLE AS f FROM m)
 SELECT nn.word, g.feature, round((1 - f / (f + n)) * coalesce(m.value, 0) / n + f / (f + n) * g / t, 12) AS p FROM nn, g, t LEFT JOIN m ON m.word = nn.word AND m.feature = g.feature""",
     "basis_distance": """WITH b AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)

@@ -121,9 +121,10 @@ def relabel(spark, sf):
 
 
 def span_overlap(spark, sf):
-    """Unlabelled spans that the right-branching trees share with left-branching ones of the same sentences."""
+    """Unlabelled spans that the right-branching trees share with trees that branch right once and left for the rest."""
     s = leaves(spark, sf).select("user_id", "chunk", "n").distinct().withColumn("n", F.col("n").cast("int"))
-    return E.span_overlap(s, E.right_spans(F.col("n")), E.left_spans(F.col("n"))).select("user_id", "chunk", "n", "common", "size")
+    middle = F.flatten(F.array(F.slice(E.right_spans(F.col("n")), 1, 1), F.slice(E.left_spans(F.col("n")), 1, F.col("n"))))
+    return E.span_overlap(s, E.right_spans(F.col("n")), middle).select("user_id", "chunk", "n", "common", "size")
 
 
 def unkify(spark, sf):
@@ -150,7 +151,7 @@ QUERIES = {
     "unkify_grammar": unkify,
     "smooth_full": lambda sp, sf: _r(G.smoothed(rules(sp, sf), leaves(sp, sf).select("word"), EPS), "p", digits=12),
     "labeled_kl_exact": kl,
-    "cfg_morphism": lambda sp, sf: G.missing_rules(rules(sp, sf), _half(sp, sf, 1)),
+    "cfg_morphism": lambda sp, sf: G.missing_rules(rules(sp, sf), G.treebank_rules(productions(sp, sf).where("user_id % 50 = 1"))).unionByName(G.missing_rules(_half(sp, sf, 0), G.truncated(rules(sp, sf), expectation(sp, sf), 0.1, 0.2))),
     "partition_step": partition_step,
     "pi_to_xi": xi,
     "xi_to_pi": lambda sp, sf: _r(G.by_partition(G.to_xi(rules(sp, sf), expectation(sp, sf))), "p"),
@@ -220,7 +221,9 @@ ORACLES = {
     "labeled_kl_exact": _q(
         "SELECT round(sum(h0.p * e * (ln(h0.p) - ln(sm.p))), 9) AS kl FROM h0 JOIN e0 ON nt = h0.lhs JOIN sm ON sm.lhs = h0.lhs AND sm.r1 = h0.r1 AND sm.r2 IS NOT DISTINCT FROM h0.r2",
         HALF + ", e0 AS (SELECT lhs AS nt, count(*) / (SELECT count(*) FROM prod WHERE lhs = 'S' AND user_id % 2 = 0)::DOUBLE AS e FROM prod WHERE user_id % 2 = 0 GROUP BY lhs)" + _smooth("h1", "sm")),
-    "cfg_morphism": _q("SELECT lhs, r1, r2 FROM g EXCEPT SELECT lhs, r1, r2 FROM h1", HALF),
+    "cfg_morphism": _q(
+        "(SELECT lhs, r1, r2 FROM g EXCEPT SELECT lhs, r1, r2 FROM prod WHERE user_id % 50 = 1) UNION ALL (SELECT lhs, r1, r2 FROM h0 EXCEPT SELECT lhs, r1, r2 FROM t)",
+        HALF + ", bad AS (SELECT nt FROM ex WHERE e <= 0.1), t AS (SELECT g.* FROM g JOIN ex ON nt = lhs WHERE p * e >= 0.2 AND lhs NOT IN (SELECT nt FROM bad) AND r1 NOT IN (SELECT nt FROM bad) AND coalesce(r2, '') NOT IN (SELECT nt FROM bad))"),
     "partition_step": _q(
         "SELECT lhs AS nt, round(sum(v), 9) AS z FROM (SELECT lhs, p AS v FROM g WHERE r2 IS NULL UNION ALL SELECT g.lhs, g.p * a.z * b.z FROM g JOIN z0 a ON a.nt = g.r1 JOIN z0 b ON b.nt = g.r2) GROUP BY lhs",
         ", z0 AS (SELECT lhs AS nt, sum(p) AS z FROM g WHERE r2 IS NULL GROUP BY lhs)"),
@@ -242,5 +245,5 @@ ORACLES = {
     "exponentiated_step": _q(
         "SELECT lhs, r1, r2, round(p / sum(p) OVER (PARTITION BY lhs), 9) AS p FROM y",
         HALF + ", x AS (SELECT g.lhs, g.r1, g.r2, g.p, coalesce(h0.n, 0)::DOUBLE AS n FROM g LEFT JOIN h0 ON h0.lhs = g.lhs AND h0.r1 = g.r1 AND h0.r2 IS NOT DISTINCT FROM g.r2), y AS (SELECT lhs, r1, r2, p * exp(greatest(least(0.1::DOUBLE * n / ((SELECT sum(n) FROM h0 WHERE lhs = 'S') * p), 10), -10)) AS p FROM x)"),
-    "span_overlap": _q("SELECT DISTINCT user_id, chunk, n::INTEGER AS n, 0::INTEGER AS common, greatest(n - 2, 0)::INTEGER AS size FROM lv"),
+    "span_overlap": _q("SELECT user_id, chunk, max(n)::INTEGER AS n, count(*) FILTER (pos BETWEEN 1 AND n - 2 AND pos = 1)::INTEGER AS common, count(*) FILTER (pos BETWEEN 1 AND n - 2)::INTEGER AS size FROM lv GROUP BY ALL"),
 }

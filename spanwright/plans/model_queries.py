@@ -15,6 +15,10 @@ from spanwright.plans import corpus_queries as W
 from spanwright.plans import grammar_queries as E
 
 
+#: Least count of a word whose row may become an anchor.
+MIN_ROWS = 100
+
+
 def _r(frame, *cols, digits=9):
     return E._r(frame, *cols, digits=digits)
 
@@ -43,7 +47,7 @@ def nonterminal_expectations(spark, sf):
 
 
 def partition_function(spark, sf):
-    z = G.partition_function(E.rules(spark, sf))
+    z = G.partition_function(E.rules(spark, sf).withColumn("p", F.col("p") * 0.8))
     return spark.createDataFrame(sorted((a, round(v, 6)) for a, v in z.items()), "nt string, z double")
 
 
@@ -91,8 +95,10 @@ def sample_trees(spark, sf):
 
 
 def _rows(spark, sf):
-    words = W._counts(spark, sf).where("n >= 50").select("word")
-    return geometry.dense_rows(W.marginal(spark, sf).join(words, "word", "left_semi"), 2 * (W.N_CLUSTERS + 1))
+    b = T.bigram_counts(W._sents(spark, sf))
+    counts = T.counts_of(b)
+    features = T.marginal_features(b, W._clusters(counts), W.N_CLUSTERS)
+    return geometry.dense_rows(features.join(counts.where(F.col("n") >= MIN_ROWS).select("word"), "word", "left_semi"), 2 * (W.N_CLUSTERS + 1))
 
 
 def greedy_kernels(spark, sf):
@@ -124,24 +130,26 @@ def bootstrap_null(spark, sf):
 
 
 def exchange(spark, sf):
-    counts = W._counts(spark, sf).where("n >= 200")
-    return clustering.exchange(T.bigram_counts(W._sents(spark, sf)), T.hashed_clusters(counts, 5, 1), 5, max_sweeps=3)
+    """Words of ten occurrences or more, from a start by hash, until no half of the words' moves raises the objective."""
+    b = T.bigram_counts(W._sents(spark, sf)).persist()
+    return clustering.exchange_together(b, W._clusters(T.counts_of(b)), W.N_CLUSTERS)
 
 
 def context_divergences(spark, sf):
     s, top = W._sents(spark, sf), W._top(spark, sf)
-    return _r(contextmodels.pair_divergences(contextmodels.count_model(s, top), top), "d")
+    return _r(contextmodels.pair_divergences(s, top), "d")
 
 
 def lexical_xi_counts(spark, sf):
     s, top = W._sents(spark, sf), W._top(spark, sf)
-    d = contextmodels.pair_divergences(contextmodels.count_model(s, top), top)
+    d = contextmodels.pair_divergences(s, top)
     return _r(contextmodels.lexical_weights(d, T.expectations(top, T.sentence_count(s))), "xi")
 
 
 def antichain(spark, sf):
-    top = [r["word"] for r in W._top(spark, sf).collect()]
-    rows = [tuple(r) for r in context_divergences(spark, sf).collect()]
+    words = W._top(spark, sf)
+    top = [r["word"] for r in words.collect()]
+    rows = [tuple(r) for r in _r(contextmodels.pair_divergences(W._sents(spark, sf), words), "d").collect()]
     return spark.createDataFrame([(k, w) for k, w in enumerate(contextmodels.antichain(rows, top, 1.0))], "rank int, word string")
 
 
@@ -205,19 +213,20 @@ QUERIES = {
     "good_turing_switch": lambda sp, sf: S.good_turing(W._counts(sp, sf), "switch"),
 }
 
-_DIV = f"""{W.TOPQ}, c AS (SELECT word, array_to_string([p[i], p[i+2]], ' ') AS ctx, count(*) AS n FROM (SELECT p, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM padded) WHERE word IN (SELECT word FROM top) GROUP BY ALL),
-t AS (SELECT ctx, sum(n) AS t FROM c GROUP BY ctx), m AS (SELECT word, sum(n) AS m FROM c GROUP BY word),
-pr AS (SELECT c.word, c.ctx, c.n / m.m AS wt, top.word AS cand, ln((coalesce(k.n, 0) + 0.1::DOUBLE) / (t.t + 0.1::DOUBLE * (SELECT count(*) FROM top))) AS lp
-  FROM c JOIN m ON m.word = c.word, top JOIN t ON t.ctx = c.ctx LEFT JOIN c k ON k.word = top.word AND k.ctx = c.ctx),
-dv AS (SELECT x.word AS a, y.cand AS b, ln(sum(x.wt * exp((x.lp - ln(ta.n)) - (y.lp - ln(tb.n))))) AS d FROM pr x JOIN pr y ON x.word = y.word AND x.ctx = y.ctx JOIN top ta ON ta.word = x.word JOIN top tb ON tb.word = y.cand
-  WHERE x.word = x.cand AND y.cand <> x.word GROUP BY ALL)"""
+_DIV = f"""{W.TOPQ}, c AS MATERIALIZED (SELECT word, array_to_string([p[i], p[i+2]], ' ') AS ctx, count(*) AS n FROM (SELECT p, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM padded) WHERE word IN (SELECT word FROM top) GROUP BY ALL),
+o AS MATERIALIZED (SELECT word, ctx, n / sum(n) OVER (PARTITION BY word) AS wt, n + 0.1::DOUBLE AS s FROM c),
+bs AS (SELECT word AS a, sum(wt * s / 0.1::DOUBLE) AS base FROM o GROUP BY word),
+xt AS (SELECT x.word AS a, y.word AS b, sum(x.wt * (x.s / y.s - x.s / 0.1::DOUBLE)) AS extra FROM o x JOIN o y USING (ctx) WHERE x.word <> y.word GROUP BY ALL),
+dv AS (SELECT ta.word AS a, tb.word AS b, ln((base + coalesce(extra, 0)) * tb.n / ta.n) AS d FROM top ta JOIN top tb ON ta.word <> tb.word JOIN bs ON bs.a = ta.word LEFT JOIN xt ON xt.a = ta.word AND xt.b = tb.word)"""
 ORACLES = {
     "check_normalisation": E._q("SELECT lhs, round(sum(p), 9) AS total FROM g GROUP BY lhs"),
     "rule_kinds": E._q("SELECT count(*) FILTER (r2 IS NULL) AS lexical, count(*) FILTER (r2 IS NOT NULL) AS \"binary\", count(DISTINCT lhs) AS nonterminals FROM g"),
     "production_expectations": E._q("SELECT lhs, r1, r2, round(p * e, 9) AS e FROM g JOIN ex ON nt = lhs"),
     "terminal_expectations": E._q("SELECT word, round(sum(e), 9) AS e FROM te GROUP BY word", E.POST),
     "nonterminal_expectations": E._q("SELECT nt, round(e, 6) AS e FROM ex"),
-    "partition_function": E._q("SELECT DISTINCT lhs AS nt, 1.0::DOUBLE AS z FROM g"),
+    "partition_function": E._q(
+        "SELECT nt, round(z, 6) AS z FROM st120", ", st0 AS (SELECT DISTINCT lhs AS nt, 0.0::DOUBLE AS z FROM g), pg AS (SELECT lhs, r1, r2, 0.8::DOUBLE * p AS p FROM g)"
+        + "".join(f", st{k + 1} AS MATERIALIZED (SELECT lhs AS nt, sum(p * coalesce(a.z, CASE WHEN r2 IS NULL THEN 1 ELSE 0 END) * coalesce(b.z, 1)) AS z FROM pg LEFT JOIN st{k} a ON a.nt = pg.r1 AND pg.r2 IS NOT NULL LEFT JOIN st{k} b ON b.nt = pg.r2 GROUP BY lhs)" for k in range(120))),
     "derivation_entropy": E._q("SELECT round(sum(h * e), 9) AS entropy FROM (SELECT lhs, -sum(p * ln(p)) AS h FROM g GROUP BY lhs) JOIN ex ON nt = lhs"),
     "expected_length": E._q("SELECT round(sum(e), 9) AS length FROM te", E.POST),
     "expected_bigrams_constituent": E._q("SELECT round(sum(p * e * a.m * b.m), 9) AS expected FROM g JOIN ex ON nt = lhs JOIN lx a ON a.lhs = r1 JOIN lx b ON b.lhs = r2", ", lx AS (SELECT lhs, sum(p) AS m FROM g WHERE r2 IS NULL GROUP BY lhs)"),
