@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.operators import charts, sampling, training, trees
+from spanwright.operators import charts, clustering, evaluation, experiments, induction, recurrent, sampling, training, trees
 from spanwright.operators import grammar as G
 from spanwright.operators import tokens as T
 from spanwright.sources import sinks, text
@@ -52,6 +52,110 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         charts.inside_log_probability(text.read_corpus(spark, a.input), c).write.parquet(a.output)
 
 
+    else:
+        _more(spark, a)
+
+
+_SEARCH = [("clusters", str, None), ("n-clusters", int, 10), ("min-count", int, 100), ("number", int, None)]
+#: Further commands: name, positional arguments, options with types and defaults (... for none).
+MORE = [
+    ("clusters", "input output", [("clusters", str, None), ("n-clusters", int, 10)]),
+    ("find-kernels", "input output", _SEARCH),
+    ("learn", "input output", [*_SEARCH, ("kernels", str, None), ("binary", str, "renyi"), ("weighted", bool, None)]),
+    ("gold-kernels", "input output", []),
+    ("evaluate-kernels", "input", [("kernels", str, ...)]),
+    ("inspect", "input word", []),
+    ("terminals", "input output", []),
+    ("count", "input", []),
+    ("unkify", "input output", [("corpus", str, ...), ("min-count", int, 10)]),
+    ("smooth", "input output", [("grammar", str, ...), ("epsilon", float, 1e-6)]),
+    ("relabel", "input output", [("grammar", str, ...), ("n", int, 1000), ("seed", int, 1)]),
+    ("simplify-trees", "input output", []),
+    ("random-grammar", "output", [("nonterminals", int, 4), ("terminals", int, 200), ("seed", int, 1)]),
+    ("sgd", "input output", [("grammar", str, ...), ("batches", int, 10), ("step", float, 0.5), ("max-length", int, 15), ("update", str, "exponentiated")]),
+    ("compare", "input", [("grammar", str, ...), ("n", int, 1000), ("seed", int, 1), ("max-length", int, 20)]),
+    ("train-lm", "input output", [("min-count", int, 1), ("epochs", int, 5)]),
+    ("evaluate-lm", "input model", []),
+    ("grid", "input output", []),
+]
+
+
+def _clusters(spark: SparkSession, a: argparse.Namespace, sents):
+    """Word clusters of a file, or after the exchange."""
+    if a.clusters:
+        return text.read_clusters(spark, a.clusters)
+    b = T.bigram_counts(sents).persist()
+    return clustering.exchange_together(b, T.hashed_clusters(T.counts_of(b), a.n_clusters, 1), a.n_clusters)
+
+
+def _more(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.command == "clusters":
+        s = _corpus(spark, a.input)
+        sinks.write_clusters(_clusters(spark, a, s), a.output, n_clusters=a.n_clusters)
+    elif a.command == "find-kernels":
+        s = _corpus(spark, a.input)
+        b = T.bigram_counts(s).persist()
+        often = T.counts_of(b).where(F.col("n") >= a.min_count).select("word")
+        features = T.marginal_features(b, _clusters(spark, a, s), a.n_clusters).join(often, "word", "left_semi")
+        found = induction.find_kernels(features, T.word_contexts(b), 2 * (a.n_clusters + 1), induction.start_vector(a.n_clusters + 1), a.number)
+        sinks.write_anchors(spark, found.words, a.output, as_json=True)
+        print(json.dumps({"kernels": found.words, "reason": found.reason, "log": found.log}))
+    elif a.command == "learn":
+        s = _corpus(spark, a.input)
+        out = induction.learn(s, _clusters(spark, a, s), a.n_clusters, kernels=json.loads(a.kernels) if a.kernels else None, number=a.number, min_count=a.min_count, binary=a.binary)
+        sinks.write_grammar(out.wcfg if a.weighted else out.pcfg(), a.output)
+    elif a.command == "gold-kernels":
+        sinks.write_anchors(spark, evaluation.gold_kernels(text.read_grammar(spark, a.input)), a.output, as_json=True)
+    elif a.command == "evaluate-kernels":
+        print(json.dumps(evaluation.kernel_scores(text.read_grammar(spark, a.input), json.loads(a.kernels))))
+    elif a.command == "inspect":
+        print(json.dumps(G.lexical_posteriors(text.read_grammar(spark, a.input), a.word)))
+    elif a.command == "terminals":
+        G.lexical(text.read_grammar(spark, a.input)).select(F.col("r1").alias("value")).distinct().orderBy("value").coalesce(1).write.text(a.output)
+    elif a.command == "count":
+        g = text.read_grammar(spark, a.input)
+        print(json.dumps({"nonterminals": len(G.nonterminals(g)), "terminals": G.lexical(g).select("r1").distinct().count()}))
+    elif a.command == "unkify":
+        words = _corpus(spark, a.corpus)
+        frequent = T.word_counts(words).where(F.col("n") >= a.min_count).select("word")
+        sinks.write_grammar(G.unkify(text.read_grammar(spark, a.input), frequent), a.output)
+    elif a.command == "smooth":
+        g = text.read_grammar(spark, a.input)
+        sinks.write_grammar(G.smoothed(g, G.lexical(text.read_grammar(spark, a.grammar)).select(F.col("r1").alias("word")), a.epsilon), a.output)
+    elif a.command == "relabel":
+        target, own = text.read_grammar(spark, a.grammar), text.read_grammar(spark, a.input)
+        read = trees.read_trees(sampling.sample_trees(target, a.n, a.seed).where("tree is not null"), "tree").where("nodes is not null")
+        pairs = [(b, x) for x, b in evaluation.bijection_by_parses(target, own, read).items()]
+        sinks.write_grammar(G.relabel(own, spark.createDataFrame(pairs, "old string, new string")).select(*G.RULE, "p"), a.output)
+    elif a.command == "simplify-trees":
+        simple = F.udf(trees.simplified, "string")  # a line at a time; conversion is no hot path
+        spark.read.text(a.input).select(simple("value").alias("value")).write.text(a.output)
+    elif a.command == "random-grammar":
+        sinks.write_grammar(sampling.random_grammar(spark, a.nonterminals, a.terminals, a.seed), a.output)
+    elif a.command == "sgd":
+        fitted = training.minibatch_em(text.read_grammar(spark, a.grammar), text.read_corpus(spark, a.input), a.batches, a.step, a.max_length, a.update)
+        sinks.write_grammar(fitted, a.output)
+    elif a.command == "compare":
+        target, own = text.read_grammar(spark, a.input), text.read_grammar(spark, a.grammar)
+        scored = sampling.scored_samples(target, a.n, a.seed, a.max_length, models={"own": own})
+        out = {r["kind"]: {"kl": r["kl"], "failures": r["failures"]} for r in evaluation.sampled_divergences(scored, ["own"]).collect()}
+        print(json.dumps(out | {"length": G.length_kl(target, own, a.max_length)}))
+    elif a.command == "train-lm":
+        s = _corpus(spark, a.input)
+        v = T.special_vocabulary(T.word_counts(s), a.min_count).persist()
+        model, history = recurrent.train(recurrent.LanguageModel, T.encoded(s, v), v.count(), a.epochs)
+        model.save(a.output)
+        v.write.parquet(a.output + ".vocabulary")
+        print(json.dumps({"losses": history}))
+    elif a.command == "evaluate-lm":
+        scored = recurrent.score(T.encoded(_corpus(spark, a.input), spark.read.parquet(a.model + ".vocabulary")), recurrent.LanguageModel.load(a.model))
+        print(json.dumps({"perplexity": recurrent.perplexity(scored)}))
+    elif a.command == "grid":
+        results = experiments.run_grid(spark, experiments.grid(**text.read_settings(a.input)))
+        results.write.parquet(a.output)
+        print("\n".join(experiments.summary(spark.read.parquet(a.output), "nonterminals", "sentences", "mode").orderBy("nonterminals", "sentences", "mode").toJSON().collect()))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="spanwright")
     sub = p.add_subparsers(dest="command", required=True)
@@ -71,6 +175,15 @@ def main(argv: list[str] | None = None) -> None:
         if name == "em":
             s.add_argument("--rounds", type=int, default=5)
             s.add_argument("--max-length", type=int, default=10)
+    for name, files, options in MORE:
+        s = sub.add_parser(name)
+        for f in files.split():
+            s.add_argument(f)
+        for o, kind, default in options:
+            if kind is bool:
+                s.add_argument(f"--{o}", action="store_true")
+            else:
+                s.add_argument(f"--{o}", type=kind, default=default, required=default is ...)
     run(SparkSession.builder.appName("spanwright").getOrCreate(), p.parse_args(argv))
 
 
