@@ -1,14 +1,19 @@
 """Chroma audio fingerprints of media columns, and the alignment of recordings by them.
 
-A recording is a binary WAV column (16-bit mono). Its frames' spectra are folded into twelve pitch classes; an integral image
+A recording is a binary WAV column. Its frames' spectra are folded into twelve pitch classes; an integral image
 over (frame, pitch class) lets box filters of six shapes be read off anywhere in four look-ups each. Sixteen filters, each
 quantised to two bits, make one packed 32-bit integer for every stretch of WIDTH frames: the fingerprint. Two fingerprints are
 aligned by a histogram of the offsets at which their integers agree in the leading bits; at the best offset the share of
 differing bits says how alike the recordings are.
 
+Recordings are matched across a whole table: equal fingerprints are one class; the classes that are asked for meet all classes
+under the leading bits of their integers, an integer that many classes hold in blocks; votes for offsets are added up by Spark, and
+the best offsets of each pair are held against the bits.
+
 Defined cases: null, empty or malformed audio, and audio shorter than WIDTH frames, has an empty fingerprint; an empty
-fingerprint aligns with nothing (offset null, bit error 1.0), silence is all the same integer; repeated rows are read each for
-itself; an empty table gives an empty result; further columns are ignored.
+fingerprint aligns with nothing (offset null, bit error 1.0) and is alike to no other; silence is all the same integer, which
+stands once in a class's postings; of offsets with equal votes the one nearest to 0, then the lesser, is taken; repeated rows are
+read each for itself; an empty table gives an empty result; further columns are ignored. WAV of 8, 16, 24 and 32 bits is read.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwright.llm.common import small_batches, table, written
+from spanwright.llm.common import dropped, small_batches, table, written
 
 RATE, FRAME, HOP = 4096, 512, 128
 WIDTH = 16
@@ -42,9 +48,14 @@ def read_wav(raw: bytes | None) -> np.ndarray:
         return np.zeros(0, np.float32)
     try:
         with wave.open(io.BytesIO(raw)) as w:
-            if w.getsampwidth() != 2:
-                return np.zeros(0, np.float32)
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / 32768
+            raw_, width = w.readframes(w.getnframes()), w.getsampwidth()
+            if width == 1:
+                x = np.frombuffer(raw_, np.uint8).astype(np.float32) / 128 - 1
+            elif width == 3:
+                b = np.frombuffer(raw_[: len(raw_) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
+                x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) / 2**31).astype(np.float32)
+            else:
+                x = (np.frombuffer(raw_[: len(raw_) // width * width], {2: "<i2", 4: "<i4"}[width]) / 2.0 ** (8 * width - 1)).astype(np.float32)
             x = x[: len(x) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(1)
             rate = w.getframerate()
     except (wave.Error, EOFError, ValueError):
@@ -210,9 +221,79 @@ def fingerprint_takes(media: DataFrame, id_col: str = "id", take: str = "take",
     return media.select(F.col(id_col).alias("id"), F.col(take).alias("a"), F.col(other).alias("b")).mapInPandas(run, "id long, n_items long, fingerprint_sha256 string, offset long, bit_error double")
 
 
+#: Leading bits under which classes of different rows meet, classes of a block of one integer's holders, and the share of differing
+#: bits up to which two recordings are the same.
+MEET_BITS, HOLDERS, SAME = 24, 256, 0.15
+#: Offsets of a pair, those of the most votes, that are held against the bits.
+OFFSETS = 3
+
+
+def alike(found: DataFrame, asked: DataFrame, same: float = SAME) -> DataFrame:
+    """(a, b, offset, bit_error): for each asked class (fp) the other classes of ``found`` (fp, fingerprint) that hold the same recording.
+
+    ``found`` has a row for each different fingerprint, ``asked`` names some of them. Offsets say where b starts in a.
+    """
+    spark = found.sparkSession
+    # an integer stands once for each class and place; where a class repeats it on end, as silence does, its first place stands for the run
+    bits = lambda x: F.shiftright(x, 32 - MEET_BITS)
+    places = F.filter(F.transform("fingerprint", lambda x, i: F.struct(bits(x).alias("key"), i.alias("at"), F.when(i > 0, bits(F.get("fingerprint", i - 1))).alias("before"))), lambda p: p["before"].isNull() | (p["before"] != p["key"]))
+    posts = written(found.select("fp", F.explode(places).alias("p")).select("fp", "p.key", "p.at"), "postings")
+    holders = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    blocks = written(holders.select("key", F.ceil(F.col("m") / HOLDERS).cast("int").alias("blocks")), "holders")
+    # an asked place goes to every block of its integer's holders, each holder to one block
+    q = posts.join(asked.select("fp"), "fp", "left_semi").join(blocks, "key").select(F.col("fp").alias("a"), "key", F.col("at").alias("at_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    held = posts.join(blocks, "key").select(F.col("fp").alias("b"), "key", F.col("at").alias("at_b"), F.pmod(F.xxhash64("fp", "at"), F.col("blocks")).cast("int").alias("block"))
+    votes = q.join(held, ["key", "block"]).where("a <> b").groupBy("a", "b", (F.col("at_a") - F.col("at_b")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("votes"), F.abs("offset"), "offset"))
+    best = written(votes.where("votes > 1").withColumn("k", rank).where(F.col("k") <= OFFSETS).select("a", "b", "offset", "k"), "offsets")
+    prints = lambda c: found.select(F.col("fp").alias(c), F.col("fingerprint").alias(f"print_{c}"))
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y, o in zip(*(batch.column(c).to_pylist() for c in ("print_a", "print_b", "offset")), strict=True):
+                x, y = np.array(x, np.uint32), np.array(y, np.uint32)
+                s, e = max(0, o), min(len(x), len(y) + o)
+                out.append(float(np.bitwise_count(x[s:e] ^ y[s - o : e - o]).sum() / (32 * (e - s))) if e - s >= WIDTH else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("offset"), batch.column("k"), pa.array(out, pa.float64())], names=["a", "b", "offset", "k", "bit_error"])
+
+    compared = best.join(prints("a"), "a").join(prints("b"), "b").mapInArrow(errors, "a string, b string, offset int, k int, bit_error double")
+    one = compared.groupBy("a", "b").agg(F.min(F.struct("bit_error", "k", "offset")).alias("x")).where(F.col("x.bit_error") <= same)
+    out = written(one.select("a", "b", F.col("x.offset").cast("long").alias("offset"), F.col("x.bit_error").alias("bit_error")), "alike")
+    for x in (posts, blocks, best):
+        dropped(x)
+    return out
+
+
+def match_recordings(media: DataFrame, id_col: str = "id", audio_col: str = "audio", asked: Column | None = None) -> DataFrame:
+    """(id, n_items, fingerprint_sha256, class_id, n_alike, alike_id, alike_offset, alike_error): every recording; class_id is the
+    smallest id of equal fingerprints, and for asked recordings (those of ids divisible by 20 unless said) n_alike counts the other
+    classes of the same recording, the likest of which follows (the smallest id on a tie); null for those that are not asked."""
+    spark = media.sparkSession
+    small_batches(spark)
+    asked = F.col("id") % 20 == 0 if asked is None else asked
+    prints = fingerprint_audio(media, id_col, audio_col).withColumn("fp", F.sha2(F.array_join(F.transform("fingerprint", lambda x: x.cast("string")), ","), 256))
+    prints = written(prints, "prints")
+    classes = written(prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.max(F.coalesce(asked, F.lit(False))).alias("asked"), F.count(F.lit(1)).alias("n")), "classes")
+    heads = prints.join(classes.select("fp", F.col("class_id").alias("id")), ["fp", "id"], "left_semi").dropDuplicates(["fp"]).where(F.size("fingerprint") > 0).select("fp", "fingerprint")
+    found = alike(heads, classes.where("asked"))
+    other = found.join(classes.select(F.col("fp").alias("b"), F.col("class_id").alias("alike_id")), "b")
+    best = other.groupBy("a").agg(F.count(F.lit(1)).alias("n_alike"), F.min(F.struct("bit_error", "alike_id", "offset")).alias("x"))
+    by_class = classes.join(best.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "class_id", F.coalesce("n_alike", F.lit(0)).alias("n_alike"), "x")
+    by_class = written(by_class, "matches")  # written, so that Spark can split a hot class
+    is_asked = F.coalesce(asked, F.lit(False))
+    out = prints.select("id", F.size("fingerprint").cast("long").alias("n_items"), "fp").join(by_class, "fp", "left")
+    when = lambda c: F.when(is_asked, c)
+    return out.select("id", "n_items", F.col("fp").alias("fingerprint_sha256"), "class_id", when(F.col("n_alike")).alias("n_alike"), when(F.col("x.alike_id")).alias("alike_id"), when(F.col("x.offset")).alias("alike_offset"), when(F.col("x.bit_error")).alias("alike_error"))
+
+
+#: Second takes have the ids of their vectors and this.
+TAKE = 1 << 40
+
+
 def op6_chroma(spark, sf_dir):
-    """Recordings of all embeddings: fingerprints, the second take's alignment, and the smallest vec_id of equal fingerprints."""
-    found = fingerprint_takes(record_vectors(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
-    found = written(found, "chroma")
-    least = found.groupBy("fingerprint_sha256").agg(F.min("vec_id").alias("class_id"))
-    return found.join(least, "fingerprint_sha256").select("vec_id", "n_items", "fingerprint_sha256", "offset", "bit_error", "class_id")
+    """Recordings of all embeddings and their second takes, matched: takes of the vectors whose ids are divisible by 20 are asked."""
+    both = record_vectors(table(spark, sf_dir, "embeddings"))
+    takes = written(both.select(F.explode(F.array(F.struct(F.col("id").alias("vec_id"), F.lit(0).alias("take"), F.col("take").alias("audio")), F.struct(F.col("id").alias("vec_id"), F.lit(1).alias("take"), F.col("other").alias("audio")))).alias("x")).select((F.col("x.vec_id") + F.col("x.take") * TAKE).alias("id"), "x.audio"), "takes")
+    found = match_recordings(takes, asked=(F.col("id") % TAKE) % 20 == 0)
+    return found.select((F.col("id") % TAKE).alias("vec_id"), F.floor(F.col("id") / TAKE).cast("long").alias("take"), "n_items", "fingerprint_sha256", "class_id", "n_alike", "alike_id", "alike_offset", "alike_error")

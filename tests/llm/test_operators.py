@@ -246,6 +246,78 @@ def test_chroma(spark):
     assert len(chroma.fingerprint_takes(chroma.record_vectors(v)).collect()) == 3
 
 
+def brute_box(c, t0, t1, p0, p1):
+    return np.array([c[t + t0 : t + t1, p0:p1].sum() for t in range(len(c) - chroma.WIDTH + 1)])
+
+
+def test_integral_image_filters_match_plain_sums():
+    rng = np.random.default_rng(4)
+    c = rng.random((40, 12)).astype(np.float32)
+    whole, codes = chroma.fingerprint(c), []
+    for shape, p, h, w in chroma.FILTERS:
+        full = brute_box(c, 0, w, p, p + h)
+        if shape == 0:
+            a, b = full / h, brute_box(c, 0, w, 0, 12) / 12
+        elif shape == 1:
+            a = brute_box(c, 0, w, p, p + h // 2)
+            b = full - a
+        elif shape == 2:
+            a = brute_box(c, w // 2, w, p, p + h)
+            b = full - a
+        elif shape == 3:
+            a = brute_box(c, 0, w // 2, p, p + h // 2) + brute_box(c, w // 2, w, p + h // 2, p + h)
+            b = full - a
+        elif shape == 4:
+            m = brute_box(c, 0, w, p + h // 3, p + h - h // 3)
+            a, b = 2 * m, 2 * (full - m)
+        else:
+            m = brute_box(c, w // 3, w - w // 3, p, p + h)
+            a, b = 2 * m, full - m
+        level = np.searchsorted(chroma.STEPS, np.log((1 + a) / (1 + b)))
+        codes.append(level ^ (level >> 1))
+    want = np.zeros(len(c) - chroma.WIDTH + 1, np.uint32)
+    for k in codes:
+        want = (want << np.uint32(2)) | k.astype(np.uint32)
+    assert np.mean(want == whole) > 0.9  # rounding may move a level at its edge
+    assert np.bitwise_count(want ^ whole).mean() < 0.2
+
+
+def test_recordings_match_across_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    tunes = [chroma.melody(rng.normal(size=64)) for _ in range(6)]
+    wav = lambda x: bytearray(chroma.write_wav(x))
+    rows = [(20 * k, wav(x)) for k, x in enumerate(tunes)] + [(201, wav(0.4 * tunes[1][8 * chroma.NOTE :])), (203, wav(tunes[2] + rng.normal(0, 0.01, len(tunes[2])))), (205, wav(tunes[3])), (205, wav(tunes[3])), (207, None), (209, bytearray(b"x")), (211, wav(np.zeros(9000))), (240, wav(np.zeros(9000)))]
+    df = frame(spark, rows, "m long, audio binary").withColumn("fp", F.lit("other"))
+    for holders in (256, 2):  # integers that many hold are dealt out
+        monkeypatch.setattr(chroma, "HOLDERS", holders)
+        got = {r["id"]: r for r in chroma.match_recordings(df, "m", "audio").collect()}
+        assert len(got) == len(rows) - 1 and got[60]["class_id"] == 60 == got[205]["class_id"] and got[211]["class_id"] == 211 == got[240]["class_id"]
+        assert got[20]["n_alike"] == 1 and got[20]["alike_id"] == 201 and got[20]["alike_offset"] == 16 and got[20]["alike_error"] < 0.1
+        assert got[40]["n_alike"] == 1 and got[40]["alike_id"] == 203 and got[40]["alike_offset"] == 0
+        assert got[0]["n_alike"] == got[60]["n_alike"] == got[100]["n_alike"] == 0 and got[201]["n_alike"] is None and got[207]["n_items"] == 0
+    assert chroma.match_recordings(frame(spark, [], "m long, audio binary"), "m", "audio").count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_wav_widths(width):
+    import io
+    import wave
+
+    x, out = np.sin(np.arange(3000) / 9) * 0.7, io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(width)
+        w.setframerate(chroma.RATE)
+        if width == 1:
+            w.writeframes(((x + 1) * 127.5).astype(np.uint8).tobytes())
+        else:
+            full = (x * (2 ** (8 * width - 1) - 1)).astype(np.int64)
+            w.writeframes(b"".join(int(v).to_bytes(width, "little", signed=True) for v in full))
+    assert np.abs(chroma.read_wav(out.getvalue()) - x).max() < 0.02
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------------
 
 
