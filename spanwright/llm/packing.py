@@ -255,7 +255,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         arrays = [group.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)]
         return pa.table(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if with_ids else []), names=names + (["ids"] if with_ids else []))
 
-    return rows.groupBy("g").applyInArrow(packed, PIECES + (", ids array<int>" if with_ids else ""))
+    # so many partitions that each has a few groups, whatever the corpus's size
+    return rows.repartition(-(-groups // 8), "g").groupBy("g").applyInArrow(packed, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def op2_packing(spark, sf_dir):
