@@ -238,6 +238,42 @@ def repeated_starts(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     return out
 
 
+def repeated_by_doubling(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, lo): the starts whose string of ``length`` bytes starts elsewhere too, by prefix doubling over all positions.
+
+    Each round ranks the pairs (rank here, rank ``step`` bytes on), so ranked strings double; a position whose rank is alone leaves,
+    and with it whatever has it as its second half. Ranks are 64-bit hashes in place of dense numbers. It moves every position of the
+    corpus in its first round, so ``remove_repeats`` ranks positions through anchors instead; this is the form to hold it against.
+    """
+    small_batches(docs.sparkSession)
+    rows = written(_marked(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                raw = text.encode()
+                for s in range(0, len(raw) - length + 1, SEGMENT):
+                    b = np.frombuffer(raw[s : s + SEGMENT + SEED - 1], np.uint8)
+                    at = np.arange(len(b) - SEED + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array((at + s).astype(np.int32)), pa.array(Hashes(b).of(at, at + SEED).view(np.int64))], names=["row", "at", "rank"])
+
+    def shared(ranked: DataFrame, name: str) -> DataFrame:
+        several = ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank")
+        return written(ranked.join(several, "rank", "left_semi"), name)
+
+    first = written(rows.select("row", "text").mapInArrow(seeds, "row long, at int, rank long"), "seeds")
+    open_, reach = shared(first, "rank"), SEED
+    dropped(first)
+    while reach < length:
+        step = min(reach, length - reach)
+        second = open_.select("row", (F.col("at") - step).alias("at"), F.col("rank").alias("second"))
+        longer = written(open_.join(second, ["row", "at"]).select("row", "at", F.xxhash64("rank", "second").alias("rank")), "pairs")
+        dropped(open_)
+        open_, reach = shared(longer, "rank"), reach + step
+        dropped(longer)
+    return open_.join(rows.select("row", "doc_id", "text_hash"), "row").select("doc_id", "text_hash", F.col("at").alias("lo"))
+
+
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
 

@@ -56,6 +56,24 @@ def test_repeats_match_brute_force(spark):
     assert repeats(clashing(spark, rows)) == brute_repeats(rows, 400)
 
 
+def test_doubling_matches_anchors(spark):
+    r = random.Random(13)
+    text = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))
+    a = text(700)
+    rows = [(1, a), (2, text(90) + a[100:560] + text(50)), (3, "ab" * 300), (4, a[:90]), (4, a[:90]), (5, None), (6, a[300:620] + a[300:620])] + [(50 + k, text(300)) for k in range(5)]
+    df = clashing(spark, rows)
+    for length in (100, 250, 400):
+        starts = collections.defaultdict(set)
+        for x in suffix_dedup.repeated_by_doubling(df, length).collect():
+            starts[x["doc_id"]].add(x["lo"])
+        own = suffix_dedup.remove_repeats(df, length).collect()
+        for x in own:
+            gone = {i for s in starts[x["doc_id"]] for i in range(s, s + length)}
+            assert gone == {i for s in x["spans"] for i in range(s["start"], s["end"])}, (length, x["doc_id"])
+        assert any(x["n_removed"] for x in own)
+    assert suffix_dedup.repeated_by_doubling(frame(spark, [])).count() == 0
+
+
 def test_repeats_empty(spark):
     assert repeats(frame(spark, [])) == []
 
