@@ -113,7 +113,7 @@ def chi2_pairs(contexts: DataFrame, min_column: int = 5, focus: str | None = Non
     x1, y1 = F.coalesce("one.x", "ax").cast("double"), F.coalesce(F.col("one.y"), F.lit(0)).cast("double")
     gap = F.greatest(F.abs(x1 * (ny - y1) - (nx - x1) * y1) / n - 0.5, F.lit(0.0))
     chi2 = F.when(F.col("cols") == 2, gap * gap * (1 / (x1 + y1) + 1 / (n - x1 - y1)) * n * n / (nx * ny)).otherwise((F.col("q") + F.col("ax") - nx * nx / n) * n * n / (nx * ny))
-    return x.withColumn("chi2", chi2).select("a", "b", F.round("chi2", 6).alias("chi2"), "n", (F.col("cols") - 1).alias("df"), F.round(F.sqrt(F.greatest("chi2", F.lit(0.0)) / F.col("n")), 9).alias("v"))
+    return x.withColumn("chi2", chi2).select("a", "b", F.round(F.col("chi2") + 1e-9, 6).alias("chi2"), "n", (F.col("cols") - 1).alias("df"), F.round(F.sqrt(F.greatest("chi2", F.lit(0.0)) / F.col("n")) + 1e-12, 9).alias("v"))  # halves round up
 
 
 def variation_of_information(table: DataFrame, a: str, b: str) -> DataFrame:

@@ -151,7 +151,7 @@ ce AS (SELECT a, b, x::DOUBLE AS x, y::DOUBLE AS y FROM sh WHERE x + y > 5 UNION
 e AS (SELECT ce.a, ce.b, x, y, cols, nx * (x + y) / (nx + ny) AS ex, ny * (x + y) / (nx + ny) AS ey FROM ce JOIN rr USING (a, b)),
 c2 AS (SELECT a, b, sum(CASE WHEN cols = 2 THEN greatest(abs(x - ex) - 0.5, 0) ** 2 / ex + greatest(abs(y - ey) - 0.5, 0) ** 2 / ey ELSE (x - ex) ** 2 / ex + (y - ey) ** 2 / ey END) AS chi2 FROM e GROUP BY ALL),
 ch AS (SELECT rr.a, rr.b, coalesce(chi2, 0) + CASE WHEN cols = 2 THEN 0 ELSE ax * ny / nx + bx * nx / ny END AS chi2, (nx + ny)::BIGINT AS n, cols - 1 AS df FROM rr LEFT JOIN c2 USING (a, b))
-SELECT a, b, round(chi2, 6) AS chi2, n, df, round(sqrt(chi2 / n), 9) AS v FROM ch"""
+SELECT a, b, round(chi2 + 1e-9, 6) AS chi2, n, df, round(sqrt(greatest(chi2, 0) / n) + 1e-12, 9) AS v FROM ch"""
 
 
 ORACLES = {
