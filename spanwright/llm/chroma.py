@@ -189,7 +189,7 @@ def record_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     small_batches(vectors.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (whole.iloc[i : i + 32] for whole in batches for i in range(0, len(whole), 32)):  # audio is large beside its vector
             takes, others = [], []
             for v in pdf["v"]:
                 x = melody([] if v is None else v)
@@ -294,6 +294,8 @@ TAKE = 1 << 40
 def op6_chroma(spark, sf_dir):
     """Recordings of all embeddings and their second takes, matched: takes of the vectors whose ids are divisible by 20 are asked."""
     both = record_vectors(table(spark, sf_dir, "embeddings"))
-    takes = written(both.select(F.explode(F.array(F.struct(F.col("id").alias("vec_id"), F.lit(0).alias("take"), F.col("take").alias("audio")), F.struct(F.col("id").alias("vec_id"), F.lit(1).alias("take"), F.col("other").alias("audio")))).alias("x")).select((F.col("x.vec_id") + F.col("x.take") * TAKE).alias("id"), "x.audio"), "takes")
+    # audio is never written: a batch of it goes from the one task's function to the other
+    takes = both.select(F.explode(F.array(F.struct(F.col("id").alias("vec_id"), F.lit(0).alias("take"), F.col("take").alias("audio")), F.struct(F.col("id").alias("vec_id"), F.lit(1).alias("take"), F.col("other").alias("audio")))).alias("x"))
+    takes = takes.select((F.col("x.vec_id") + F.col("x.take") * TAKE).alias("id"), "x.audio")
     found = match_recordings(takes, asked=(F.col("id") % TAKE) % 20 == 0)
     return found.select((F.col("id") % TAKE).alias("vec_id"), F.floor(F.col("id") / TAKE).cast("long").alias("take"), "n_items", "fingerprint_sha256", "class_id", "n_alike", "alike_id", "alike_offset", "alike_error")
