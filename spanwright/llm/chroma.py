@@ -7,7 +7,7 @@ aligned by a histogram of the offsets at which their integers agree in the leadi
 differing bits says how alike the recordings are.
 
 Recordings are matched across a whole table: equal fingerprints are one class; the classes that are asked for meet all classes
-under the leading bits of their integers, an integer that many classes hold in blocks; votes for offsets are added up by Spark, and
+under the leading bits of two of their integers (recordings that agree so nowhere, by noise, are not found), what many classes hold in blocks; votes for offsets are added up by Spark, and
 the best offsets of each pair are held against the bits.
 
 Defined cases: null, empty or malformed audio, and audio shorter than WIDTH frames, has an empty fingerprint; an empty
@@ -221,23 +221,25 @@ def fingerprint_takes(media: DataFrame, id_col: str = "id", take: str = "take",
     return media.select(F.col(id_col).alias("id"), F.col(take).alias("a"), F.col(other).alias("b")).mapInPandas(run, "id long, n_items long, fingerprint_sha256 string, offset long, bit_error double")
 
 
-#: Leading bits under which classes of different rows meet, classes of a block of one integer's holders, and the share of differing
-#: bits up to which two recordings are the same.
-MEET_BITS, HOLDERS, SAME = 24, 256, 0.15
+#: Classes of different rows meet under the leading bits of two integers so many places apart; classes of a block of one such pair's
+#: holders; the share of differing bits up to which two recordings are the same.
+MEET_BITS, APART, HOLDERS, SAME = 24, 8, 256, 0.15
 #: Offsets of a pair, those of the most votes, that are held against the bits.
 OFFSETS = 3
 
 
 def alike(found: DataFrame, asked: DataFrame, same: float = SAME) -> DataFrame:
-    """(a, b, offset, bit_error): for each asked class (fp) the other classes of ``found`` (fp, fingerprint) that hold the same recording.
+    """(a, b, offset, bit_error): for each asked class (fp, a number) the other classes of ``found`` (fp, fingerprint) that hold the same recording.
 
     ``found`` has a row for each different fingerprint, ``asked`` names some of them. Offsets say where b starts in a.
     """
     spark = found.sparkSession
-    # an integer stands once for each class and place; where a class repeats it on end, as silence does, its first place stands for the run
-    bits = lambda x: F.shiftright(x, 32 - MEET_BITS)
-    places = F.filter(F.transform("fingerprint", lambda x, i: F.struct(bits(x).alias("key"), i.alias("at"), F.when(i > 0, bits(F.get("fingerprint", i - 1))).alias("before"))), lambda p: p["before"].isNull() | (p["before"] != p["key"]))
-    posts = written(found.select("fp", F.explode(places).alias("p")).select("fp", "p.key", "p.at"), "postings")
+    # a key stands once for each class and place; where a class repeats it on end, as silence does, its first place stands for the run
+    lead = lambda x: F.shiftright(x, 32 - MEET_BITS)
+    n = F.size("fingerprint") - APART
+    keyed = found.where(n > 0).select("fp", F.transform(F.sequence(F.lit(1), n), lambda i: lead(F.element_at("fingerprint", i)) * (1 << MEET_BITS) + lead(F.element_at("fingerprint", i + APART))).alias("keys"))
+    places = F.filter(F.transform("keys", lambda x, i: F.struct(x.alias("key"), i.alias("at"), F.when(i > 0, F.get("keys", i - 1)).alias("before"))), lambda p: p["before"].isNull() | (p["before"] != p["key"]))
+    posts = written(keyed.select("fp", F.explode(places).alias("p")).select("fp", "p.key", "p.at"), "postings")
     holders = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     blocks = written(holders.select("key", F.ceil(F.col("m") / HOLDERS).cast("int").alias("blocks")), "holders")
     # an asked place goes to every block of its integer's holders, each holder to one block
@@ -257,7 +259,7 @@ def alike(found: DataFrame, asked: DataFrame, same: float = SAME) -> DataFrame:
                 out.append(float(np.bitwise_count(x[s:e] ^ y[s - o : e - o]).sum() / (32 * (e - s))) if e - s >= WIDTH else 1.0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("offset"), batch.column("k"), pa.array(out, pa.float64())], names=["a", "b", "offset", "k", "bit_error"])
 
-    compared = best.join(prints("a"), "a").join(prints("b"), "b").mapInArrow(errors, "a string, b string, offset int, k int, bit_error double")
+    compared = best.join(prints("a"), "a").join(prints("b"), "b").mapInArrow(errors, "a long, b long, offset int, k int, bit_error double")
     one = compared.groupBy("a", "b").agg(F.min(F.struct("bit_error", "k", "offset")).alias("x")).where(F.col("x.bit_error") <= same)
     out = written(one.select("a", "b", F.col("x.offset").cast("long").alias("offset"), F.col("x.bit_error").alias("bit_error")), "alike")
     for x in (posts, blocks, best):
@@ -275,11 +277,13 @@ def match_recordings(media: DataFrame, id_col: str = "id", audio_col: str = "aud
     prints = fingerprint_audio(media, id_col, audio_col).withColumn("fp", F.sha2(F.array_join(F.transform("fingerprint", lambda x: x.cast("string")), ","), 256))
     prints = written(prints, "prints")
     classes = written(prints.groupBy("fp").agg(F.min("id").alias("class_id"), F.max(F.coalesce(asked, F.lit(False))).alias("asked"), F.count(F.lit(1)).alias("n")), "classes")
-    heads = prints.join(classes.select("fp", F.col("class_id").alias("id")), ["fp", "id"], "left_semi").dropDuplicates(["fp"]).where(F.size("fingerprint") > 0).select("fp", "fingerprint")
-    found = alike(heads, classes.where("asked"))
-    other = found.join(classes.select(F.col("fp").alias("b"), F.col("class_id").alias("alike_id")), "b")
-    best = other.groupBy("a").agg(F.count(F.lit(1)).alias("n_alike"), F.min(F.struct("bit_error", "alike_id", "offset")).alias("x"))
-    by_class = classes.join(best.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "class_id", F.coalesce("n_alike", F.lit(0)).alias("n_alike"), "x")
+    heads = prints.join(classes.select("fp", F.col("class_id").alias("id")), ["fp", "id"], "left_semi").dropDuplicates(["fp"]).where(F.size("fingerprint") > 0)
+    # a class's number is its place among the written heads: an id may have several recordings
+    heads = written(heads.select(F.monotonically_increasing_id().alias("no"), "fp", "id", "fingerprint"), "heads")
+    found = alike(heads.select(F.col("no").alias("fp"), "fingerprint"), heads.join(classes.where("asked").select("fp"), "fp").select(F.col("no").alias("fp")))
+    other = found.join(heads.select(F.col("no").alias("b"), F.col("id").alias("alike_id")), "b")
+    best = other.groupBy("a").agg(F.count(F.lit(1)).alias("n_alike"), F.min(F.struct("bit_error", "alike_id", "offset")).alias("x")).join(heads.select(F.col("no").alias("a"), "fp"), "a")
+    by_class = classes.join(best, "fp", "left").select("fp", "class_id", F.coalesce("n_alike", F.lit(0)).alias("n_alike"), "x")
     by_class = written(by_class, "matches")  # written, so that Spark can split a hot class
     is_asked = F.coalesce(asked, F.lit(False))
     out = prints.select("id", F.size("fingerprint").cast("long").alias("n_items"), "fp").join(by_class, "fp", "left")
