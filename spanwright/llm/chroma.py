@@ -223,7 +223,7 @@ def fingerprint_takes(media: DataFrame, id_col: str = "id", take: str = "take",
 
 #: Classes of different rows meet under the leading bits of two integers so many places apart; classes of a block of one such pair's
 #: holders; the share of differing bits up to which two recordings are the same.
-MEET_BITS, APART, HOLDERS, SAME = 24, 8, 256, 0.15
+MEET_BITS, APART, HOLDERS, SAME = 28, 16, 256, 0.15
 #: Offsets of a pair, those of the most votes, that are held against the bits.
 OFFSETS = 3
 
