@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanwright.llm import chroma, fingerprints, html_text, ngram_join, packing, pieces, secrets, suffix_dedup, toxicity, url_filter
+from spanwright.llm import best_fit, chroma, fingerprints, html_text, ngram_join, packing, pieces, prefix_trie, secrets, suffix_dedup, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_best_fit": best_fit.op11_best_fit,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
-ORACLES = {"op10_url_filter": url_filter.OP10_SQL}
+ORACLES = {"op10_url_filter": url_filter.OP10_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
