@@ -141,7 +141,8 @@ def prefix_nodes(turns: DataFrame, members: DataFrame) -> DataFrame:
     path = written(path.withColumn("sha", F.when(F.col("depth") == F.col("length"), F.col("sha"))), "paths")
     dropped(all_)
     dropped(end)
-    own = path.groupBy(*KEY).agg(F.min("conv_id").alias("owner"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("depth") < F.col("length")).alias("inner"))
+    # written, so that the join with a hot node's paths has an exchange of its own on either side and can be split
+    own = written(path.groupBy(*KEY).agg(F.min("conv_id").alias("owner"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("depth") < F.col("length")).alias("inner")), "nodes")
     leaves = whole.join(own.where("inner").select(*KEY), KEY, "left_anti").select("conv_id", F.lit(1).alias("leaf"))
     # the last node of a path that another sequence owns: below it the path is its own
     shared = path.join(own.where("n > 1").select(*KEY, "owner"), KEY).where("owner < conv_id").groupBy("conv_id").agg(F.max(F.struct("depth", F.col("total").alias("until"), F.col("owner").alias("above"))).alias("s"))
