@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.operators import charts, clustering, evaluation, experiments, induction, recurrent, sampling, training, trees
+from spanwright.operators import charts, clustering, evaluation, experiments, general, induction, nary, recurrent, sampling, training, trees
 from spanwright.operators import grammar as G
 from spanwright.operators import tokens as T
 from spanwright.sources import sinks, text
@@ -77,6 +77,9 @@ MORE = [
     ("train-lm", "input output", [("min-count", int, 1), ("epochs", int, 5)]),
     ("evaluate-lm", "input model", []),
     ("grid", "input output", []),
+    ("train-general", "input output", [("grammar", str, ...), ("start", str, "S"), ("rounds", int, 5), ("least-rounds", int, 1), ("tolerance", float, 0.0), ("prune", float, 0.0), ("bias", float, 0.0), ("variational", bool, None), ("jitter", float, 0.0), ("seed", int, 0), ("hot", float, 1.0), ("cold", float, 1.0), ("anneal", int, 0), ("max-length", int, None), ("factor", float, 0.0)]),
+    ("binarise-trees", "input output", [("side", str, "right")]),
+    ("unbinarise-trees", "input output", []),
 ]
 
 
@@ -150,8 +153,21 @@ def _more(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "evaluate-lm":
         scored = recurrent.score(T.encoded(_corpus(spark, a.input), spark.read.parquet(a.model + ".vocabulary")), recurrent.LanguageModel.load(a.model))
         print(json.dumps({"perplexity": recurrent.perplexity(scored)}))
+    elif a.command == "train-general":
+        g = text.read_general_grammar(spark, a.grammar, a.bias).select("lhs", "rhs", F.col("weight").alias("p"))
+        s = text.read_weighted_yields(spark, a.input).select(F.monotonically_increasing_id().alias("sid"), "w", "weight")
+        if a.factor:
+            fit = general.entropic(g, s, a.factor, a.rounds, a.start, a.prune, a.tolerance, max_length=a.max_length)
+        else:
+            fit = general.em(g, s, a.rounds, a.start, a.least_rounds, a.tolerance, a.prune, a.bias, a.variational, a.jitter, (a.hot, a.cold, a.anneal), a.max_length, a.seed)
+        sinks.write_general_grammar(fit.rules, a.output)
+        print(json.dumps({"objective": fit.objective, "bits": fit.bits}))
+    elif a.command in ("binarise-trees", "unbinarise-trees"):
+        side = getattr(a, "side", None)
+        change = (lambda t: nary.binarised(nary.collapsed(t), side)) if side else nary.unbinarised
+        nary.mapped(spark.read.text(a.input), change).where("value IS NOT NULL").write.text(a.output)
     elif a.command == "grid":
-        results = experiments.run_grid(spark, experiments.grid(**text.read_settings(a.input)))
+        results = experiments.run_grid(spark, experiments.grid(**json.load(open(a.input, encoding="utf-8"))))
         results.write.parquet(a.output)
         print("\n".join(experiments.summary(spark.read.parquet(a.output), "nonterminals", "sentences", "mode").orderBy("nonterminals", "sentences", "mode").toJSON().collect()))
 

@@ -59,3 +59,9 @@ def write_corpus(sents: DataFrame, path: str) -> None:
 def write_anchors(spark, words: list[str], path: str, as_json: bool = False, **settings: object) -> None:
     rows = [json.dumps(words)] if as_json else [*([" ".join(["#", *(f"{k}={v}" for k, v in settings.items())])] if settings else []), *words]
     spark.createDataFrame([(x,) for x in rows], "value string").coalesce(1).write.text(path)
+
+
+def write_general_grammar(rules: DataFrame, path: str, least: float = 0.0) -> None:
+    """Lines ``weight LHS --> RHS...`` of rules (lhs, rhs, p) heavier than ``least``; all digits are kept."""
+    line = F.concat_ws(" ", F.col("p").cast("string"), "lhs", F.lit("-->"), F.array_join("rhs", " "))
+    rules.where(F.col("p") > least).orderBy("lhs", F.desc("p"), F.array_join("rhs", " ")).select(line.alias("value")).write.mode("overwrite").text(path)
