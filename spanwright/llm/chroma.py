@@ -7,8 +7,9 @@ aligned by a histogram of the offsets at which their integers agree in the leadi
 differing bits says how alike the recordings are.
 
 Recordings are matched across a whole table: equal fingerprints are one class; the classes that are asked for meet all classes
-under the leading bits of two of their integers (recordings that agree so nowhere, by noise, are not found), what many classes hold in blocks; votes for offsets are added up by Spark, and
-the best offsets of each pair are held against the bits.
+under the signs of the filters' levels (the upper bit of each) in three of their integers; what many classes hold is dealt out in
+blocks; votes for offsets are added up by Spark, and every offset with a vote is held against the bits. Recordings that agree so
+nowhere, by noise, are not found, nor are those of fewer than SPREAD[-1] + 1 integers but for equal ones.
 
 Defined cases: null, empty or malformed audio, and audio shorter than WIDTH frames, has an empty fingerprint; an empty
 fingerprint aligns with nothing (offset null, bit error 1.0) and is alike to no other; silence is all the same integer, which
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.llm.common import dropped, small_batches, table, written
@@ -221,11 +222,9 @@ def fingerprint_takes(media: DataFrame, id_col: str = "id", take: str = "take",
     return media.select(F.col(id_col).alias("id"), F.col(take).alias("a"), F.col(other).alias("b")).mapInPandas(run, "id long, n_items long, fingerprint_sha256 string, offset long, bit_error double")
 
 
-#: Classes of different rows meet under the leading bits of two integers so many places apart; classes of a block of one such pair's
-#: holders; the share of differing bits up to which two recordings are the same.
-MEET_BITS, APART, HOLDERS, SAME = 28, 16, 256, 0.15
-#: Offsets of a pair, those of the most votes, that are held against the bits.
-OFFSETS = 3
+#: Places of the integers under whose signs classes of different rows meet, and the bits that are signs; classes of a block of one
+#: key's holders; the share of differing bits up to which two recordings are the same.
+SPREAD, SIGNS, HOLDERS, SAME = (0, 6, 12), 0xAAAAAAAA, 256, 0.15
 
 
 def alike(found: DataFrame, asked: DataFrame, same: float = SAME) -> DataFrame:
@@ -235,9 +234,9 @@ def alike(found: DataFrame, asked: DataFrame, same: float = SAME) -> DataFrame:
     """
     spark = found.sparkSession
     # a key stands once for each class and place; where a class repeats it on end, as silence does, its first place stands for the run
-    lead = lambda x: F.shiftright(x, 32 - MEET_BITS)
-    n = F.size("fingerprint") - APART
-    keyed = found.where(n > 0).select("fp", F.transform(F.sequence(F.lit(1), n), lambda i: lead(F.element_at("fingerprint", i)) * (1 << MEET_BITS) + lead(F.element_at("fingerprint", i + APART))).alias("keys"))
+    n = F.size("fingerprint") - SPREAD[-1]
+    signs = lambda i: F.xxhash64(*(F.element_at("fingerprint", i + s).bitwiseAND(F.lit(SIGNS)) for s in SPREAD))
+    keyed = found.where(n > 0).select("fp", F.transform(F.sequence(F.lit(1), n), signs).alias("keys"))
     places = F.filter(F.transform("keys", lambda x, i: F.struct(x.alias("key"), i.alias("at"), F.when(i > 0, F.get("keys", i - 1)).alias("before"))), lambda p: p["before"].isNull() | (p["before"] != p["key"]))
     posts = written(keyed.select("fp", F.explode(places).alias("p")).select("fp", "p.key", "p.at"), "postings")
     holders = posts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -246,24 +245,25 @@ def alike(found: DataFrame, asked: DataFrame, same: float = SAME) -> DataFrame:
     q = posts.join(asked.select("fp"), "fp", "left_semi").join(blocks, "key").select(F.col("fp").alias("a"), "key", F.col("at").alias("at_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     held = posts.join(blocks, "key").select(F.col("fp").alias("b"), "key", F.col("at").alias("at_b"), F.pmod(F.xxhash64("fp", "at"), F.col("blocks")).cast("int").alias("block"))
     votes = q.join(held, ["key", "block"]).where("a <> b").groupBy("a", "b", (F.col("at_a") - F.col("at_b")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("votes"), F.abs("offset"), "offset"))
-    best = written(votes.where("votes > 1").withColumn("k", rank).where(F.col("k") <= OFFSETS).select("a", "b", "offset", "k"), "offsets")
-    prints = lambda c: found.select(F.col("fp").alias(c), F.col("fingerprint").alias(f"print_{c}"))
+    best = written(votes, "offsets")
+    dropped(posts)
+    dropped(blocks)
+    # as int, whose differing bits are the same
+    prints = lambda c: found.select(F.col("fp").alias(c), F.transform("fingerprint", lambda x: (x - (1 << 31)).cast("int")).alias(f"print_{c}"))
 
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x, y, o in zip(*(batch.column(c).to_pylist() for c in ("print_a", "print_b", "offset")), strict=True):
-                x, y = np.array(x, np.uint32), np.array(y, np.uint32)
+                x, y = np.array(x, np.int32).view(np.uint32), np.array(y, np.int32).view(np.uint32)
                 s, e = max(0, o), min(len(x), len(y) + o)
-                out.append(float(np.bitwise_count(x[s:e] ^ y[s - o : e - o]).sum() / (32 * (e - s))) if e - s >= WIDTH else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("offset"), batch.column("k"), pa.array(out, pa.float64())], names=["a", "b", "offset", "k", "bit_error"])
+                out.append(float(np.bitwise_count(x[s:e] ^ y[s - o : e - o]).sum() / (32 * (e - s))) if e - s >= min(WIDTH, len(x), len(y)) else 1.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "offset", "votes")), pa.array(out, pa.float64())], names=["a", "b", "offset", "votes", "bit_error"])
 
-    compared = best.join(prints("a"), "a").join(prints("b"), "b").mapInArrow(errors, "a long, b long, offset int, k int, bit_error double")
-    one = compared.groupBy("a", "b").agg(F.min(F.struct("bit_error", "k", "offset")).alias("x")).where(F.col("x.bit_error") <= same)
+    compared = best.join(prints("a"), "a").join(prints("b"), "b").mapInArrow(errors, "a long, b long, offset int, votes long, bit_error double").where(F.col("bit_error") <= same)
+    one = compared.groupBy("a", "b").agg(F.min(F.struct("bit_error", -F.col("votes"), F.abs("offset"), "offset")).alias("x"))
     out = written(one.select("a", "b", F.col("x.offset").cast("long").alias("offset"), F.col("x.bit_error").alias("bit_error")), "alike")
-    for x in (posts, blocks, best):
-        dropped(x)
+    dropped(best)
     return out
 
 
