@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.operators import charts, clustering, evaluation, experiments, general, induction, nary, recurrent, sampling, training, trees
+from spanwright.operators import charts, clustering, evaluation, experiments, gap_learner, general, induction, nary, recurrent, sampling, training, trees
 from spanwright.operators import grammar as G
 from spanwright.operators import tokens as T
 from spanwright.sources import sinks, text
@@ -62,6 +62,7 @@ MORE = [
     ("clusters", "input output", [("clusters", str, None), ("n-clusters", int, 10)]),
     ("find-kernels", "input output", _SEARCH),
     ("learn", "input output", [*_SEARCH, ("kernels", str, None), ("binary", str, "renyi"), ("weighted", bool, None)]),
+    ("learn-neural", "input output", [("candidates", int, 60), ("kernels", str, None), ("min-count", int, 1), ("alpha", float, 2.0), ("rounds", int, 5), ("rate", float, 5e-3), ("batch", int, 64), ("embed", int, 32), ("hidden", int, 48), ("weighted", bool, None)]),
     ("gold-kernels", "input output", []),
     ("evaluate-kernels", "input", [("kernels", str, ...)]),
     ("inspect", "input word", []),
@@ -107,6 +108,10 @@ def _more(spark: SparkSession, a: argparse.Namespace) -> None:
         s = _corpus(spark, a.input)
         out = induction.learn(s, _clusters(spark, a, s), a.n_clusters, kernels=json.loads(a.kernels) if a.kernels else None, number=a.number, min_count=a.min_count, binary=a.binary)
         sinks.write_grammar(out.wcfg if a.weighted else out.pcfg(), a.output)
+    elif a.command == "learn-neural":
+        out = gap_learner.learn(_corpus(spark, a.input), a.candidates, anchors=json.loads(a.kernels) if a.kernels else None, min_count=a.min_count, alpha=a.alpha, rounds=a.rounds, rate=a.rate, batch=a.batch, embed=a.embed, hidden=a.hidden)
+        sinks.write_grammar(out.wcfg if a.weighted else out.pcfg(), a.output)
+        print(json.dumps({"anchors": out.ordered.anchors, "threshold": out.ordered.threshold, "log": [vars(x) for x in out.ordered.log], "losses": out.losses}))
     elif a.command == "gold-kernels":
         sinks.write_anchors(spark, evaluation.gold_kernels(text.read_grammar(spark, a.input)), a.output, as_json=True)
     elif a.command == "evaluate-kernels":

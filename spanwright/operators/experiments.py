@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spanwright.operators import clustering, evaluation, induction, sampling, training
 from spanwright.operators import grammar as G
 from spanwright.operators import tokens as T
+from spanwright.operators.lineage import cut
 
 
 @dataclass
@@ -42,8 +43,8 @@ def corpus(rules: DataFrame, n: int, seed: int) -> DataFrame:
 
 def prepared(sents: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Word counts, clusters after the exchange, features of the chosen mode, and neighbours."""
-    b = T.bigram_counts(sents).persist()
-    counts = T.counts_of(b).persist()
+    b = cut(T.bigram_counts(sents))
+    counts = cut(T.counts_of(b))
     clusters = clustering.exchange_together(b, T.hashed_clusters(counts, s.n_clusters, s.min_cluster), s.n_clusters)
     features = T.joint_features(T.trigram_counts(sents), clusters, s.n_clusters) if s.mode == "joint" else T.marginal_features(b, clusters, s.n_clusters)
     return counts, clusters, features, T.word_contexts(b)
@@ -63,7 +64,7 @@ def run(spark: SparkSession, s: Settings, rules: DataFrame | None = None) -> dic
     out: dict[str, Any] = {k: getattr(s, k) for k in s.__dataclass_fields__} | {"error": None}
     try:
         g = rules if rules is not None else sampling.random_grammar(spark, s.nonterminals, s.terminals, s.grammar_seed)
-        found = detect(corpus(g, s.sentences, s.corpus_seed).persist(), s)
+        found = detect(cut(corpus(g, s.sentences, s.corpus_seed)), s)
         score = evaluation.kernel_scores(g, found.words)
         out |= {"found": len(found.words), "true": len(G.nonterminals(g)), "reason": found.reason} | {k: score[k] for k in ("accuracy", "mean_posterior", "min_posterior", "coverage")}
         out["exact"] = out["found"] == out["true"]
@@ -114,10 +115,10 @@ def replay(log: list[dict], boot_p: float, min_v: float, floor: float = 0.0, lea
 
 def learn_from(rules: DataFrame, s: Settings, kernels: list[str] | None = None) -> tuple[induction.Learned, dict[str, float]]:
     """A grammar learned from a corpus of ``rules``, by found or given anchors, and its divergences from these."""
-    sents = corpus(rules, s.sentences, s.corpus_seed).persist()
+    sents = cut(corpus(rules, s.sentences, s.corpus_seed))
     _, clusters, _, _ = prepared(sents, s)
     out = induction.learn(sents, clusters, s.n_clusters, kernels=kernels, number=s.number, min_count=s.min_count, binary=s.binary)
-    own = out.pcfg().persist()
+    own = cut(out.pcfg())
     scored = sampling.scored_samples(rules, min(s.sentences, 500), s.corpus_seed + 1, s.max_length, models={"own": own})
     kl = {r["kind"]: r["kl"] for r in evaluation.sampled_divergences(scored, ["own"]).where("kind in ('string', 'bracket')").collect()}
     return out, kl | {"length": G.length_kl(rules, own, 10)}

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from spanwright.operators import geometry, stats
 from spanwright.operators import grammar as G
 from spanwright.operators import tokens as T
+from spanwright.operators.lineage import cut
 
 START = "S"
 
@@ -326,7 +327,7 @@ def raw_wcfg(unary: DataFrame, binary: DataFrame, kernels: list[str], unary_floo
 
 def to_pcfg(rules: DataFrame) -> DataFrame:
     """A consistent grammar of the same conditional distribution: scaled down where it diverges, then renormalised."""
-    rules = rules.persist()  # read once for each of the algebra's tables
+    rules = cut(rules)  # read once for each of the algebra's tables
     return G.by_partition(rules if G.is_convergent(rules) else G.scaled_if_divergent(rules))
 
 
@@ -342,10 +343,10 @@ class Learned:
 def learn(sents: DataFrame, clusters: DataFrame, n_clusters: int, kernels: list[str] | None = None, number: int | None = None, min_count: int = 100, binary: str = "renyi", alpha: float = 5.0, threshold: float = 0.9, seed: int = 1) -> Learned:
     """From sentences and word clusters to a grammar: anchors (unless given), rule weights, and the weighted grammar that these make."""
     stride = n_clusters + 1
-    sents = sents.persist()
-    counts = T.word_counts(sents).persist()
-    bigrams = T.bigram_counts(sents).persist()
-    features = T.marginal_features(bigrams, clusters, n_clusters).persist()
+    sents = cut(sents)
+    bigrams = cut(T.bigram_counts(sents))
+    counts = cut(T.counts_of(bigrams))
+    features = cut(T.marginal_features(bigrams, clusters, n_clusters))
     n, tokens, types = sents.count(), *counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     start = start_vector(stride)
     if kernels is None:
@@ -354,8 +355,8 @@ def learn(sents: DataFrame, clusters: DataFrame, n_clusters: int, kernels: list[
     else:
         found = given_kernels(features, kernels, 2 * stride, start)
     e = T.expectations(counts, T.sentence_count(sents))
-    unary = unary_parameters(features, found, e).persist()
-    pairs = pair_features(sents, kernel_map(sents.sparkSession, found.words, unary, threshold), clusters, n_clusters).persist()
+    unary = cut(unary_parameters(features, found, e))
+    pairs = cut(pair_features(sents, kernel_map(sents.sparkSession, found.words, unary, threshold), clusters, n_clusters))
     two = binary_renyi(features, pairs, found.words, n, n_clusters, alpha) if binary == "renyi" else binary_hull(pairs, found, e, n)
     rules = raw_wcfg(unary, two, found.words, 1 / (tokens * types), 1 / (tokens * len(found.words) ** 2))
     return Learned(found, rules)

@@ -14,8 +14,9 @@ from spanwright.operators import charts as C
 from spanwright.operators import grammar as G
 from spanwright.operators import induction as I
 from spanwright.operators import evaluation as V
-from spanwright.operators import sampling, training, trees
+from spanwright.operators import gap_learner, sampling, training, trees
 from spanwright.operators import tokens as T
+from spanwright.operators.lineage import cut
 from spanwright.plans import corpus_queries as W
 from spanwright.plans import grammar_queries as E
 from spanwright.plans import model_queries as M
@@ -139,7 +140,7 @@ def pair_features(spark, sf):
 def binary_xi(spark, sf):
     s, _, clusters, features, _ = _corpus(spark, sf)
     k = _given(spark, sf)
-    pairs = I.pair_features(s, I.kernel_map(spark, k), clusters, W.N_CLUSTERS).persist()
+    pairs = cut(I.pair_features(s, I.kernel_map(spark, k), clusters, W.N_CLUSTERS))
     return E._r(I.binary_renyi(features, pairs, k, s.count(), W.N_CLUSTERS), "xi")
 
 
@@ -150,6 +151,12 @@ def find_kernels(spark, sf):
     return spark.createDataFrame([(k, w, None if d == float("inf") else round(d, 6), found.reason) for k, (w, d) in enumerate(zip(found.words, found.distances, strict=True))], "rank int, word string, distance double, reason string")
 
 
+def neural(spark, sf):
+    """The grammar of recurrent gap models over the events' sentences, whose every type is a candidate. Digits are few, as sums of floats differ in their last ones."""
+    learned = gap_learner.learn(_sents(spark, sf), rounds=3, embed=16, hidden=24)
+    return E._r(learned.pcfg(), "p", digits=4)
+
+
 def _learned(spark, sf):
     s, counts, clusters, _, _ = _corpus(spark, sf)
     return I.learn(s, clusters, W.N_CLUSTERS, kernels=_given(spark, sf))
@@ -176,6 +183,7 @@ QUERIES = {
     "binary_xi_renyi": binary_xi,
     "find_kernels": find_kernels,
     "raw_wcfg": lambda sp, sf: E._r(_learned(sp, sf).wcfg, "p", digits=9),
+    "neural_learned_pcfg": neural,
     "learned_pcfg": lambda sp, sf: E._r(_learned(sp, sf).pcfg(), "p", digits=9),
 }
 

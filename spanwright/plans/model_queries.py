@@ -11,6 +11,7 @@ from spanwright.operators import clustering, contextmodels, evaluation, geometry
 from spanwright.operators import grammar as G
 from spanwright.operators import stats as S
 from spanwright.operators import tokens as T
+from spanwright.operators.lineage import cut
 from spanwright.plans import corpus_queries as W
 from spanwright.plans import grammar_queries as E
 
@@ -118,7 +119,7 @@ def hull_weights(spark, sf):
 
 def bootstrap_null(spark, sf):
     """Bootstrap p of the next anchor after four."""
-    rows = _rows(spark, sf).persist()
+    rows = cut(_rows(spark, sf))
     basis = _anchors(rows)
     word, _ = geometry.furthest(rows, geometry.orthonormal([np.array(v) for v in basis.values()]), list(basis))
     r = rows.where(F.col("word") == word).first()
@@ -131,7 +132,7 @@ def bootstrap_null(spark, sf):
 
 def exchange(spark, sf):
     """Words of ten occurrences or more, from a start by hash, until no half of the words' moves raises the objective."""
-    b = T.bigram_counts(W._sents(spark, sf)).persist()
+    b = cut(T.bigram_counts(W._sents(spark, sf)))
     return clustering.exchange_together(b, W._clusters(T.counts_of(b)), W.N_CLUSTERS)
 
 
