@@ -7,6 +7,8 @@ as many trees as shapes, each with many labellings.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -246,14 +248,24 @@ def _tops(column: str) -> str:
     return f"SELECT sn.user_id, sn.chunk, {column} FROM sn LEFT JOIN tops ON tops.user_id = sn.user_id AND tops.chunk = sn.chunk AND tops.n = sn.n"
 
 
+def _kept(body: str, extra: str) -> str:
+    """A query over the treebank's grammar, each of whose tables is computed once."""
+    return re.sub(r"\b(mle|g|lv0|lv|sx|z|c\d|o\d|l\d) AS \((?!VALUES)", r"\1 AS MATERIALIZED (", E._q(body, extra))
+
+
 _IO = _inside_outside()
 _LEN = ", l1 AS (SELECT lhs AS a, sum(p) AS v FROM g WHERE r2 IS NULL GROUP BY lhs)" + "".join(
     f", l{w} AS (SELECT a, sum(v) AS v FROM ({' UNION ALL '.join(f'SELECT g.lhs AS a, p * x.v * y.v AS v FROM g JOIN l{k} x ON x.a = g.r1 JOIN l{w - k} y ON y.a = g.r2' for k in range(1, w))}) GROUP BY a)" for w in range(2, E.LENGTH + 1))
+_LENGTHS = "SELECT w::INTEGER AS len, round(coalesce(v, 0), 9) AS p FROM (VALUES " + ", ".join(f"({w})" for w in range(1, E.LENGTH + 1)) + ") t(w) LEFT JOIN (" + " UNION ALL ".join(f"SELECT {w} AS k, v FROM l{w} WHERE a = 'S'" for w in range(1, E.LENGTH + 1)) + ") ON k = w"
 _PAIRS = f""", kr AS (SELECT word FROM cnt ORDER BY n DESC, word LIMIT {KERNELS}), qd AS (SELECT unnest(list_zip(p[:-4], p[2:-3], p[3:-2], p[4:])) AS q FROM padded WHERE len(w) > 1),
 qc AS (SELECT q[2] AS b, q[3] AS c, q[1] AS l, q[4] AS r, count(*) AS n FROM qd WHERE q[2] IN (SELECT word FROM kr) AND q[3] IN (SELECT word FROM kr) GROUP BY ALL),
 pf AS MATERIALIZED (SELECT b, c, feature, sum(n)::BIGINT AS value FROM (SELECT b, c, coalesce(cid, 0) AS feature, n FROM qc LEFT JOIN cl ON cl.word = l UNION ALL SELECT b, c, coalesce(cid, 0) + {W.N_CLUSTERS + 1}, n FROM qc LEFT JOIN cl ON cl.word = r) GROUP BY ALL)"""
 _ST = W.N_CLUSTERS + 1
 ORACLES = {
+    # the treebank's grammar under the same statements
+    "expected_rule_counts": _kept("SELECT lhs, r1, r2, round(n, 6) AS n FROM uses UNION ALL SELECT NULL, 'sentences', NULL, count(*) FROM z UNION ALL SELECT NULL, 'log_probability', NULL, round(sum(ln(z)), 6) FROM z", _IO),
+    "em_round": _kept("SELECT lhs, r1, r2, round(n / sum(n) OVER (PARTITION BY lhs), 6) AS p FROM uses WHERE n > 0", _IO),
+    "length_distribution": _kept(_LENGTHS, _LEN),
     "ambiguous_rules": _q("SELECT lhs, r1, r2, round(p, 9) AS p FROM g"),
     "ambiguous_inside": _q(_tops("round(ln(v), 9) AS lp"), E._chart("sum(v)", "", "x.v * y.v * g.p", "p")),
     "ambiguous_viterbi": _q(_tops("round(v, 9) AS lp"), E._chart("max(v)", "", "x.v + y.v + ln(g.p)", "ln(p)")),
@@ -268,7 +280,7 @@ ORACLES = {
     "SELECT user_id, chunk, CASE WHEN bool_or(p IS NULL) THEN NULL ELSE round(sum(ln(p)), 9) END AS lp FROM pr2 LEFT JOIN h0 ON h0.lhs = pr2.lhs AND h0.r1 = pr2.r1 AND h0.r2 IS NOT DISTINCT FROM pr2.r2 GROUP BY ALL",
     "grammar_scores": _q("SELECT nt, round(a, 6) AS inside, round(b, 6) AS outside, round(a * b, 6) AS io FROM (SELECT 'S' AS nt, s AS a, 1.0::DOUBLE AS b FROM zz UNION ALL SELECT 'X', x, u FROM zz UNION ALL SELECT 'Y', y, v FROM zz)", _steps("0.9::DOUBLE")),
     "containing_word": _q("SELECT round(1 - s, 6) AS p FROM zz", _steps("1.0::DOUBLE", " AND r1 <> (SELECT word FROM cls ORDER BY n, word DESC LIMIT 1)")),
-    "ambiguous_lengths": _q("SELECT w::INTEGER AS len, round(coalesce(v, 0), 9) AS p FROM (VALUES " + ", ".join(f"({w})" for w in range(1, E.LENGTH + 1)) + ") t(w) LEFT JOIN (" + " UNION ALL ".join(f"SELECT {w} AS k, v FROM l{w} WHERE a = 'S'" for w in range(1, E.LENGTH + 1)) + ") ON k = w", _LEN),
+    "ambiguous_lengths": _q(_LENGTHS, _LEN),
     "expected_words": _q(
         "SELECT nt, r1 AS word, round(sum(e * p), 6) AS e FROM uz JOIN g ON g.lhs = a AND r2 IS NULL WHERE e > 0 GROUP BY ALL",
         ", kid AS MATERIALIZED (SELECT lhs AS a, c, sum(p) AS m FROM (SELECT lhs, r1 AS c, p FROM g WHERE r2 IS NOT NULL UNION ALL SELECT lhs, r2, p FROM g WHERE r2 IS NOT NULL) GROUP BY ALL), tm AS MATERIALIZED (SELECT "
