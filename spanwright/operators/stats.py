@@ -18,7 +18,7 @@ def pmi(bigrams: DataFrame, words: DataFrame, total: DataFrame, min_count: int =
     b = words.select(F.col("word").alias("w2"), F.col("n").alias("n2"))
     x = bigrams.where(F.col("n") >= min_count).join(a, "w1").join(b, "w2").crossJoin(F.broadcast(total))
     d = lambda c: F.col(c).cast("double")
-    return x.select("w1", "w2", "n", F.round(F.ln(d("n")) + F.ln(d("total")) - F.ln(d("n1")) - F.ln(d("n2")), 9).alias("pmi"))
+    return x.select("w1", "w2", "n", (F.round(F.ln(d("n")) + F.ln(d("total")) - F.ln(d("n1")) - F.ln(d("n2")), 9) + F.lit(0.0)).alias("pmi"))
 
 
 def freq_of_freq(counts: DataFrame, n: str = "n") -> DataFrame:

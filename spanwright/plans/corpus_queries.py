@@ -160,7 +160,7 @@ ORACLES = {
     "word_expectations": f"WITH {SENT} SELECT word, n, round(n / total::DOUBLE, 9) AS e FROM cnt, total",
     "length1_expectations": f"WITH {SENT}, x AS (SELECT w[1] AS word, count(*) AS n FROM sent WHERE len(w) = 1 GROUP BY ALL) SELECT word, n, round(n / total::DOUBLE, 9) AS e FROM x, total",
     "length2_expectations": f"WITH {SENT}, x AS (SELECT w[1] AS w1, w[2] AS w2, count(*) AS n FROM sent WHERE len(w) = 2 GROUP BY ALL) SELECT w1, w2, n, round(n / total::DOUBLE, 9) AS e FROM x, total",
-    "bigram_pmi": f"""WITH {SENT}{BI} SELECT w1, w2, bi.n, round(ln(bi.n) + ln(total) - ln(a.n) - ln(b.n), 9) AS pmi
+    "bigram_pmi": f"""WITH {SENT}{BI} SELECT w1, w2, bi.n, round(ln(bi.n) + ln(total) - ln(a.n) - ln(b.n), 9) + 0 AS pmi
 FROM bi JOIN cnt a ON a.word = w1 JOIN cnt b ON b.word = w2, total WHERE w1 <> '<s>' AND w2 <> '<s>'""",
     "context_counts_k2": f"""WITH {SENT}{TOPQ}, p2 AS (SELECT w, list_concat(['<s>', '<s>'], w, ['<s>', '<s>']) AS p FROM sent),
 c AS (SELECT p, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM p2)
