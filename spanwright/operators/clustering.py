@@ -1,14 +1,17 @@
 """Exchange clustering of words on bigram mutual information.
 
 What an exchange needs is aggregated by Spark: each word's counts with every cluster, and the cluster table. ``exchange_together``
-is the distributed form: all words judge their best move against the same table, and the moves of a share of the words are kept if
-the objective rises. ``exchange`` moves words one after the other, each seeing the moves before it, on the driver, over a table that
+is the distributed form: the exact gain of every move comes from the word's counts with each cluster, sets of moves are made together,
+and it ends where no single move gains. ``exchange`` moves words one after the other, each seeing the moves before it, on the driver, over a table that
 ``max_words`` and ``max_pairs`` bound.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,38 +101,129 @@ def cluster_table(bigrams: DataFrame, clusters: DataFrame, n_clusters: int) -> n
     return table
 
 
+def move_gains(table: np.ndarray, cid: np.ndarray, out: np.ndarray, in_: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What the objective gains by moving each word to each cluster, exactly.
+
+    A word lies in ``cid`` and stands ``out[g]`` times before and ``in_[g]`` times behind other words of cluster g, ``own`` times before
+    itself. A move from a to b changes rows and columns a and b of the table alone. Cluster 0 is no aim.
+    """
+    f, k, n = _xlogx, np.arange(len(table)), np.arange(len(cid))
+    rows, cols, old = table[cid], table.T[cid], f(table)
+    leave = (f(rows - out) - old[cid]), (f(cols - in_) - old.T[cid])  # (word, g): a's row and column
+    enter = f(table[None] + out[:, None]) - old[None], f(table.T[None] + in_[:, None]) - old.T[None]  # (word, b, g)
+    gain = sum(x.sum(1)[:, None] - x[n, cid][:, None] - x for x in leave)  # over g besides a and b
+    gain = gain + sum(x.sum(2) - x[n, :, cid] - x[:, k, k] for x in enter)
+    oa, ia, now = out[n, cid][:, None], in_[n, cid][:, None], own[:, None]
+    aa, bb = table[cid, cid][:, None], table[k, k][None]
+    gain += f(aa - oa - ia - now) - f(aa) + f(bb + out + in_ + now) - f(bb) + f(rows - out + ia) - f(rows) + f(cols + oa - in_) - f(cols)
+    for total, moved in ((table.sum(1), out.sum(1) + own), (table.sum(0), in_.sum(1) + own)):
+        gain -= (f(total[cid] - moved) - f(total[cid]))[:, None] + f(total[None] + moved[:, None]) - f(total)[None]
+    gain[n, cid] = 0.0
+    gain[:, 0] = -np.inf
+    return gain
+
+
 def best_moves(bigrams: DataFrame, clusters: DataFrame, table: np.ndarray) -> DataFrame:
-    """(word, cid, to, gain): every word's cluster of the greatest sum of its neighbours' log shares, and how much that is above its own."""
-    c = clusters.select("word", "cid")
-    sides = F.explode(F.array(F.struct(F.col("w1").alias("word"), F.col("w2").alias("other"), F.lit(0).alias("side")), F.struct(F.col("w2").alias("word"), F.col("w1").alias("other"), F.lit(1).alias("side"))))
-    near = bigrams.select(sides.alias("x"), "n").select("x.*", "n").join(c.withColumnRenamed("word", "other").withColumnRenamed("cid", "g"), "other", "left")
-    near = near.groupBy("word", "side", F.coalesce("g", F.lit(0)).alias("g")).agg(F.sum("n").alias("n"))
-    n_clusters = len(table)
-    share = np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * n_clusters)), np.log((table.T + 0.5) / (table.sum(0)[:, None] + 0.5 * n_clusters))
-    gains = bigrams.sparkSession.createDataFrame([(side, k, g, float(share[side][k, g])) for side in (0, 1) for k in range(1, n_clusters) for g in range(n_clusters)], "side int, k int, g int, l double")
-    score = near.join(F.broadcast(gains), ["side", "g"]).groupBy("word", "k").agg(F.sum(F.col("n") * F.col("l")).alias("s"))
-    best = score.groupBy("word").agg(F.max(F.struct("s", (-F.col("k")).alias("m"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("all"))
-    return best.join(c, "word").select("word", "cid", (-F.col("b.m")).alias("to"), (F.col("b.s") - F.try_element_at("all", "cid")).alias("gain"))
-
-
-def sweep_together(bigrams: DataFrame, clusters: DataFrame, table: np.ndarray, least_gain: float = 1e-6) -> tuple[DataFrame, np.ndarray] | None:
-    """One distributed sweep: the best moves of all words, of each half, of each quarter (by hash), until one of these raises the
-    objective by ``least_gain`` of it; the clusters and their table after it, or nothing where none does."""
-    moves = best_moves(bigrams, clusters, table).where("to <> cid and gain > 0").select("word", "to").persist()
-    before = objective(table)
-    for parts in (1, 2, 4):
-        for k in range(parts):
-            tried = clusters.join(moves.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k), "word", "left").select("word", F.coalesce("to", "cid").cast("int").alias("cid"))
-            after = cluster_table(bigrams, tried, len(table))
-            if objective(after) > before + least_gain * abs(before):
-                return tried, after
-    return None
-
-
-def exchange_together(bigrams: DataFrame, clusters: DataFrame, n_clusters: int) -> DataFrame:
-    """(word, cid) after distributed sweeps, until none raises the objective. Each sweep's clusters are a checkpoint of their own."""
+    """(word, cid, to, gain, profile): every word's move of the greatest exact gain; of equal ones that to the first cluster. The profile is the word's counts behind, before and beside itself."""
+    g, c = len(table), clusters.select("word", "cid")
+    side = lambda word, other, k: F.struct(F.col(word).alias("word"), F.col(other).alias("other"), F.lit(k).alias("side"))
+    same = F.col("w1") == F.col("w2")
+    near = bigrams.select(F.explode(F.when(same, F.array(side("w1", "w2", 2))).otherwise(F.array(side("w1", "w2", 0), side("w2", "w1", 1)))).alias("x"), "n").select("x.*", "n")
+    near = near.join(c.select(F.col("word").alias("other"), F.col("cid").alias("g")), "other", "left")
+    near = near.groupBy("word", "side", F.when(F.col("side") == 2, 0).otherwise(F.coalesce("g", F.lit(0))).alias("g")).agg(F.sum("n").cast("double").alias("n"))
+    profiles = near.join(c, "word").groupBy("word", "cid").agg(F.collect_list(F.struct((F.col("side") * g + F.col("g")).cast("int").alias("at"), "n")).alias("p"))  # 2 * clusters + 1 entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                p, cid = part.column("p"), part.column("cid").to_numpy().astype(int)
+                x = np.zeros((len(cid), 2 * g + 1))
+                x[np.repeat(np.arange(len(cid)), p.value_lengths().to_numpy()), p.flatten().field("at").to_numpy()] = p.flatten().field("n").to_numpy()
+                gains = move_gains(table, cid, x[:, :g], x[:, g : 2 * g], x[:, 2 * g])
+                to = gains.argmax(1)
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("cid"), pa.array(to, pa.int32()), pa.array(gains.max(1)), pa.array(list(x), pa.list_(pa.float64()))], names=["word", "cid", "to", "gain", "profile"])
+
+    return profiles.mapInArrow(run, "word string, cid int, to int, gain double, profile array<double>")
+
+
+#: Words that a sweep moves one after the other, and sets of moves that it tries beside: all, those of at least 2^-k of the best
+#: gain, hashed shares of all and of those.
+ORDERED, STEPS, SHARES = 512, (2, 4, 6), ((2, 4), (2, None), (4, 4), (4, None), (8, None))
+
+
+def _one_by_one(rows: list, pairs: list, table: np.ndarray, least: float) -> tuple[dict[str, int], np.ndarray]:
+    """Clusters of ``rows`` (words of ``best_moves``) after moving them in order until none gains ``least``, and the table; ``pairs`` are their counts beside each other."""
+    g, table = len(table), table.copy()
+    at, cid, x = {r["word"]: k for k, r in enumerate(rows)}, np.array([r["cid"] for r in rows]), np.array([r["profile"] for r in rows])
+    behind: list[list[tuple[int, float]]] = [[] for _ in rows]
+    before: list[list[tuple[int, float]]] = [[] for _ in rows]
+    for r in pairs:
+        i, j = at[r["w1"]], at[r["w2"]]
+        if i != j:
+            behind[i].append((j, r["n"]))
+            before[j].append((i, r["n"]))
+    moved = True
+    while moved:
+        moved = False
+        for w in range(len(rows)):
+            out, in_, own, a = x[w, :g], x[w, g : 2 * g], x[w, 2 * g], cid[w]
+            gains = move_gains(table, cid[w : w + 1], out[None], in_[None], x[w : w + 1, 2 * g])[0]
+            b = int(gains.argmax())
+            if gains[b] <= least:
+                continue
+            for k, sign in ((a, -1), (b, 1)):
+                table[k] += sign * out
+                table[:, k] += sign * in_
+                table[k, k] += sign * own
+            for others, side in ((behind[w], g), (before[w], 0)):  # the words behind see this one before them
+                for j, n in others:
+                    x[j, side + a] -= n
+                    x[j, side + b] += n
+            cid[w], moved = b, True
+    return {w: int(cid[k]) for w, k in at.items()}, table
+
+
+def sweep_together(bigrams: DataFrame, clusters: DataFrame, table: np.ndarray, least_gain: float = 1e-9, seed: int = 0) -> tuple[DataFrame, np.ndarray] | None:
+    """One distributed sweep. Moves made together gain less than each alone, as words move that others stand beside. So the ORDERED
+    best ones are made one after the other from their profiles, each gain exact; and one pass over the bigrams gives the tables of
+    larger sets of moves made together. What raises the objective most is kept. Nothing where no single move gains ``least_gain``
+    of the objective: a local optimum."""
+    g, before = len(table), objective(table)
+    moves = cut(best_moves(bigrams, clusters, table).where(F.col("gain") > least_gain * abs(before)))
+    best = moves.orderBy(F.desc("gain"), "word").limit(ORDERED).collect()
+    if not best:
+        return None
+    spark = bigrams.sparkSession
+    few = F.broadcast(spark.createDataFrame([(r["word"],) for r in best], "word string"))
+    beside = bigrams.join(few.withColumnRenamed("word", "w1"), "w1").join(few.withColumnRenamed("word", "w2"), "w2").collect()  # at most ORDERED squared
+    found, ordered = _one_by_one(best, beside, table, least_gain * abs(before))
+    alone = F.broadcast(spark.createDataFrame(list(found.items()), "word string, ordered int"))
+    step = lambda k: F.lit(True) if k is None else F.col("gain") >= best[0]["gain"] / 2**k
+    share = lambda m: F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(m)) == 0
+    tests = [step(None), *map(step, STEPS), *(share(m) & step(k) for m, k in SHARES)]
+    sets = F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in enumerate(tests))), lambda x: x.isNotNull())
+    moving = moves.select("word", "to", sets.alias("sets"))
+    placed = cut(clusters.select("word", "cid").join(moving, "word", "left").join(alone, "word", "left").select("word", "cid", "to", F.coalesce("sets", F.array().cast("array<int>")).alias("sets"), F.coalesce("ordered", "cid").alias("ordered")))
+    end = lambda k: placed.select(F.col("word").alias(f"w{k}"), F.col("cid").alias(f"c{k}"), F.col("to").alias(f"t{k}"), F.col("sets").alias(f"s{k}"))
+    both = bigrams.join(end(1), "w1", "left").join(end(2), "w2", "left").where("t1 IS NOT NULL OR t2 IS NOT NULL")
+    old = lambda k: F.coalesce(f"c{k}", F.lit(0))
+    new = lambda k: F.coalesce(F.when(F.array_contains(f"s{k}", F.col("set")), F.col(f"t{k}")).otherwise(F.col(f"c{k}")), F.lit(0))
+    change = lambda c, n: F.struct(c(1).alias("c1"), c(2).alias("c2"), n.alias("n"))
+    tried = both.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(len(tests) - 1)))).select("set", F.explode(F.array(change(old, -F.col("n")), change(new, F.col("n")))).alias("x"))
+    tables = [table.copy() for _ in tests]
+    for r in tried.groupBy("set", "x.c1", "x.c2").agg(F.sum("x.n").alias("n")).collect():  # sets times clusters squared
+        tables[r["set"]][r["c1"], r["c2"]] += r["n"]
+    k = int(np.argmax([objective(t) for t in tables]))
+    if objective(tables[k]) > objective(ordered):
+        return placed.select("word", F.when(F.array_contains("sets", k), F.col("to")).otherwise(F.col("cid")).cast("int").alias("cid")), tables[k]
+    return placed.select("word", F.col("ordered").cast("int").alias("cid")), ordered
+
+
+def exchange_together(bigrams: DataFrame, clusters: DataFrame, n_clusters: int, least_gain: float = 1e-9) -> DataFrame:
+    """(word, cid) after distributed sweeps, until no single move gains ``least_gain`` of the objective. Each sweep's clusters lie over a checkpoint of their own."""
     clusters = cut(clusters)
-    table = cluster_table(bigrams, clusters, n_clusters)
-    while (step := sweep_together(bigrams, clusters, table)) is not None:
-        clusters, table = cut(step[0]), step[1]
+    table, k = cluster_table(bigrams, clusters, n_clusters), 0
+    while (step := sweep_together(bigrams, clusters, table, least_gain, k)) is not None:
+        clusters, table, k = step[0], step[1], k + 1
     return clusters

@@ -131,9 +131,9 @@ def bootstrap_null(spark, sf):
 
 
 def exchange(spark, sf):
-    """Words of ten occurrences or more, from a start by hash, until no half of the words' moves raises the objective."""
+    """Words of ten occurrences or more, from a start by hash, until no single move gains a hundred-thousandth of the objective."""
     b = cut(T.bigram_counts(W._sents(spark, sf)))
-    return clustering.exchange_together(b, W._clusters(T.counts_of(b)), W.N_CLUSTERS)
+    return clustering.exchange_together(b, W._clusters(T.counts_of(b)), W.N_CLUSTERS, 1e-5)
 
 
 def context_divergences(spark, sf):

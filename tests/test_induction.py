@@ -211,3 +211,32 @@ def test_exchange_raises_the_objective(spark, corpus):
     start = T.hashed_clusters(T.counts_of(b), 4, 1)
     found = clustering.exchange_together(b, start, 4)
     assert clustering.objective(clustering.cluster_table(b, found, 4)) > clustering.objective(clustering.cluster_table(b, start, 4)) and found.count() == 12
+
+
+def test_exchange_reaches_a_local_optimum(spark):
+    r = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(30)]
+    sents = spark.createDataFrame([(0, k, [words[(3 * r.integers(10) + j + int(r.integers(2))) % 30] for j in range(int(r.integers(1, 7)))]) for k in range(400)], "doc_id long, sno int, w array<string>")
+    b = T.bigram_counts(sents).cache()
+    start = T.hashed_clusters(T.word_counts(sents), 5, 1)
+    table = clustering.cluster_table(b, start, 5)
+    cid = {x["word"]: x["cid"] for x in start.collect()}
+    moves = {x["word"]: x for x in clustering.best_moves(b, start, table).collect()}
+    assert set(moves) == set(cid)
+    pairs = [(x["w1"], x["w2"], x["n"]) for x in b.collect()]
+
+    def worth(c):
+        t = np.zeros((5, 5))
+        for a, z, n in pairs:
+            t[c.get(a, 0), c.get(z, 0)] += n
+        return clustering.objective(t)
+
+    for w, x in moves.items():  # gains equal those of tables counted anew
+        plain = [worth(cid | {w: k}) - worth(cid) for k in range(1, 5)]
+        assert x["gain"] == pytest.approx(max(plain), abs=1e-6) and plain[x["to"] - 1] == pytest.approx(max(plain), abs=1e-6)
+    found = {x["word"]: x["cid"] for x in clustering.exchange_together(b, start, 5).collect()}
+    assert all(worth(found | {w: k}) <= worth(found) + 1e-5 for w in found for k in range(1, 5))
+    one_by_one = {x["word"]: x["cid"] for x in clustering.exchange(b, start, 5).collect()}
+    assert worth(found) >= worth(one_by_one)
+    none = b.where("n < 0")
+    assert clustering.exchange_together(none, start, 5).count() == len(cid)
