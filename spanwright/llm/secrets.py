@@ -7,8 +7,9 @@ segmentation of k parts costs k! times the product of the parts' guesses. Docume
 
 The dictionary has three ranked lists: passwords that guessers try first, common English words, and the words of the corpus
 itself by the number of documents that hold them outside credential values (a secret that only stands where secrets stand does
-not become a word by being copied). Words of MIN_DOCS documents or more count; of a large corpus so many as fit MAX_WORDS,
-words of equal numbers of documents being in or out together. Any other word is costed as brute force.
+not become a word by being copied). All words of MIN_DOCS documents or more count, a word's rank being the number of words that as
+many documents or more hold; any other word is costed as brute force. The dictionary stays a table: the letter strings of the distinct
+values are joined to it, each value is costed with the words that it holds, and the costs are joined back to the documents.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned each for itself; an empty table gives
 an empty result; further columns are ignored; values of any length are costed whole; a guessed value is left out only where base
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from spanwright.llm.common import dropped, id_text, small_batches, table, written
 from spanwright.llm.words import COMMON
@@ -61,8 +62,10 @@ WORDS = (
     "summer winter spring autumn orange purple yellow silver golden london paris berlin madrid google apple server default change "
     "example sample demo public private database system network temp pass key api none null true false string value your here"
 ).split()
-#: Words of the corpus: least number of documents, most words of the dictionary, lengths; counts that a task holds before it hands them on.
-MIN_DOCS, MAX_WORDS, SHORTEST, LONGEST, HELD = 5, 100_000, 3, 24, 200_000
+#: Words of the corpus: least number of documents, lengths; counts and strings that a task holds before it hands them on.
+MIN_DOCS, SHORTEST, LONGEST, HELD = 5, 3, 24, 200_000
+#: Parts into which documents of one value are dealt where costs come back to them.
+SALTS = 8
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,6 +79,13 @@ class Words:
                 self.rank[w] = min(k, self.rank.get(w, k))
         self.longest = max(map(len, self.rank))
 
+    def ranked(self, ranks: dict[str, int]) -> Words:
+        """These words and further ones of given ranks."""
+        out = Words.__new__(Words)
+        out.rank = self.rank | {w: min(k, self.rank.get(w, k)) for w, k in ranks.items()} if ranks else self.rank
+        out.longest = max(self.longest, max(map(len, ranks), default=0))
+        return out
+
 
 BASE = Words(WORDS, COMMON)
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -222,26 +232,33 @@ def _uncovered(s: int, e: int, spans: list[tuple[int, int]]) -> bool:
     return s < e
 
 
-def scan(text: str, min_log10: float = MIN_LOG10, words: Words = BASE) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, log10 guesses) by start, then kind: assign, access, hex, guess."""
+def candidates(text: str) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, value) by start, then kind: the base spans, and values in contexts that these don't cover."""
     found = []
     low = text.lower()
     hinted = any(h in low for h in HINTS)
     if hinted:
-        found += [(m.start(), 0, "assign", m.end(), log10_guesses(m[2], words)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), 0, "assign", m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
-        found += [(m.start(), 1, "access", m.end(), log10_guesses(m[0], words)) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), 2, "hex", m.end(), log10_guesses(m[0], words)) for m in HEX.finditer(text)]
+        found += [(m.start(), 1, "access", m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, "hex", m.end(), m[0]) for m in HEX.finditer(text)]
     if hinted:
         base = [(s, e) for s, _, _, e, _ in found]
         values = {m.span(1): m[1] for pattern in CONTEXTS for m in pattern.finditer(text)}
         for (s, e), value in values.items():
             e -= len(value) - len(value.rstrip(".)]}:!?"))
-            if e - s >= 6 and _uncovered(s, e, base) and (g := log10_guesses(text[s:e], words)) >= min_log10:
-                found.append((s, 3, "guess", e, g))
-    return [(kind, s, e, g) for s, _, kind, e, g in sorted(found)]
+            if e - s >= 6 and _uncovered(s, e, base):
+                found.append((s, 3, "guess", e, text[s:e]))
+    return [(kind, s, e, value) for s, _, kind, e, value in sorted(set(found))]
+
+
+def scan(text: str, min_log10: float = MIN_LOG10, words: Words = BASE) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, log10 guesses) by start, then kind: assign, access, hex, guess."""
+    costed = ((kind, s, e, log10_guesses(value, words)) for kind, s, e, value in candidates(text))
+    return [x for x in costed if x[0] != "guess" or x[3] >= min_log10]
 
 
+FOUND = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("value", StringType())]))
 SPANS = "array<struct<kind:string,start:long,end:long,log10_guesses:double>>"
 
 
@@ -262,8 +279,8 @@ def _counted_words(texts: Iterator[str]) -> Iterator[dict[str, int]]:
     yield count
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text") -> Words:
-    """The dictionary with the words of ``docs``; at most MAX_WORDS of them come to the driver."""
+def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, rank) of all words of ``docs`` that MIN_DOCS documents or more hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for count in _counted_words(t or "" for batch in batches for t in batch.column(0).to_pylist()):
@@ -271,53 +288,113 @@ def corpus_words(docs: DataFrame, text_col: str = "text") -> Words:
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     words = written(texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS), "words")
-    # numbers of documents that occur: their sum is at most the corpus's words, so they are few
-    least, total = None, 0
-    for r in sorted(words.groupBy("n").count().collect(), reverse=True):
-        total += r["count"]
-        if total > MAX_WORDS:
-            break
-        least = r["n"]
-    ranked = [] if least is None else sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
+    # a row for each number of documents that occurs: their sum is at most the corpus's words, so the one task below has few
+    ranks = words.groupBy("n").count().select("n", F.sum("count").over(Window.orderBy(F.desc("n"))).alias("rank"))
+    return words.join(ranks, "n").select("word", "rank")
+
+
+def strings(value: str) -> Iterator[str]:
+    """What the programme may look up in the dictionary: strings of letters within the value, its plain form, and both backwards."""
+    low = value.lower()
+    for form in {low, low.translate(LEET)}:
+        for run in WORD.finditer(form):
+            letters = run[0]
+            for i in range(len(letters)):
+                for j in range(i + SHORTEST, min(len(letters), i + LONGEST) + 1):
+                    yield letters[i:j]
+                    yield letters[i:j][::-1]
+
+
+def _costs(values: DataFrame, words: DataFrame) -> DataFrame:
+    """(value, log10_guesses) of distinct values, each costed with the dictionary's words that it holds."""
+    values = written(values.withColumn("vid", F.monotonically_increasing_id()), "values")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: set[tuple[int, str]] = set()
+            for vid, value in zip(b.column("vid").to_pylist(), b.column("value").to_pylist(), strict=True):
+                for x in strings(value):
+                    held.add((vid, x))
+                    if len(held) >= HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([w for _, w in held], pa.string())], names=["vid", "word"])
+                        held = set()
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([w for _, w in held], pa.string())], names=["vid", "word"])
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [{x["word"]: x["rank"] for x in w or []} for w in b.column("words").to_pylist()]
+            got = [log10_guesses.__wrapped__(v, BASE.ranked(w)) for v, w in zip(b.column("value").to_pylist(), own, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("value"), pa.array(got, pa.float64())], names=["value", "log10_guesses"])
+
+    hits = values.mapInArrow(split, "vid long, word string").join(words, "word").groupBy("vid").agg(F.collect_set(F.struct("word", "rank")).alias("words"))  # at most the strings of one value
+    costs = written(values.join(hits, "vid", "left").select("value", "words").mapInArrow(cost, "value string, log10_guesses double"), "costs")
+    dropped(values)
+    return costs
+
+
+def _scanned(docs: DataFrame, doc: Column, text_col: str, min_log10: float) -> DataFrame:
+    """(doc, spans): ``doc`` of every row and the spans of its text."""
+    small_batches(docs.sparkSession)
+    schema = docs.select(doc.alias("doc")).schema["doc"].dataType
+    inside = text_col in schema.names  # then the text is read from there
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column("doc")
+            texts = own.field(text_col) if inside else b.column("text")
+            got = [[dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in candidates(t or "")] for t in texts.to_pylist()]
+            kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+            yield pa.RecordBatch.from_arrays([own, pa.array(got, kinds)], names=["doc", "found"])
+
+    read = docs.select(doc.alias("doc"), *([] if inside else [F.col(text_col).cast("string").alias("text")]))
+    found = read.mapInArrow(run, StructType([StructField("doc", schema, False), StructField("found", FOUND)]))
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    none = F.array().cast(SPANS)
+    flat = found.where(F.size("found") > 0).select("row", F.explode("found").alias("x")).select("row", "x.*")
+    words = corpus_words(docs, text_col)
+    costs = _costs(flat.select("value").distinct(), words)
     dropped(words)
-    return Words(WORDS, COMMON, [r["word"] for r in ranked])
+    dealt = costs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    order = F.array_position(F.array(*map(F.lit, ("assign", "access", "hex", "guess"))), F.col("kind"))
+    kept = flat.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(dealt, ["value", "salt"]).where((F.col("kind") != "guess") | (F.col("log10_guesses") >= min_log10))
+    kept = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", order.alias("order"), "kind", "end", "log10_guesses"))).alias("s"))  # a document's own spans
+    with_spans = found.where(F.size("found") > 0).join(kept, "row", "left").select("doc", F.coalesce(F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["log10_guesses"].alias("log10_guesses"))), none).alias("spans"))
+    return with_spans.unionByName(found.where(F.size("found") == 0).select("doc", none.alias("spans")))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = MIN_LOG10, keep_text: bool = False) -> DataFrame:
     """doc_id and the found spans (code points, end exclusive); ``keep_text`` also hands the text on."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text_col))  # at most MAX_WORDS words and the fixed lists
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf if keep_text else pdf[["doc_id"]]
-            yield out.assign(spans=[[dict(zip(("kind", "start", "end", "log10_guesses"), x, strict=True)) for x in scan(t, min_log10, shared.value)] for t in pdf["text"]])
+    read = id_text(docs, id_col, text_col)
+    return _scanned(read, F.struct("doc_id", *(["text"] if keep_text else [])), "text", min_log10).select("doc.*", "spans")
 
-    return id_text(docs, id_col, text_col).mapInPandas(run, f"doc_id long, {'text string, ' if keep_text else ''}spans {SPANS}")
 
-
-def mask(text: str, min_log10: float = MIN_LOG10, mark: str = "[SECRET]", words: Words = BASE) -> str:
-    """The text with every found span, overlapping ones as one, replaced by ``mark``."""
+def masked(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
+    """The text with spans, overlapping ones as one, replaced by ``mark``."""
     out, at = [], 0
-    for _, s, e, _ in scan(text, min_log10, words):
+    for s, e in spans:
         if s >= at:
             out += [text[at:s], mark]
         at = max(at, e)
     return "".join([*out, text[at:]])
 
 
+def mask(text: str, min_log10: float = MIN_LOG10, mark: str = "[SECRET]", words: Words = BASE) -> str:
+    """The text with every found span replaced by ``mark``."""
+    return masked(text, [(s, e) for _, s, e, _ in scan(text, min_log10, words)], mark)
+
+
 def mask_secrets(docs: DataFrame, text_col: str = "text", min_log10: float = MIN_LOG10) -> DataFrame:
     """``docs`` with the spans of its texts masked, all columns kept; null texts become empty."""
-    small_batches(docs.sparkSession)
     schema = docs.schema
-    shared = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index(text_col)
-            yield batch.set_column(k, batch.schema.field(k), pa.array([mask(t or "", min_log10, words=shared.value) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
+        for b in batches:
+            rows = pa.RecordBatch.from_struct_array(b.column("doc"))
+            k = rows.schema.get_field_index(text_col)
+            texts = [masked(t or "", [(x["start"], x["end"]) for x in s]) for t, s in zip(rows.column(k).to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            yield rows.set_column(k, rows.schema.field(k), pa.array(texts, rows.schema.field(k).type))
 
-    return docs.mapInArrow(run, schema)
+    return _scanned(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), text_col, min_log10).mapInArrow(run, schema)
 
 
 def op7_secrets(spark, sf_dir):

@@ -610,3 +610,22 @@ def test_near_copies_of_the_stage_match_brute_force(spark):
     docs = frame(spark, [(k, " ".join(w), "en", "s", 0) for k, w in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x["doc_id"] for x in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
     assert kept == {top(k) for k in range(len(texts))}
+
+
+def test_values_are_costed_with_the_whole_dictionary(spark):
+    r = random.Random(31)
+    made = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4))) for _ in range(60)]
+    rows = [(k, " ".join(r.sample(made, 12))) for k in range(60)] + [(60, None), (60, ""), (None, "the token is " + made[0] + made[1])]
+    rows += [(100 + k, r.choice(["the secret is {}", "pwd={}", "password: {}", "--token {}"]).format("".join(r.choice([r.choice(made), r.choice(made)[::-1].title(), "1987", "#kQ"]) for _ in range(r.randint(1, 4))))) for k in range(120)]
+    rows += [(300, "passphrase: " + made[2] * 300), (301, "passphrase: " + made[3]), (301, "passphrase: " + made[3])]
+    held = next(iter(secrets._counted_words(t or "" for _, t in rows)))
+    ranks = {w: sum(m >= n for m in held.values() if m >= secrets.MIN_DOCS) for w, n in held.items() if n >= secrets.MIN_DOCS}
+    assert len(ranks) > 40
+    words = secrets.BASE.ranked(ranks)
+    plain = [(k, [(a, s, e, pytest.approx(g)) for a, s, e, g in secrets.scan(t or "", words=words)]) for k, t in rows]
+    got = [(x["doc_id"], [(s["kind"], s["start"], s["end"], s["log10_guesses"]) for s in x["spans"]]) for x in secrets.find_secrets(frame(spark, rows)).collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, len(x[1]))
+    assert sorted(got, key=key) == sorted(plain, key=key)
+    assert any(s for _, s in got) and any(not secrets.scan(t, words=words) and secrets.scan(t) for _, t in rows if t)  # the dictionary tells
+    texts = sorted(x["text"] for x in secrets.mask_secrets(frame(spark, rows)).collect())
+    assert texts == sorted(secrets.mask(t or "", words=words) for _, t in rows)
