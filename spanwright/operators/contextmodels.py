@@ -37,16 +37,48 @@ def pair_divergences(sents: DataFrame, words: DataFrame, alpha: float = 2.0, k:
     return grid.join(base, "a").join(extra, ["a", "b"], "left").select("a", "b", (d + F.col("eb") - F.col("ea")).alias("d"))
 
 
-def antichain(divergences: list[tuple[str, str, float]], order: list[str], near: float = 0.3) -> list[str]:
-    """Words in order, each kept unless one kept before is as general (a divergence to it under ``near``); a kept word that the new
-    one covers is dropped. Over a bounded list of candidates."""
-    d = {(a, b): x for a, b, x in divergences}
+def relations(divergences: DataFrame, near: float) -> DataFrame:
+    """(a, b, relation) of every pair in ``divergences`` (a, b, d): '<' where a's contexts lie within b's (a divergence under ``near``) and not the other way, '>', '=' where both do, '|' where neither does."""
+    x = divergences.select("a", "b", (F.col("d") < near).alias("within"))
+    both = x.join(x.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("within").alias("holds")), ["a", "b"])
+    return both.select("a", "b", F.when(F.col("within") & F.col("holds"), "=").when(F.col("within"), "<").when(F.col("holds"), ">").otherwise("|").alias("relation"))
+
+
+def covers(related: DataFrame) -> DataFrame:
+    """(a, b) of ``relations`` with a < b and no word between them."""
+    less = related.where("relation = '<'").select("a", "b")
+    between = less.withColumnRenamed("b", "c").join(less.withColumnRenamed("a", "c"), "c").select("a", "b")
+    return less.join(between, ["a", "b"], "left_anti")
+
+
+def antichain_log(related: list[tuple[str, str, str]], order: list[str], whole: frozenset[str] = frozenset()) -> list[dict]:
+    """What is decided on each word in order: step, word, action, reason, replaces, kept (the words kept after it).
+
+    The words of the smallest contexts stay, none within another's: a word equal to a kept one is skipped, and so is one whose contexts
+    hold a kept one's, or that stands for sentences (``whole``); one within kept ones' replaces these; any other is added.
+    Over a bounded list of candidates.
+    """
+    of = {(a, b): r for a, b, r in related}
     kept: list[str] = []
-    for w in order:
-        if any(d.get((w, k), float("inf")) < near for k in kept):
-            continue
-        kept = [k for k in kept if d.get((k, w), float("inf")) >= near] + [w]
-    return kept
+    log = []
+    for step, w in enumerate(order, 1):
+        by = {r: [k for k in kept if of.get((w, k), "|") == r] for r in "=><"}
+        replaces: list[str] = []
+        if by["="]:
+            action, reason = "equal", by["="][0]
+        elif w in whole or by[">"]:
+            action, reason = "larger", None if w in whole else by[">"][0]
+        else:
+            action, reason, replaces = "replaces" if by["<"] else "added", None, by["<"]
+            kept = [k for k in kept if k not in replaces] + [w]
+        log.append({"step": step, "word": w, "action": action, "reason": reason, "replaces": replaces, "kept": list(kept)})
+    return log
+
+
+def antichain(related: list[tuple[str, str, str]], order: list[str], whole: frozenset[str] = frozenset()) -> list[str]:
+    """The words that ``antichain_log`` keeps at last."""
+    log = antichain_log(related, order, whole)
+    return log[-1]["kept"] if log else []
 
 
 def lexical_weights(divergences: DataFrame, expectations: DataFrame) -> DataFrame:

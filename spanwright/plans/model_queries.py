@@ -147,11 +147,32 @@ def lexical_xi_counts(spark, sf):
     return _r(contextmodels.lexical_weights(d, T.expectations(top, T.sentence_count(s))), "xi")
 
 
-def antichain(spark, sf):
+#: Divergence under which a word's contexts lie within another's; share of a word's occurrences from which it stands for sentences.
+NEAR, WHOLE = 1.0, 1e-3
+
+
+def _related(spark, sf):
+    return contextmodels.relations(_r(contextmodels.pair_divergences(W._sents(spark, sf), W._top(spark, sf)), "d"), NEAR)
+
+
+def _decisions(spark, sf):
+    """The candidates' list and their relations come to the driver: 300 words."""
     words = W._top(spark, sf)
-    top = [r["word"] for r in words.collect()]
-    rows = [tuple(r) for r in _r(contextmodels.pair_divergences(W._sents(spark, sf), words), "d").collect()]
-    return spark.createDataFrame([(k, w) for k, w in enumerate(contextmodels.antichain(rows, top, 1.0))], "rank int, word string")
+    alone = T.of_length(W._sents(spark, sf), 1).select("word", F.col("n").alias("m"))
+    whole = frozenset(r["word"] for r in words.join(alone, "word").where(F.col("m") / F.col("n") > WHOLE).collect())
+    order = [r["word"] for r in words.orderBy(F.desc("n"), "word").collect()]
+    related = [(r["a"], r["b"], r["relation"]) for r in _related(spark, sf).where("relation <> '|'").collect()]
+    return contextmodels.antichain_log(related, order, whole)
+
+
+def antichain(spark, sf):
+    log = _decisions(spark, sf)
+    return spark.createDataFrame(list(enumerate(log[-1]["kept"] if log else [])), "rank int, word string")
+
+
+def antichain_log(spark, sf):
+    rows = [(x["step"], x["word"], x["action"], x["reason"], " ".join(x["replaces"]), len(x["kept"])) for x in _decisions(spark, sf)]
+    return spark.createDataFrame(rows, "step int, word string, action string, reason string, replaces string, size int")
 
 
 def threshold_replay(spark, sf):
@@ -207,7 +228,10 @@ QUERIES = {
     "exchange_clusters": exchange,
     "context_divergences": context_divergences,
     "lexical_xi_counts": lexical_xi_counts,
+    "anchor_relations": _related,
+    "anchor_covers": lambda sp, sf: contextmodels.covers(cut(_related(sp, sf))),
     "antichain": antichain,
+    "antichain_log": antichain_log,
     "threshold_replay": threshold_replay,
     "encode_sentences": encode_sentences,
     "bigram_model": bigram_model,
@@ -219,6 +243,7 @@ o AS MATERIALIZED (SELECT word, ctx, n / sum(n) OVER (PARTITION BY word) AS wt,
 bs AS (SELECT word AS a, sum(wt * s / 0.1::DOUBLE) AS base FROM o GROUP BY word),
 xt AS (SELECT x.word AS a, y.word AS b, sum(x.wt * (x.s / y.s - x.s / 0.1::DOUBLE)) AS extra FROM o x JOIN o y USING (ctx) WHERE x.word <> y.word GROUP BY ALL),
 dv AS (SELECT ta.word AS a, tb.word AS b, ln((base + coalesce(extra, 0)) * tb.n / ta.n) AS d FROM top ta JOIN top tb ON ta.word <> tb.word JOIN bs ON bs.a = ta.word LEFT JOIN xt ON xt.a = ta.word AND xt.b = tb.word)"""
+_REL = f""", wi AS (SELECT a, b, round(d, 9) < {NEAR} AS within FROM dv), rl AS MATERIALIZED (SELECT x.a, x.b, CASE WHEN x.within AND y.within THEN '=' WHEN x.within THEN '<' WHEN y.within THEN '>' ELSE '|' END AS relation FROM wi x JOIN wi y ON x.a = y.b AND x.b = y.a)"""
 ORACLES = {
     "check_normalisation": E._q("SELECT lhs, round(sum(p), 9) AS total FROM g GROUP BY lhs"),
     "rule_kinds": E._q("SELECT count(*) FILTER (r2 IS NULL) AS lexical, count(*) FILTER (r2 IS NOT NULL) AS \"binary\", count(DISTINCT lhs) AS nonterminals FROM g"),
@@ -239,6 +264,8 @@ ORACLES = {
     "m_step": E._q("SELECT lhs, r1, r2, round(p, 9) AS p FROM g"),
     "context_divergences": f"WITH {W.SENT}{_DIV} SELECT a, b, round(d, 9) AS d FROM dv",
     "lexical_xi_counts": f"WITH {W.SENT}{_DIV} SELECT a, b, round(round(n / total::DOUBLE, 9) * exp(-d), 9) AS xi FROM dv JOIN top ON top.word = b, total",
+    "anchor_relations": f"WITH {W.SENT}{_DIV}{_REL} SELECT a, b, relation FROM rl",
+    "anchor_covers": f"WITH {W.SENT}{_DIV}{_REL}, ls AS MATERIALIZED (SELECT a, b FROM rl WHERE relation = '<') SELECT a, b FROM ls EXCEPT SELECT x.a, y.b FROM ls x JOIN ls y ON x.b = y.a",
     "threshold_replay": f"""WITH {W.SENT}, tp AS (SELECT n, row_number() OVER (ORDER BY n DESC, word) AS step FROM (SELECT word, n FROM cnt ORDER BY n DESC, word LIMIT 200)), g(threshold) AS (VALUES (0.5::DOUBLE), (0.2), (0.1), (0.05), (0.02))
 SELECT threshold, coalesce(min(CASE WHEN n / (SELECT max(n) FROM tp) < threshold THEN step END) - 1, max(step)) AS kept FROM tp, g GROUP BY threshold""",
     "encode_sentences": f"""WITH {W.SENT}, v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS id FROM cnt WHERE n >= 5)

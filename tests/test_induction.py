@@ -240,3 +240,22 @@ def test_exchange_reaches_a_local_optimum(spark):
     assert worth(found) >= worth(one_by_one)
     none = b.where("n < 0")
     assert clustering.exchange_together(none, start, 5).count() == len(cid)
+
+
+def test_antichain_with_its_order(spark):
+    r = np.random.default_rng(8)
+    for trial in range(3):
+        words = [f"w{k}" for k in range(9)]
+        sets = {w: set(np.flatnonzero(r.random(5) < 0.5 + 0.1 * trial)) | {0} for w in words}
+        d = [(a, b, 0.1 if sets[a] <= sets[b] else 5.0) for a in words for b in words if a != b]
+        related = contextmodels.relations(spark.createDataFrame(d, "a string, b string, d double"), 1.0)
+        rows = [tuple(x) for x in related.collect()]
+        assert set(rows) == {(a, b, "=" if sets[a] == sets[b] else "<" if sets[a] < sets[b] else ">" if sets[a] > sets[b] else "|") for a in words for b in words if a != b}
+        want = {(a, b) for a in words for b in words if sets[a] < sets[b] and not any(sets[a] < sets[c] < sets[b] for c in words)}
+        assert {tuple(x) for x in contextmodels.covers(related).collect()} == want
+        log = contextmodels.antichain_log(rows, words)
+        kept = log[-1]["kept"]
+        smallest = [w for w in words if not any(sets[v] < sets[w] for v in words)]
+        assert {frozenset(sets[w]) for w in kept} == {frozenset(sets[w]) for w in smallest} and len(kept) == len({frozenset(sets[w]) for w in kept})
+        assert [x["word"] for x in log] == words and all(x["reason"] in x["kept"] for x in log if x["action"] in ("equal", "larger"))
+        assert contextmodels.antichain(rows, words, frozenset(words)) == [] == contextmodels.antichain([], [])
