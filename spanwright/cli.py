@@ -151,7 +151,7 @@ def _more(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "train-lm":
         s = _corpus(spark, a.input)
         v = T.special_vocabulary(T.word_counts(s), a.min_count).persist()
-        model, history = recurrent.train(recurrent.LanguageModel, T.encoded(s, v), v.count(), a.epochs)
+        model, history = gap_learner.train_together(recurrent.LanguageModel, T.encoded(s, v), v.count(), a.epochs)
         model.save(a.output)
         v.write.parquet(a.output + ".vocabulary")
         print(json.dumps({"losses": history}))

@@ -23,11 +23,12 @@ from spanwright.operators import anchors as A
 from spanwright.operators import contextmodels as M
 from spanwright.operators import induction as I
 from spanwright.operators import tokens as T
+from spanwright.operators.averaging import PART, averaged
 from spanwright.operators.lineage import cut
 from spanwright.operators.recurrent import ClozeModel, _Model
 
-#: Sentences of a task's share of a round; models that one task averages.
-SHARE, MERGED = 4096, 8
+#: Sentences of a task's share of a round.
+SHARE = 4096
 #: Greatest exponent in a sum of powers: beyond it a word is as good as never seen there.
 STEEP = 600.0
 
@@ -50,32 +51,10 @@ def _fill(model: _Model, flat: np.ndarray, t: int) -> _Model:
     return model
 
 
-_PART = "n long, loss double, steps long, flat array<double>"
-
-
-def _averaged(parts: DataFrame) -> tuple[int, float, int, np.ndarray] | None:
-    """Sentences, mean loss, most steps and mean weights over ``parts``, merged a few at a time."""
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        n = group.column("n").to_numpy()
-        share = n / n.sum()
-        flat = sum(s * np.asarray(x.values) for s, x in zip(share, group.column("flat"), strict=True))
-        return pa.table({"n": [int(n.sum())], "loss": [float(share @ group.column("loss").to_numpy())], "steps": [max(group.column("steps").to_pylist())], "flat": pa.array([flat], pa.list_(pa.float64()))})
-
-    parts = cut(parts)
-    left = parts.count()
-    while left > 1:
-        g = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-left // MERGED))).cast("int")
-        parts = cut(parts.withColumn("g", g).groupBy("g").applyInArrow(run, _PART))
-        left = parts.count()
-    row = parts.first()
-    return (row["n"], row["loss"], row["steps"], np.array(row["flat"])) if row else None
-
-
 def train_together(kind: type[_Model], rows: DataFrame, vocabulary: int, rounds: int = 5, batch: int = 64, rate: float = 5e-3, seed: int = 1, share: int = SHARE, **options) -> tuple[_Model, list[float]]:
     """Fit on all sentences (ids): in each round tasks of about ``share`` sentences go on from the mean of the last; the mean loss of each round."""
     model, history = kind(vocabulary, seed=seed, **options), []
-    rows = cut(rows.select("ids").where(F.size("ids") > 2))
+    rows = cut(rows.select("ids").where(F.size("ids") > (2 if kind is ClozeModel else 1)))  # without a word there is no gap
     tasks = -(-rows.count() // share)
     for k in range(rounds if tasks else 0):
         dealt = rows.repartition(tasks, F.xxhash64("ids", F.lit(seed + k), F.monotonically_increasing_id()))
@@ -94,7 +73,7 @@ def train_together(kind: type[_Model], rows: DataFrame, vocabulary: int, rounds:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sum(x * y for x, y in losses) / n]), pa.array([own.t - began]), pa.array([_flat(own)], pa.list_(pa.float64()))], names=["n", "loss", "steps", "flat"])
 
-        _, loss, steps, flat = _averaged(dealt.mapInArrow(run, _PART))
+        _, loss, steps, flat = averaged(dealt.mapInArrow(run, PART))
         model = _fill(model, flat, model.t + steps)
         history.append(loss)
     return model, history

@@ -1,7 +1,7 @@
 """Feed-forward context models: the word, or the pair of words, in a gap from the words around it.
 
-Spark counts the (context, target) rows; a bounded sample of them trains a small network on the driver; scoring runs in Arrow
-batches on all rows. ``kind`` is "bow" (mean of the context's vectors) or "positional" (vectors side by side, two hidden layers).
+Spark counts the (context, target) rows. ``train_together`` takes all of them, each round's tasks going on from the mean network of
+the last; ``train`` a bounded sample on the driver. Scoring runs in Arrow batches on all rows. ``kind`` is "bow" (mean of the context's vectors) or "positional" (vectors side by side, two hidden layers).
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwright.operators.averaging import PART, averaged
+from spanwright.operators.lineage import cut
 from spanwright.operators.tokens import BOUNDARY
 
 
@@ -133,6 +135,49 @@ def train(rows: DataFrame, vocabulary: int, k: int = 2, kind: str = "bow", pair:
     return model, history
 
 
+def train_together(rows: DataFrame, vocabulary: int, k: int = 2, kind: str = "bow", pair: bool = False, rounds: int = 5, batch: int = 512, rate: float = 3e-3, seed: int = 1, share: int = 65_536) -> tuple[ContextModel, list[float]]:
+    """Fit on all counted rows: tasks of about ``share`` rows draw them by their counts and go on from the mean network of the last round; the mean loss of each round. Without rows the network stays as it began."""
+    model, history, t = ContextModel(vocabulary, k, kind, pair=pair, seed=seed), [], 0
+    names = sorted(model.p)
+    sizes = np.cumsum([0, *(model.p[x].size for x in names)])
+    moments = np.zeros(2 * sizes[-1])
+
+    def flat(p: dict) -> np.ndarray:
+        return np.concatenate([p[x].ravel() for x in names])
+
+    def filled(own: ContextModel, values: np.ndarray) -> dict:
+        return {x: values[sizes[i] : sizes[i + 1]].reshape(own.p[x].shape).copy() for i, x in enumerate(names)}
+
+    rows = cut(rows.select("ctx", "targets", "n"))
+    tasks = -(-rows.count() // share)
+    for turn in range(rounds if tasks else 0):
+        dealt = rows.repartition(tasks, F.xxhash64("ctx", "targets", F.lit(seed + turn)))
+        shared = rows.sparkSession.sparkContext.broadcast((flat(model.p), moments, t))
+
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            weights, started, began = shared.value
+            own, rng = ContextModel(vocabulary, k, kind, pair=pair, seed=seed), np.random.default_rng(seed + turn)
+            own.p, half = filled(own, weights), len(weights)
+            first, second = filled(own, started[:half]), filled(own, started[half:])
+            adam, at, seen, losses = {x: (first[x], second[x]) for x in names}, began, 0, []
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ctx, targets, n = np.array(b.column("ctx").to_pylist()), np.array(b.column("targets").to_pylist()), b.column("n").to_numpy().astype(float)
+                for _ in range(-(-len(n) // batch)):
+                    drawn, at = rng.choice(len(n), min(batch, len(n)), p=n / n.sum()), at + 1
+                    losses.append(own.step(ctx[drawn], targets[drawn], adam, at, rate))
+                seen += int(n.sum())
+            if seen:
+                out = np.concatenate([flat(own.p), *(np.concatenate([adam[x][i].ravel() for x in names]) for i in (0, 1))])
+                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([float(np.mean(losses))]), pa.array([at - began]), pa.array([out], pa.list_(pa.float64()))], names=["n", "loss", "steps", "flat"])
+
+        _, loss, steps, got = averaged(dealt.mapInArrow(run, PART))
+        model.p, moments, t = filled(model, got[: sizes[-1]]), got[sizes[-1] :], t + steps
+        history.append(loss)
+    return model, history
+
+
 def score(rows: DataFrame, model: ContextModel) -> DataFrame:
     """``rows`` (ctx, targets, n) with lp, the log probability of the targets, for all rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)

@@ -6,9 +6,11 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from spanwright.operators import gap_learner
 from spanwright.operators import grammar as G
-from spanwright.operators import recurrent
+from spanwright.operators import neural, recurrent
 from spanwright.operators import tokens as T
 
 
@@ -46,6 +48,26 @@ def test_training_over_tasks_learns(spark, coded):
     assert history == [] and none.t == 0
 
 
+def test_language_models_learn_over_tasks(spark, coded):
+    rows, v = coded
+    model, losses = gap_learner.train_together(recurrent.LanguageModel, rows, len(v), rounds=8, share=200, batch=16, rate=1e-2, embed=8, hidden=12)
+    driver, _ = recurrent.train(recurrent.LanguageModel, rows, len(v), epochs=6, embed=8, hidden=12)
+    new = [np.array([1, *(v[w] for w in s), 2]) for s in clean(80, seed=9)]
+    assert losses[-1] < losses[0] and model.log_probabilities(new).mean() > 1.15 * driver.log_probabilities(new).mean()
+
+
+@pytest.mark.parametrize("kind", ["bow", "positional"])
+def test_feed_forward_nets_learn_over_tasks(spark, sents, kind):
+    ids = T.vocabulary(T.word_counts(sents))
+    rows = neural.gap_rows(sents.where(F.size("w") > 0), ids).cache()
+    size = ids.count() + 1
+    model, losses = neural.train_together(rows, size, kind=kind, rounds=30, batch=16, share=max(1, rows.count() // 3))
+    driver, _ = neural.train(rows, size, kind=kind, epochs=10, batch=16)  # as many steps as a task makes
+    assert losses[-1] < losses[0] and neural.perplexity(neural.score(rows, model)) < 1.15 * neural.perplexity(neural.score(rows, driver))
+    none, history = neural.train_together(rows.limit(0), size, kind=kind)
+    assert history == [] and none.p.keys() == model.p.keys()
+
+
 @pytest.mark.parametrize("alpha", [1, 2.0, 5.0, math.inf])
 def test_sums_match_gaps_one_by_one(spark, coded, alpha):
     rows, v = coded
