@@ -225,5 +225,6 @@ def exchange_together(bigrams: DataFrame, clusters: DataFrame, n_clusters: int,
     clusters = cut(clusters)
     table, k = cluster_table(bigrams, clusters, n_clusters), 0
     while (step := sweep_together(bigrams, clusters, table, least_gain, k)) is not None:
-        clusters, table, k = step[0], step[1], k + 1
+        # a checkpoint keeps its plan's estimated size, which joins multiply from sweep to sweep; a table of rows starts anew
+        clusters, table, k = bigrams.sparkSession.createDataFrame(step[0].rdd, "word string, cid int"), step[1], k + 1
     return clusters
