@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.operators import charts, clustering, evaluation, experiments, gap_learner, general, induction, nary, recurrent, sampling, training, trees
+from spanwright.operators import charts, clustering, diagnosis, evaluation, experiments, gap_learner, general, induction, nary, recurrent, sampling, targets, training, trees
 from spanwright.operators import grammar as G
 from spanwright.operators import tokens as T
 from spanwright.sources import sinks, text
@@ -64,6 +64,9 @@ MORE = [
     ("learn", "input output", [*_SEARCH, ("kernels", str, None), ("binary", str, "renyi"), ("weighted", bool, None)]),
     ("learn-neural", "input output", [("candidates", int, 60), ("kernels", str, None), ("min-count", int, 1), ("alpha", float, 2.0), ("rounds", int, 5), ("rate", float, 5e-3), ("batch", int, 64), ("embed", int, 32), ("hidden", int, 48), ("weighted", bool, None)]),
     ("gold-kernels", "input output", []),
+    ("exact-kernels", "input output", [("clusters", str, ...), ("n-clusters", int, 10), ("number", int, None)]),
+    ("compare-methods", "input output", [("methods", str, None), ("sentences", int, 2000), ("seed", int, 1), ("n-clusters", int, 10), ("min-count", int, 20), ("number", int, None), ("max-length", int, 20)]),
+    ("lexicon-growth", "input output", [("sizes", str, "[100, 200, 400, 800]"), ("n", int, 10000), ("seed", int, 1), ("candidates", int, 300), ("alpha", float, 2.0)]),
     ("evaluate-kernels", "input", [("kernels", str, ...)]),
     ("inspect", "input word", []),
     ("terminals", "input output", []),
@@ -114,6 +117,14 @@ def _more(spark: SparkSession, a: argparse.Namespace) -> None:
         print(json.dumps({"anchors": out.ordered.anchors, "threshold": out.ordered.threshold, "log": [vars(x) for x in out.ordered.log], "losses": out.losses}))
     elif a.command == "gold-kernels":
         sinks.write_anchors(spark, evaluation.gold_kernels(text.read_grammar(spark, a.input)), a.output, as_json=True)
+    elif a.command == "exact-kernels":
+        found = targets.anchors(text.read_grammar(spark, a.input), text.read_clusters(spark, a.clusters), a.n_clusters, a.number)
+        sinks.write_anchors(spark, [w for w, _ in found], a.output, as_json=True)
+    elif a.command == "compare-methods":
+        s = experiments.Settings(sentences=a.sentences, corpus_seed=a.seed, n_clusters=a.n_clusters, min_count=a.min_count, number=a.number, max_length=a.max_length)
+        experiments.compared(text.read_grammar(spark, a.input), s, tuple(json.loads(a.methods)) if a.methods else experiments.METHODS).write.json(a.output)
+    elif a.command == "lexicon-growth":
+        diagnosis.lexicon_growth(text.read_grammar(spark, a.input), json.loads(a.sizes), a.n, a.seed, a.candidates, a.alpha).write.json(a.output)
     elif a.command == "evaluate-kernels":
         print(json.dumps(evaluation.kernel_scores(text.read_grammar(spark, a.input), json.loads(a.kernels))))
     elif a.command == "inspect":

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwright.operators import clustering, evaluation, induction, sampling, training
+from spanwright.operators import clustering, evaluation, induction, sampling, targets, training, trees
 from spanwright.operators import grammar as G
 from spanwright.operators import tokens as T
 from spanwright.operators.lineage import cut
@@ -129,6 +129,45 @@ def gold(rules: DataFrame, s: Settings) -> tuple[induction.Learned, dict[str, fl
     return learn_from(rules, s, evaluation.gold_kernels(rules))
 
 
+METHODS = ("found", "gold", "exact", "labelled", "supervised", "target")
+
+
+def method(rules: DataFrame, s: Settings, name: str) -> dict[str, Any]:
+    """One row: a grammar learned from anchors (found in the corpus, the grammar's own best, those of its exact contexts, those of
+    labelled trees), counted from labelled trees, or the target itself, and how far it is from the target."""
+    out: dict[str, Any] = {"method": name, "error": None}
+    read = trees.read_trees(sampling.sample_trees(rules, s.sentences, s.corpus_seed).where("tree is not null"), "tree").where("nodes is not null")
+    try:
+        if name in ("target", "supervised"):
+            own = rules if name == "target" else cut(targets.supervised(read, s.max_length))
+            out["kl"] = targets.smoothed_kl(rules, own) if name == "supervised" else 0.0
+            out["length"] = G.length_kl(rules, own, 10)
+        else:
+            kernels = None
+            if name == "gold":
+                kernels = evaluation.gold_kernels(rules)
+            elif name == "labelled":
+                kernels = targets.labelled_kernels(targets.labelled_posteriors(trees.productions(read)), s.min_count)
+            elif name == "exact":
+                words = G.lexical(rules).select(F.col("r1").alias("word")).distinct().withColumn("n", F.lit(1))
+                kernels = [w for w, _ in targets.anchors(rules, T.hashed_clusters(words, s.n_clusters, 1), s.n_clusters, s.number)]
+            learned, far = learn_from(rules, s, kernels)
+            own = cut(learned.pcfg())
+            out |= {"anchors": len(learned.kernels.words), "accuracy": evaluation.kernel_scores(rules, learned.kernels.words)["accuracy"], "kl": far.get("string"), "length": far["length"]}
+        out |= {"terminals": G.lexical(own).select("r1").distinct().count(), "expected_length": G.terminal_expectations(own, G.expectation_frame(own)).agg(F.sum("e")).first()[0]}
+    except (ValueError, KeyError, G.Divergent) as e:
+        out["error"] = repr(e)
+    return out
+
+
+def compared(rules: DataFrame, s: Settings, names: tuple[str, ...] = METHODS) -> DataFrame:
+    """(method, anchors, accuracy, kl, length, terminals, expected_length, error): a row for each method; ``kl`` is that of strings,
+    of trees for the counted grammar, whose nonterminals are the target's."""
+    rows = [method(rules, s, m) for m in names]
+    columns = "method string, anchors int, accuracy double, kl double, length double, terminals long, expected_length double, error string"
+    return rules.sparkSession.createDataFrame([tuple(r.get(c.split()[0]) for c in columns.split(", ")) for r in rows], columns)
+
+
 def sweep(rules: DataFrame, sents: DataFrame, steps: list[float], batches: list[int], max_length: int = 15) -> DataFrame:
     """(step, batches, log_probability, parsed): stochastic EM of every step and number of batches, scored on all sentences."""
     rows = []

@@ -261,6 +261,13 @@ _PAIRS = f""", kr AS (SELECT word FROM cnt ORDER BY n DESC, word LIMIT {KERNELS}
 qc AS (SELECT q[2] AS b, q[3] AS c, q[1] AS l, q[4] AS r, count(*) AS n FROM qd WHERE q[2] IN (SELECT word FROM kr) AND q[3] IN (SELECT word FROM kr) GROUP BY ALL),
 pf AS MATERIALIZED (SELECT b, c, feature, sum(n)::BIGINT AS value FROM (SELECT b, c, coalesce(cid, 0) AS feature, n FROM qc LEFT JOIN cl ON cl.word = l UNION ALL SELECT b, c, coalesce(cid, 0) + {W.N_CLUSTERS + 1}, n FROM qc LEFT JOIN cl ON cl.word = r) GROUP BY ALL)"""
 _ST = W.N_CLUSTERS + 1
+# (nt, a, e): expected uses of a below nt
+UZ = (
+    ", kid AS MATERIALIZED (SELECT lhs AS a, c, sum(p) AS m FROM (SELECT lhs, r1 AS c, p FROM g WHERE r2 IS NOT NULL UNION ALL SELECT lhs, r2, p FROM g WHERE r2 IS NOT NULL) GROUP BY ALL), tm AS MATERIALIZED (SELECT "
+    + ", ".join(f"coalesce((SELECT m FROM kid WHERE a = '{a}' AND c = '{c}'), 0) AS m{a}{c}" for a in "SXY" for c in "XY")
+    + "), iv AS (SELECT *, (1 - mXX) * (1 - mYY) - mXY * mYX AS det FROM tm), uz AS (SELECT 'X' AS nt, 'X' AS a, (1 - mYY) / det AS e FROM iv UNION ALL SELECT 'X', 'Y', mXY / det FROM iv UNION ALL SELECT 'Y', 'X', mYX / det FROM iv UNION ALL SELECT 'Y', 'Y', (1 - mXX) / det FROM iv "
+    "UNION ALL SELECT 'S', 'X', (mSX * (1 - mYY) + mSY * mYX) / det FROM iv UNION ALL SELECT 'S', 'Y', (mSX * mXY + mSY * (1 - mXX)) / det FROM iv)"
+)
 ORACLES = {
     # the treebank's grammar under the same statements
     "expected_rule_counts": _kept("SELECT lhs, r1, r2, round(n, 6) AS n FROM uses UNION ALL SELECT NULL, 'sentences', NULL, count(*) FROM z UNION ALL SELECT NULL, 'log_probability', NULL, round(sum(ln(z)), 6) FROM z", _IO),
@@ -283,10 +290,7 @@ ORACLES = {
     "ambiguous_lengths": _q(_LENGTHS, _LEN),
     "expected_words": _q(
         "SELECT nt, r1 AS word, round(sum(e * p), 6) AS e FROM uz JOIN g ON g.lhs = a AND r2 IS NULL WHERE e > 0 GROUP BY ALL",
-        ", kid AS MATERIALIZED (SELECT lhs AS a, c, sum(p) AS m FROM (SELECT lhs, r1 AS c, p FROM g WHERE r2 IS NOT NULL UNION ALL SELECT lhs, r2, p FROM g WHERE r2 IS NOT NULL) GROUP BY ALL), tm AS MATERIALIZED (SELECT "
-        + ", ".join(f"coalesce((SELECT m FROM kid WHERE a = '{a}' AND c = '{c}'), 0) AS m{a}{c}" for a in "SXY" for c in "XY")
-        + "), iv AS (SELECT *, (1 - mXX) * (1 - mYY) - mXY * mYX AS det FROM tm), uz AS (SELECT 'X' AS nt, 'X' AS a, (1 - mYY) / det AS e FROM iv UNION ALL SELECT 'X', 'Y', mXY / det FROM iv UNION ALL SELECT 'Y', 'X', mYX / det FROM iv UNION ALL SELECT 'Y', 'Y', (1 - mXX) / det FROM iv "
-        "UNION ALL SELECT 'S', 'X', (mSX * (1 - mYY) + mSY * mYX) / det FROM iv UNION ALL SELECT 'S', 'Y', (mSX * mXY + mSY * (1 - mXX)) / det FROM iv)"),
+        UZ),
     "lexically_scaled": _q("SELECT lhs, r1, r2, round(CASE WHEN r2 IS NULL THEN p / (8 * w * b * l) ELSE p END, 9) AS p FROM g, (SELECT count(DISTINCT r1) FILTER (r2 IS NULL) AS w, max(p) FILTER (r2 IS NOT NULL) AS b, max(p) FILTER (r2 IS NULL) AS l FROM g)"),
     "pair_features": f"WITH {W.SENT}{W.CL}{_PAIRS} SELECT * FROM pf",
     "binary_xi_renyi": f"""WITH {W.SENT}{W.BI}{W.CL}{W.MARG}{_PAIRS}, ow AS (SELECT word AS a, feature, value::DOUBLE AS value FROM marg WHERE word IN (SELECT word FROM kr) UNION ALL SELECT 'S', f, 1 FROM (VALUES (0), ({_ST})) t(f)),
