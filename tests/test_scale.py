@@ -51,3 +51,21 @@ def test_divergences_of_contexts_that_many_words_hold(spark, alpha):
     assert max(len({a for a in c if k in c[a]}) for k in {k for x in c.values() for k in x}) > contextmodels.FEW_HOLDERS
     got = {(r["a"], r["b"]): r["d"] for r in contextmodels.pair_divergences(df, words, alpha).collect()}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_rows_of_the_anchor_search_read_no_text(spark):
+    from spanwright.plans import model_queries as M
+
+    assert "Scan parquet" not in plan_of(M._rows(spark, "/root/testdata/sf0.001"))
+
+
+def test_candidates_are_tested_on_a_checkpoint(spark, monkeypatch):
+    from spanwright.operators import induction as I
+
+    rows = [(w, "left", c, n) for w, c, n in [("a", "x", 40), ("a", "y", 2), ("b", "x", 3), ("b", "y", 50), ("c", "x", 9)]]
+    seen = []
+    real = I.stats.chi2_pairs
+    monkeypatch.setattr(I.stats, "chi2_pairs", lambda c, **k: seen.append(c) or real(c, **k))
+    contexts = spark.createDataFrame(rows, "word string, side string, ctx string, n long").groupBy("word", "side", "ctx").agg(F.sum("n").alias("n"))
+    assert I.distinct_from(contexts, "a", ["b"]).distinct
+    assert "HashAggregate" not in plan_of(seen[0])
