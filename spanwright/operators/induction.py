@@ -89,7 +89,7 @@ class Distinctness:
 
 def distinct_from(contexts: DataFrame, candidate: str, anchors: list[str], p: float = 0.001, v: float = 0.05) -> Distinctness:
     """Whether a word's neighbours (word, side, ctx, n) differ from every anchor's, by test and by effect size."""
-    own = contexts.where(F.col("word").isin([candidate, *anchors]))
+    own = cut(contexts.where(F.col("word").isin([candidate, *anchors])))  # read for each of the test's tables
     mine, others = own.where(F.col("word") == candidate), own.where(F.col("word") != candidate)
     rows = stats.chi2_pairs(mine.unionByName(others), focus=candidate).collect()  # a row for each anchor
     out = Distinctness()

@@ -147,9 +147,11 @@ def binary_xi(spark, sf):
 
 
 def find_kernels(spark, sf):
-    _, counts, _, features, b = _corpus(spark, sf)
+    b = cut(T.bigram_counts(W._sents(spark, sf)))  # every candidate's test reads the anchors' neighbours
+    counts = T.counts_of(b)
+    features = T.marginal_features(b, W._clusters(counts), W.N_CLUSTERS)
     often = counts.where(F.col("n") >= M.MIN_ROWS).select("word")
-    found = I.find_kernels(features.join(often, "word", "left_semi"), T.word_contexts(b, often), 2 * (W.N_CLUSTERS + 1), I.start_vector(W.N_CLUSTERS + 1), replicates=200)
+    found = I.find_kernels(cut(features.join(often, "word", "left_semi")), T.word_contexts(b, often), 2 * (W.N_CLUSTERS + 1), I.start_vector(W.N_CLUSTERS + 1), replicates=200)
     return spark.createDataFrame([(k, w, None if d == float("inf") else round(d, 6), found.reason) for k, (w, d) in enumerate(zip(found.words, found.distances, strict=True))], "rank int, word string, distance double, reason string")
 
 
