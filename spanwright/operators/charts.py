@@ -265,19 +265,20 @@ COUNTS = "lhs string, r1 string, r2 string, n double"
 
 def expected_counts(sents: DataFrame, chart: Chart) -> DataFrame:
     """(lhs, r1, r2, n): expected rule counts over all sentences that parse; the rule (null, 'sentences', null) counts those, and
-    (null, 'log_probability', null) sums their log probabilities. Counts are added up in each task before the shuffle."""
+    (null, 'log_probability', null) sums their log probabilities. Equal sentences are parsed once; counts are added up in each task
+    before the shuffle."""
     shared = sents.sparkSession.sparkContext.broadcast(chart)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, float] = {}
         for batch in batches:
-            for w in batch.column("w").to_pylist():
-                got = shared.value.counts(w or [])
+            for w, times in zip(batch.column("w").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                got = shared.value.counts(w or [], float(times))
                 if got:
                     lp, found = got
-                    for k, v in [*found.items(), ((None, "sentences", None), 1.0), ((None, "log_probability", None), lp)]:
+                    for k, v in [*found.items(), ((None, "sentences", None), float(times)), ((None, "log_probability", None), lp * times)]:
                         total[k] = total.get(k, 0.0) + v
         if total:
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in total], pa.string()) for i in range(3)), pa.array(list(total.values()))], names=["lhs", "r1", "r2", "n"])
 
-    return sents.select("w").mapInArrow(run, COUNTS).groupBy("lhs", "r1", "r2").agg(F.sum("n").alias("n"))
+    return sents.groupBy("w").agg(F.count(F.lit(1)).alias("times")).mapInArrow(run, COUNTS).groupBy("lhs", "r1", "r2").agg(F.sum("n").alias("n"))

@@ -204,6 +204,15 @@ def inside_log_probability(rules: DataFrame, sents: DataFrame, start: str = "S",
     return _with_leaves(sents, lexical, chart.symbols).mapInArrow(run, schema)
 
 
+def distinct_sentences(sents: DataFrame) -> DataFrame:
+    """(id, w, weight): each different sentence once, with the weights of all its copies; the id is the sentence itself as text.
+
+    What sums over sentences needs no more: over a small lexicon and a bounded length the number of sentences no longer grows.
+    """
+    weight = F.col("weight").cast("double") if "weight" in sents.columns else F.lit(1.0)
+    return sents.select("w", weight.alias("weight")).groupBy("w").agg(F.sum("weight").alias("weight")).select(F.to_json(F.struct("w")).alias("id"), "w", "weight")
+
+
 def expected_counts(rules: DataFrame, sents: DataFrame, start: str = "S", least: float = 0.0) -> DataFrame:
     """(lhs, rhs, n): expected uses of the rules over all sentences that parse, each by its weight. Rows with a null lhs hold what
     the sentences add up to: their number ('sentences'), log probability ('log_probability') and words ('tokens')."""
@@ -231,7 +240,7 @@ def expected_counts(rules: DataFrame, sents: DataFrame, start: str = "S", least:
         rows = [r for r in rows if r[2]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.float64())], names=["lhs", "rhs", "n"])
 
-    counts = _with_leaves(sents, lexical, chart.symbols).mapInArrow(run, "lhs string, rhs array<string>, n double").groupBy(*RULE).agg(F.sum("n").alias("n"))
+    counts = _with_leaves(distinct_sentences(sents), lexical, chart.symbols).mapInArrow(run, "lhs string, rhs array<string>, n double").groupBy(*RULE).agg(F.sum("n").alias("n"))
     return unbinarised(counts.where("lhs IS NOT NULL")).unionByName(counts.where("lhs IS NULL"))
 
 
@@ -279,7 +288,7 @@ def em(rules: DataFrame, sents: DataFrame, rounds: int = 5, start: str = "S", le
     weights of the first rounds to one over a temperature that falls from one to the other.
     """
     sents = sents if max_length is None else sents.where(F.size("w") <= max_length)
-    sents = cut(sents)
+    sents = cut(distinct_sentences(sents))
     fit = Fit(rules.select(*RULE, "p"))
     counts, last, tokens = _expectations(fit, sents, start)
     n_rules = fit.rules.count()
@@ -328,7 +337,7 @@ def entropic(rules: DataFrame, sents: DataFrame, factor: float, rounds: int = 5,
     never does; expectations come from a Spark job for each try. ``prune`` drops lighter rules before the ascent begins to measure a round.
     """
     sents = sents if max_length is None else sents.where(F.size("w") <= max_length)
-    sents = cut(sents)
+    sents = cut(distinct_sentences(sents))
     fit = Fit(cut(normalised(rules.select(*RULE, "p").where("p > 0"))))
     counts, lp, tokens = _expectations(fit, sents, start)
     fit.objective.append(lp - factor * entropies(fit.rules))

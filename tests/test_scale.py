@@ -69,3 +69,17 @@ def test_candidates_are_tested_on_a_checkpoint(spark, monkeypatch):
     contexts = spark.createDataFrame(rows, "word string, side string, ctx string, n long").groupBy("word", "side", "ctx").agg(F.sum("n").alias("n"))
     assert I.distinct_from(contexts, "a", ["b"]).distinct
     assert "HashAggregate" not in plan_of(seen[0])
+
+
+def test_equal_sentences_are_parsed_once(spark, tmp_path):
+    """Counts of a corpus many times over are so many times the counts, from as many charts."""
+    from spanwright.operators import charts, general
+
+    rules = spark.createDataFrame([("S", "A", "A", 1.0), ("A", "A", "A", 0.3), ("A", "x", None, 0.4), ("A", "y", None, 0.3)], "lhs string, r1 string, r2 string, p double")
+    one = [["x", "y", "x"], ["y", "y"], ["x"], [], None, ["x", None]]
+    frame = lambda times: spark.createDataFrame([(k, w) for k, w in enumerate(one * times)], "id int, w array<string>")
+    assert general.distinct_sentences(frame(50)).count() == len(one)
+    for count in (lambda s: general.expected_counts(general.from_binary(rules), s), lambda s: charts.expected_counts(s, charts.chart_of(rules))):
+        a, b = ({tuple(map(str, r[:-1])): r[-1] for r in count(frame(t)).collect()} for t in (1, 50))
+        assert {k: v * 50 for k, v in a.items()} == pytest.approx(b)
+        assert a
