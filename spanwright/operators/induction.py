@@ -263,7 +263,7 @@ def kernel_map(spark, kernels: list[str], unary: DataFrame | None = None, thresh
     """(word, kernel): the anchors themselves, and with ``unary`` every word that stands for one by more than ``threshold``."""
     own = spark.createDataFrame([(w, w) for w in kernels[1:]] or [("", "")], "word string, kernel string").where("word <> ''")
     if unary is None:
-        return own
+        return F.broadcast(own)  # a row for each anchor: the corpus is not shuffled to meet them
     taken = unary.where((F.col("weight") > threshold) & (F.col("kernel") != kernels[0])).groupBy("word").agg(F.max_by("kernel", F.struct("weight", "kernel")).alias("kernel"))
     return taken.join(own.select("word"), "word", "left_anti").unionByName(own)
 

@@ -83,3 +83,14 @@ def test_equal_sentences_are_parsed_once(spark, tmp_path):
         a, b = ({tuple(map(str, r[:-1])): r[-1] for r in count(frame(t)).collect()} for t in (1, 50))
         assert {k: v * 50 for k, v in a.items()} == pytest.approx(b)
         assert a
+
+
+def test_lists_of_words_shuffle_no_corpus(spark):
+    from spanwright.operators import induction as I
+
+    _, df = corpus(spark)
+    b = T.bigram_counts(df)
+    wanted = spark.createDataFrame([("w1", 3), ("w2", 2)], "word string, n long")
+    assert "SortMergeJoin" not in plan_of(T.word_contexts(b, F.broadcast(wanted)))
+    clusters = F.broadcast(spark.createDataFrame([("w1", 1), ("w2", 2)], "word string, cid int"))
+    assert "SortMergeJoin" not in plan_of(I.pair_features(df, I.kernel_map(spark, [I.START, "w1", "w2"]), clusters, 3))
