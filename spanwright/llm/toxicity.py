@@ -14,6 +14,7 @@ result, and without labelled rows every score is the prior 0.05; further columns
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -301,7 +302,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Train on a bounded sample: the MAX_TRAIN labelled, not held-out documents of the smallest hashes."""
+    """Train, in one task, on a bounded sample: the MAX_TRAIN labelled, not held-out documents of the smallest hashes."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(MAX_TRAIN).collect()
@@ -311,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small_batches(spark)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # of a text, MAX_WINDOWS windows dealt at random are enough to learn from: only they reach the driver
+        # of a text, MAX_WINDOWS windows dealt at random are enough to learn from: only they reach the training
         for pdf in batches:
             out = []
             for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -322,11 +323,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 out.append(" ".join(ws))
             yield pdf.assign(text=out)
 
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").mapInPandas(cut, "doc_id long, text string, toxic int").collect()
-    seen: dict[int, tuple[str, int]] = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
-        seen.setdefault(r["doc_id"], (r["text"], r["toxic"]))
-    return train(list(seen.values())) if seen else None
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sorted((d, x, t) for pdf in batches for d, x, t in zip(pdf["doc_id"], pdf["text"], pdf["toxic"], strict=True))
+        if own:
+            yield pd.DataFrame({"model": [pickle.dumps(train([(x, int(t)) for _, x, t in own]))]})
+
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").mapInPandas(cut, "doc_id long, text string, toxic int")
+    sample = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of repeated rows one; MAX_TRAIN rows at most
+    # a task of its own trains: its arrays are many times the model, and what Python once took stays with the driver to the end
+    got = sample.repartition(1).mapInPandas(learn, "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else None
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -435,6 +436,22 @@ def test_prose_after_credential_words_is_left_alone(spark):
 # 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    """The training's arrays don't stay with the driver; of repeated rows the smallest text is learned from."""
+    def fake(rows):
+        m = toxicity.Model()
+        m.shift, m.scale = float(os.getpid()), rows
+        return m
+
+    monkeypatch.setattr(toxicity, "train", fake)
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = frame(spark, [(k, f"text {k}") for k in range(40)] + [(ids[0], "a text"), (ids[1], None)])
+    model = toxicity.fit(docs, frame(spark, [(k, k % 2) for k in range(40)], "doc_id long, toxic int"))
+    assert model.shift != os.getpid()
+    want = {k: f"text {k}" for k in ids} | {ids[0]: "a text", ids[1]: ""}
+    assert model.scale == [(want[k], k % 2) for k in ids]
+
+
 def test_toxicity_learns_and_covers_windows(spark):
     r = random.Random(2)
     vocab = ["w%d" % k for k in range(300)]
