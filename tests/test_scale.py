@@ -94,3 +94,22 @@ def test_lists_of_words_shuffle_no_corpus(spark):
     assert "SortMergeJoin" not in plan_of(T.word_contexts(b, F.broadcast(wanted)))
     clusters = F.broadcast(spark.createDataFrame([("w1", 1), ("w2", 2)], "word string, cid int"))
     assert "SortMergeJoin" not in plan_of(I.pair_features(df, I.kernel_map(spark, [I.START, "w1", "w2"]), clusters, 3))
+
+
+@pytest.mark.parametrize("head", [0, 2, 50])
+def test_features_are_counted_by_cluster(spark, head):
+    """Words are clusters before they are counted: rows as those of the n-gram tables, whether a word is looked up or met by a shuffle."""
+    _, df = corpus(spark)
+    counts = T.word_counts(df)
+    clusters = T.hashed_clusters(counts, 4, 3)
+    assert clusters.count() > 2
+    rows = lambda x: sorted(map(tuple, x.select("word", "feature", "value").collect()))
+    assert rows(T.marginal_features_of(df, clusters, counts, 4, head=head)) == rows(T.marginal_features(T.bigram_counts(df), clusters, 4))
+    assert rows(T.joint_features_of(df, clusters, counts, 4, head=head)) == rows(T.joint_features(T.trigram_counts(df), clusters, 4))
+
+
+def test_features_shuffle_no_ngrams(spark):
+    from spanwright.plans import corpus_queries as W
+
+    for query in (W.joint, W.marginal):
+        assert "SortMergeJoin" not in plan_of(query(spark, "/root/testdata/sf0.001"))
