@@ -113,3 +113,14 @@ def test_features_shuffle_no_ngrams(spark):
 
     for query in (W.joint, W.marginal):
         assert "SortMergeJoin" not in plan_of(query(spark, "/root/testdata/sf0.001"))
+
+
+def test_pair_tables_count_wanted_words_alone(spark):
+    from spanwright.plans import corpus_queries as W
+
+    _, df = corpus(spark)
+    counts = T.word_counts(df)
+    clusters, wanted = T.hashed_clusters(counts, 4, 3), counts.where("word in ('w1', 'w3')")
+    rows = lambda x: sorted(map(tuple, x.select("word", "feature", "value").collect()))
+    assert rows(T.marginal_features_of(df, clusters, counts, 4, wanted)) == [r for r in rows(T.marginal_features(T.bigram_counts(df), clusters, 4)) if r[0] in ("w1", "w3")]
+    assert "SortMergeJoin" not in plan_of(W._top_pairs(spark, "/root/testdata/sf0.001"))
