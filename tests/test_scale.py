@@ -124,3 +124,16 @@ def test_pair_tables_count_wanted_words_alone(spark):
     rows = lambda x: sorted(map(tuple, x.select("word", "feature", "value").collect()))
     assert rows(T.marginal_features_of(df, clusters, counts, 4, wanted)) == [r for r in rows(T.marginal_features(T.bigram_counts(df), clusters, 4)) if r[0] in ("w1", "w3")]
     assert "SortMergeJoin" not in plan_of(W._top_pairs(spark, "/root/testdata/sf0.001"))
+
+
+def test_shrunk_rows_join_no_grid(spark):
+    from spanwright.operators import stats as S
+
+    rows = [("a", 0, 3), ("a", 2, 1), ("b", 1, 5), ("c", 2, 2)]
+    x = S.shrunk(spark.createDataFrame(rows, "word string, feature int, value long"))
+    plan = plan_of(x)
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+    n, g = {"a": 4, "b": 5, "c": 2}, {0: 3, 1: 5, 2: 3}
+    value = {r[:2]: r[2] for r in rows}
+    want = {(w, f): (1 - 3 / (3 + n[w])) * value.get((w, f), 0) / n[w] + 3 / (3 + n[w]) * g[f] / 11 for w in n for f in g}
+    assert {(r["word"], r["feature"]): r["p"] for r in x.collect()} == pytest.approx(want, abs=1e-11)
