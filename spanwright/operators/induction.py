@@ -343,14 +343,14 @@ class Learned:
 def learn(sents: DataFrame, clusters: DataFrame, n_clusters: int, kernels: list[str] | None = None, number: int | None = None, min_count: int = 100, binary: str = "renyi", alpha: float = 5.0, threshold: float = 0.9, seed: int = 1) -> Learned:
     """From sentences and word clusters to a grammar: anchors (unless given), rule weights, and the weighted grammar that these make."""
     stride = n_clusters + 1
-    sents = cut(sents)
-    bigrams = cut(T.bigram_counts(sents))
-    counts = cut(T.counts_of(bigrams))
-    features = cut(T.marginal_features(bigrams, clusters, n_clusters))
+    sents, clusters = cut(sents), cut(clusters)
+    counts = cut(T.word_counts(sents))
+    features = cut(T.marginal_features_of(sents, clusters, counts, n_clusters))
     n, tokens, types = sents.count(), *counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     start = start_vector(stride)
     if kernels is None:
         often = counts.where(F.col("n") >= min_count).select("word")
+        bigrams = cut(T.bigram_counts(sents))  # every candidate's test reads the anchors' neighbours
         found = find_kernels(features.join(often, "word", "left_semi"), T.word_contexts(bigrams, often), 2 * stride, start, number, seed=seed)
     else:
         found = given_kernels(features, kernels, 2 * stride, start)

@@ -137,3 +137,14 @@ def test_shrunk_rows_join_no_grid(spark):
     value = {r[:2]: r[2] for r in rows}
     want = {(w, f): (1 - 3 / (3 + n[w])) * value.get((w, f), 0) / n[w] + 3 / (3 + n[w]) * g[f] / 11 for w in n for f in g}
     assert {(r["word"], r["feature"]): r["p"] for r in x.collect()} == pytest.approx(want, abs=1e-11)
+
+
+def test_given_anchors_need_no_bigrams(spark, monkeypatch):
+    """A grammar of given anchors counts clusters beside words, and no bigram table is made."""
+    from spanwright.operators import induction as I
+
+    _, df = corpus(spark)
+    clusters = T.hashed_clusters(T.word_counts(df), 4, 3)
+    monkeypatch.setattr(T, "bigram_counts", None)
+    learned = I.learn(df, clusters, 4, kernels=[I.START, "w1", "w2"])
+    assert {"S", "NT_w1", "NT_w2"} == {r["lhs"] for r in learned.wcfg.select("lhs").distinct().collect()}
