@@ -154,9 +154,9 @@ def productions(trees: DataFrame, text_col: str = "value") -> DataFrame:
     return trees.mapInArrow(run, schema)
 
 
-def rules_of(prods: DataFrame) -> DataFrame:
-    """(lhs, rhs, n, p): relative frequencies of productions."""
-    c = prods.groupBy("lhs", "rhs").agg(F.count(F.lit(1)).alias("n"))
+def rules_of(prods: DataFrame, times: str | None = None) -> DataFrame:
+    """(lhs, rhs, n, p): relative frequencies of productions, each as often as the column ``times`` has it."""
+    c = prods.groupBy("lhs", "rhs").agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("n"))
     total = c.groupBy("lhs").agg(F.sum("n").alias("t"))
     return c.join(total, "lhs").select("lhs", "rhs", "n", (F.col("n") / F.col("t")).alias("p"))
 

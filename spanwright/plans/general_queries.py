@@ -89,14 +89,16 @@ def binarised_rules(spark, sf):
 
 
 def binarised_round_trip(spark, sf):
-    """Each order's binary tree under the binary grammar, whether undoing it gives the tree back, and its number of inner nodes."""
+    """Each order's binary tree under the binary grammar, whether undoing it gives the tree back, and its number of inner nodes. Equal trees are read once."""
     t = cut(order_trees(spark, sf))
-    rules = GG.binarised(nary.rules_of(nary.productions(t)), "right")
-    two = cut(nary.mapped(t, nary.binarised, "value", "two"))
-    back = nary.mapped(two, nary.unbinarised, "two", "back").select("o_orderkey", (F.col("back") == F.col("value")).alias("same"))
-    prods = nary.productions(two.select("o_orderkey", F.col("two").alias("value")))
-    n = prods.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return nary.log_weights(prods, rules, ["o_orderkey"]).join(back, "o_orderkey").join(n, "o_orderkey").select("o_orderkey", F.round("lp", 9).alias("lp"), "same", "n_nodes")
+    forms = cut(t.groupBy("value").agg(F.count(F.lit(1)).alias("times")))
+    rules = GG.binarised(nary.rules_of(nary.productions(forms.select("times", "value")), "times"), "right")
+    two = cut(nary.mapped(forms.select("value"), nary.binarised, "value", "two"))
+    back = nary.mapped(two, nary.unbinarised, "two", "back").select("value", (F.col("back") == F.col("value")).alias("same"))
+    prods = cut(nary.productions(two, "two"))
+    n = prods.groupBy("value").agg(F.count(F.lit(1)).alias("n_nodes"))
+    scored = nary.log_weights(prods, rules, ["value"]).join(back, "value").join(n, "value")
+    return t.join(scored, "value").select("o_orderkey", F.round("lp", 9).alias("lp"), "same", "n_nodes")
 
 
 QUERIES = {

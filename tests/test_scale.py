@@ -148,3 +148,19 @@ def test_given_anchors_need_no_bigrams(spark, monkeypatch):
     monkeypatch.setattr(T, "bigram_counts", None)
     learned = I.learn(df, clusters, 4, kernels=[I.START, "w1", "w2"])
     assert {"S", "NT_w1", "NT_w2"} == {r["lhs"] for r in learned.wcfg.select("lhs").distinct().collect()}
+
+
+def test_equal_order_trees_are_read_once(spark, monkeypatch):
+    from spanwright.operators import nary
+    from spanwright.plans import general_queries as Q
+
+    seen = []
+    real = nary.mapped
+    monkeypatch.setattr(nary, "mapped", lambda t, *a: seen.append(t) or real(t, *a))
+    rows = Q.binarised_round_trip(spark, "/root/testdata/sf0.001").count()
+    assert rows == Q.order_trees(spark, "/root/testdata/sf0.001").count()
+    assert all(x.count() == x.select("value" if "value" in x.columns else "two").distinct().count() < rows for x in seen)
+    once = spark.createDataFrame([("(S (A a) (A b))", 3), ("(S (A a))", 1)], "value string, times long")
+    many = spark.createDataFrame([("(S (A a) (A b))",)] * 3 + [("(S (A a))",)], "value string")
+    table = lambda x: {(r["lhs"], tuple(r["rhs"])): (r["n"], r["p"]) for r in x.collect()}
+    assert table(nary.rules_of(nary.productions(once), "times")) == table(nary.rules_of(nary.productions(many)))
