@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Numbers that the charts of sentences of one length hold at once.
+MAX_CELLS = 1 << 22
+
+
 class Chart:
     """A grammar's rules as arrays."""
 
@@ -70,6 +74,31 @@ class Chart:
         top = t[0, len(w), self.start]
         return math.log(top) + float(scale.sum()) if top > 0 else None
 
+    def log_probabilities(self, sents: list[list[str]]) -> list[float | None]:
+        """``log_probability`` of many sentences: those of a length share each step of the chart, some MAX_CELLS entries at once."""
+        out: list[float | None] = [None] * len(sents)
+        of: dict[int, list[int]] = {}
+        for k, w in enumerate(sents):
+            if w and self.start >= 0:
+                of.setdefault(len(w), []).append(k)
+        upper = np.zeros((len(self.a), len(self.nts)))
+        upper[np.arange(len(self.a)), self.a] = self.p
+        for n, own in of.items():
+            size = max(1, MAX_CELLS // (n * (n + 1) * max(len(self.nts), len(self.a), 1)))
+            for part in (own[x : x + size] for x in range(0, len(own), size)):
+                leaves = np.stack([self.leaves(sents[k]) for k in part])
+                scale = leaves.max(2)
+                scale[scale <= 0] = 1.0
+                t = np.zeros((len(part), n, n + 1, len(self.nts)))
+                t[:, np.arange(n), np.arange(1, n + 1)] = leaves / scale[:, :, None]
+                for width in range(2, n + 1):
+                    for i in range(n - width + 1):
+                        j = i + width
+                        t[:, i, j] = (t[:, i, i + 1 : j][..., self.b] * t[:, i + 1 : j, j][..., self.c]).sum(1) @ upper
+                for k, top, logs in zip(part, t[:, 0, n, self.start].tolist(), np.log(scale).sum(1).tolist(), strict=True):
+                    out[k] = math.log(top) + logs if top > 0 else None
+        return out
+
     def best(self, w: list[str]) -> tuple[float, str] | None:
         """Log weight and bracketing of the heaviest tree; on ties the first split, then the first rule by name."""
         n = len(w)

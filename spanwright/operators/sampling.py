@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,23 +99,53 @@ def with_terminals(rules: DataFrame, terminals: int, seed: int, zipf: float = 1.
     return rules.sparkSession.createDataFrame(rows, "lhs string, r1 string, r2 string, p double").unionByName(G.binary(rules).select("lhs", "r1", "r2", "p"))
 
 
+#: Different trees whose scores a task keeps at once.
+KNOWN = 100_000
+
+
+def _derivation(nodes: list[dict], logs: dict[tuple, float]) -> float | None:
+    """Log weight of a tree; null where the grammar lacks a rule of it."""
+    uses = Counter((x["label"], x["word"], None) if x["word"] is not None else (x["label"], nodes[x["left"]]["label"], nodes[x["right"]]["label"]) for x in nodes)
+    return sum(n * logs[r] for r, n in uses.items()) if all(r in logs for r in uses) else None
+
+
 def scored_samples(rules: DataFrame, n: int, seed: int, max_length: int = 50, start: str = "S", models: dict[str, DataFrame] | None = None) -> DataFrame:
     """(sample, tree, len, and for the grammar itself and each further one: lp_tree, lp_bracket, lp_string): log weights of sampled
-    trees, of all labellings of their shapes, and of their strings; null where a grammar has none. Trees over ``max_length`` words go."""
-    read = trees.read_trees(sample_trees(rules, n, seed, start).where("tree is not null"), "tree").where("nodes is not null")
-    read = read.withColumn("w", trees.leaf_words(F.col("nodes"))).where(F.size("w") <= max_length)
-    out = read.select("sample", "tree", F.size("w").alias("len"))
+    trees, of all labellings of their shapes, and of their strings; null where a grammar has none. Trees over ``max_length`` words go.
+
+    One pass over the samples: a tree that a task has met before keeps its scores, the strings of the others are scored together."""
+    grammars = {}
     for name, g in ({"target": rules} | (models or {})).items():
-        chart = charts.chart_of(g, start)
-        string = charts.inside_log_probability(read.select("sample", "w"), chart).withColumnRenamed("lp", f"{name}_string")
-        bracket = charts.bracketed_scores(read.select("sample", "nodes"), chart).select("sample", F.col("lp").alias(f"{name}_bracket"))
-        prods = read.select("sample", F.explode("nodes").alias("x"), "nodes")
-        child = lambda c: F.get("nodes", F.col(f"x.{c}"))["label"]
-        lex = F.col("x.word").isNotNull()
-        prods = prods.select("sample", F.col("x.label").alias("lhs"), F.when(lex, F.col("x.word")).otherwise(child("left")).alias("r1"), F.when(~lex, child("right")).alias("r2"))
-        tree = G.derivation_scores(prods, g, ["sample"]).withColumnRenamed("lp", f"{name}_tree")
-        out = out.join(string, "sample").join(bracket, "sample").join(tree, "sample")
-    return out
+        rows = [tuple(r) for r in g.select("lhs", "r1", "r2", "p").collect()]  # a grammar
+        grammars[name] = charts.Chart(rows, start), {(a, b, c): math.log(p) for a, b, c, p in rows if p > 0}
+    shared = rules.sparkSession.sparkContext.broadcast(grammars)
+    columns = [f"{name}_{kind}" for name in grammars for kind in ("string", "bracket", "tree")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple | None] = {}
+        for b in batches:
+            if len(known) > KNOWN:
+                known = {}
+            texts = b.column("tree").to_pylist()
+            new = {x: trees.parse_tree(x) for x in dict.fromkeys(texts) if x not in known}
+            words = {x: [y["word"] for y in nodes if y["word"] is not None] for x, nodes in new.items() if nodes}
+            known |= dict.fromkeys(x for x in new if len(words.get(x, ())) not in range(1, max_length + 1))
+            kept = [x for x in new if x not in known]
+            at = {w: k for k, w in enumerate(dict.fromkeys(tuple(words[x]) for x in kept))}
+            scores = [(c, logs, c.log_probabilities([list(w) for w in at])) for c, logs in shared.value.values()]
+            for x in kept:
+                own = [len(words[x])]
+                for c, logs, of in scores:
+                    bracket = c.bracketed(new[x])
+                    own += [of[at[tuple(words[x])]], None if bracket is None else bracket[0], _derivation(new[x], logs)]
+                known[x] = tuple(own)
+            take = [k for k, x in enumerate(texts) if known[x] is not None]
+            found = [known[texts[k]] for k in take]
+            values = [pa.array([f[0] for f in found], pa.int32()), *(pa.array([f[k + 1] for f in found], pa.float64()) for k in range(len(columns)))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(take, pa.int64())) for c in ("sample", "tree")), *values], names=["sample", "tree", "len", *columns])
+
+    sampled = sample_trees(rules, n, seed, start).where("tree is not null")
+    return sampled.mapInArrow(run, ", ".join(["sample long", "tree string", "len int", *(f"`{c}` double" for c in columns)]))
 
 
 def string_entropy(scored: DataFrame) -> DataFrame:

@@ -164,3 +164,22 @@ def test_equal_order_trees_are_read_once(spark, monkeypatch):
     many = spark.createDataFrame([("(S (A a) (A b))",)] * 3 + [("(S (A a))",)], "value string")
     table = lambda x: {(r["lhs"], tuple(r["rhs"])): (r["n"], r["p"]) for r in x.collect()}
     assert table(nary.rules_of(nary.productions(once), "times")) == table(nary.rules_of(nary.productions(many)))
+
+
+def test_samples_are_scored_in_one_pass(spark):
+    from spanwright.operators import charts, evaluation, sampling
+
+    rows = [("S", "A", "A", 1.0), ("A", "A", "A", 0.3), ("A", "x", None, 0.4), ("A", "y", None, 0.3)]
+    g = spark.createDataFrame(rows, "lhs string, r1 string, r2 string, p double")
+    h = spark.createDataFrame([r for r in rows if r[1] != "y"], g.schema)  # has no y
+    scored = sampling.scored_samples(g, 60, 1, 12, models={"h": h})
+    assert "Join" not in plan_of(scored) and plan_of(evaluation.sampled_divergences(scored, ["h"])).count("Range") == 1
+    for r in scored.collect():
+        assert (r["h_tree"] is None) == (r["h_string"] is None) == (r["h_bracket"] is None) == (" y)" in r["tree"])
+        assert r["target_tree"] <= r["target_bracket"] + 1e-9 <= r["target_string"] + 2e-9
+    c = charts.Chart(rows)
+    sents = [["x", "y", "x"], [], ["y"], ["x", "z"], ["x", "x"], ["y", "y", "y"], ["x", "y", "x", "x", "y"]]
+    want = [c.log_probability(w) for w in sents]
+    got = c.log_probabilities(sents)
+    assert [x is None for x in got] == [x is None for x in want]
+    assert [x for x in got if x is not None] == pytest.approx([x for x in want if x is not None])
