@@ -183,3 +183,14 @@ def test_samples_are_scored_in_one_pass(spark):
     got = c.log_probabilities(sents)
     assert [x is None for x in got] == [x is None for x in want]
     assert [x for x in got if x is not None] == pytest.approx([x for x in want if x is not None])
+
+
+@pytest.mark.parametrize("first", [0, 3, 1000])
+def test_common_words_are_numbered_where_they_stand(spark, first):
+    """Ids as those of a join of all tokens; only tokens of other words are shuffled, none where all are known."""
+    rows, df = corpus(spark)
+    v = T.vocabulary(T.word_counts(df), 3)
+    of = {r["word"]: r["id"] for r in v.collect()}
+    x = T.numbered(df, v, first)
+    assert {(r["doc_id"], r["sno"]): r["ids"] for r in x.collect()} == {(d, s): [of.get(t, 0) for t in w] for d, s, w in rows}
+    assert ("Join" in plan_of(x)) == (first < len(of))
