@@ -220,3 +220,13 @@ def test_exchange_numbers_its_bigrams_once(spark, head):
         assert "Join" not in plan_of(profiles) and "Join" not in plan_of(C._tried(pairs, at.withColumns({"to": F.lit(1), "sets": F.lit(1)}), 5, 2))
     counted, raw = C.exchange_together(b, start, 5, head=head), C.exchange_together(T.bigrams(df), start, 5, counts=counts)
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, raw.collect()))
+
+
+def test_trigrams_are_counted_over_evenly_dealt_texts(spark):
+    from spanwright.plans import corpus_queries as W
+
+    plan = plan_of(W.QUERIES["trigram_counts"](spark, "/root/testdata/sf0.001"))
+    assert "RoundRobinPartitioning" in plan
+    docs = spark.createDataFrame([(1, "a b c. a b"), (2, None), (3, ""), (1, "a b c")], "doc_id long, text string")
+    plain, dealt = (sorted(map(tuple, T.trigram_counts(T.sentences(d)).collect())) for d in (docs, T.dealt(docs)))
+    assert plain == dealt and ("a", "b", "c", 2) in dealt
