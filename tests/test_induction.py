@@ -242,6 +242,58 @@ def test_exchange_reaches_a_local_optimum(spark):
     assert clustering.exchange_together(none, start, 5).count() == len(cid)
 
 
+@pytest.mark.parametrize("head", [5, 1000])
+def test_words_outside_the_clusters_move_as_one(spark, head):
+    r = np.random.default_rng(6)
+    drawn = [[f"w{x}" for x in r.zipf(1.3, int(r.integers(1, 9))) if x < 90] or ["w1"] for _ in range(300)]
+    sents = spark.createDataFrame([(0, k, w) for k, w in enumerate(drawn)], "doc_id long, sno int, w array<string>")
+    counts = T.word_counts(sents)
+    known = {x["word"] for x in counts.where("n >= 8").collect()}
+    plain = spark.createDataFrame([(0, k, [x if x in known else clustering.UNKNOWN for x in w]) for k, w in enumerate(drawn)], sents.schema)
+    start = T.hashed_clusters(T.word_counts(plain), 4, 1)
+    assert clustering.UNKNOWN in {x["word"] for x in start.collect()} and len(known) > 5
+    rows = lambda x: sorted(map(tuple, x.select("word", "cid").collect()))
+    found = clustering.exchange_together(T.bigrams(sents), start, 4, counts=counts, head=head, unknown=True)
+    assert rows(found) == rows(clustering.exchange_together(T.bigram_counts(plain), start, 4))
+
+
+def test_kernels_are_sought_over_exchanged_clusters(spark, tmp_path, monkeypatch):
+    """No single move gains, that of all rare words together included, and the search's features count these clusters."""
+    from spanwright.plans import corpus_queries as W
+    from spanwright.plans import induction_queries as Q
+
+    r = np.random.default_rng(4)
+    word = lambda j: f"w{chr(97 + j)}" if r.random() < 0.95 else "r" + "".join(chr(97 + int(x)) for x in r.integers(0, 26, 2))
+    drawn = [[[word((5 * int(r.integers(3)) + j + int(r.integers(3))) % 15) for j in range(int(r.integers(1, 8)))] for _ in range(5)] for _ in range(160)]
+    spark.createDataFrame([(k, ". ".join(map(" ".join, d))) for k, d in enumerate(drawn)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(W, "N_CLUSTERS", 4)
+    monkeypatch.setattr(induction, "find_kernels", lambda features, *a, **k: seen.append(features) or induction.Kernels())
+    Q.find_kernels(spark, str(tmp_path))
+    b = T.bigram_counts(W._sents(spark, str(tmp_path)))
+    cid = {x["word"]: x["cid"] for x in W.exchanged(b, T.counts_of(b)).collect()}
+    n = collections.Counter(w for d in drawn for s in d for w in s)
+    assert set(cid) == {w for w in n if n[w] >= 10} | {clustering.UNKNOWN} and min(n.values()) < 10
+
+    def clusters(c):
+        return [[0, *(c[w if w in c else clustering.UNKNOWN] for w in s), 0] for d in drawn for s in d]
+
+    def worth(c):
+        t = np.zeros((4, 4))
+        for s in clusters(c):
+            np.add.at(t, (s[:-1], s[1:]), 1)
+        return clustering.objective(t)
+
+    best = worth(cid)
+    assert all(worth(cid | {w: k}) <= best + 1e-4 for w in cid for k in range(1, 4))
+    want = collections.Counter()
+    for s, c in zip((s for d in drawn for s in d), clusters(cid), strict=True):
+        for k, w in enumerate(s):
+            if n[w] >= 100:
+                want.update([(w, c[k]), (w, 5 + c[k + 2])])
+    assert {(x["word"], x["feature"]): x["value"] for x in seen[0].collect()} == want
+
+
 def test_antichain_with_its_order(spark):
     r = np.random.default_rng(8)
     for trial in range(3):
