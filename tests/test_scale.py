@@ -230,3 +230,28 @@ def test_trigrams_are_counted_over_evenly_dealt_texts(spark):
     docs = spark.createDataFrame([(1, "a b c. a b"), (2, None), (3, ""), (1, "a b c")], "doc_id long, text string")
     plain, dealt = (sorted(map(tuple, T.trigram_counts(T.sentences(d)).collect())) for d in (docs, T.dealt(docs)))
     assert plain == dealt and ("a", "b", "c", 2) in dealt
+
+
+@pytest.mark.parametrize(("chunk", "shares"), [(7, 3), (1 << 20, None)])
+def test_bigram_scores_shuffle_no_tokens(spark, chunk, shares):
+    """Chunks send their different pairs; scores are those of counts over all sentences, with a key of any type."""
+    from spanwright.operators import bigram_scores
+
+    rows, df = corpus(spark, 200)
+    rows += [(500, 0, ["été", "a", "a"]), (501, 1, ["x" * 300, "w1"])]
+    df = spark.createDataFrame([(str(d), s, w) for d, s, w in rows], "doc_id string, sno int, w array<string>").repartition(3)
+    n, m = Counter(), Counter()
+    for _, _, w in rows:
+        p = ["<s>", *w, "<s>"]
+        n.update(zip(p, p[1:]))
+        m.update(p[:-1])
+    want = {(str(d), s): sum(math.log((n[x] + 1) / (m[x[0]] + len(m))) for x in zip(["<s>", *w], [*w, "<s>"])) for d, s, w in rows}
+    got = bigram_scores.sentence_scores(df, T.word_counts(df).count() + 1, chunk, shares)
+    assert {(r["doc_id"], r["sno"]): r["lp"] for r in got.collect()} == pytest.approx(want, abs=1e-9)
+
+
+def test_bigram_model_joins_no_tokens(spark):
+    from spanwright.plans import model_queries as M
+
+    plan = plan_of(M.bigram_model(spark, "/root/testdata/sf0.001"))
+    assert "Join" not in plan and "hashpartitioning(doc_id" not in plan
