@@ -7,7 +7,6 @@ shuffled beside them is a chunk's sentences as places in that order. All of it i
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,51 +15,22 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from spanwright.operators.packed import CHUNK, SHARES, hashes, ints, names, pack, packed_names, runs, unpack
 from spanwright.operators.tokens import BOUNDARY
 
-#: Tokens of a chunk, and shares of the pairs for each split of the text: a share is counted in one task.
-CHUNK, SHARES = 1 << 21, 16
 #: What a chunk keeps beside its counts: keys and lengths of its sentences, their pairs' places, each place's first word, each word's place.
 KEYS, PLACES, FIRST, WORDS = -4, -3, -2, -1
 PARTS = pa.schema([("dest", pa.int64()), ("chunk", pa.int64()), ("p", pa.int32()), ("blob", pa.binary())])
 
 
-def _pack(x: np.ndarray | bytes | pa.Buffer) -> bytes:
-    raw = x.tobytes() if isinstance(x, np.ndarray) else bytes(x)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(x: bytes) -> bytes:
-    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
-
-
-def _ints(x: bytes, kind: type = np.int32) -> np.ndarray:
-    return np.frombuffer(_unpack(x), kind)
-
-
-def _named(words: pa.Array, counts: np.ndarray) -> bytes:
-    """Strings and their counts."""
-    n, ends = len(words), np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
-    data = words.buffers()[2]
-    return _pack(np.concatenate([[n], np.diff(ends), counts]).astype(np.int32).tobytes() + (data[int(ends[0]) : int(ends[-1])].to_pybytes() if data else b""))
-
-
-def _names(blob: bytes) -> tuple[pa.Array, np.ndarray]:
-    raw = _unpack(blob)
-    n = int(np.frombuffer(raw, np.int32, 1)[0])
-    sizes, counts = np.frombuffer(raw, np.int32, 2 * n, 4).reshape(2, n)
-    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
-    return pa.StringArray.from_buffers(n, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 + 8 * n :])), counts
-
-
 def _sent(held: list[pa.RecordBatch], chunk: int, shares: int) -> Iterator[pa.RecordBatch]:
     """A chunk's rows of PARTS."""
     t = pa.Table.from_batches(held)
     w = t.column("w").combine_chunks()
     sizes, coded = w.value_lengths().to_numpy(), w.flatten().dictionary_encode()
-    names = pa.concat_arrays([pa.array([BOUNDARY]), coded.dictionary])
-    order = pc.sort_indices(names).to_numpy()
-    rank, names = np.empty(len(order), np.int64), names.take(pa.array(order))
+    words = pa.concat_arrays([pa.array([BOUNDARY]), coded.dictionary])
+    order = pc.sort_indices(words).to_numpy()
+    rank, words = np.empty(len(order), np.int64), words.take(pa.array(order))
     rank[order] = np.arange(len(order))
     word = rank[coded.indices.to_numpy() + 1]
     ends = np.cumsum(sizes + 1)
@@ -68,14 +38,14 @@ def _sent(held: list[pa.RecordBatch], chunk: int, shares: int) -> Iterator[pa.Re
     inner = np.ones((2, ends[-1]), bool)
     inner[0, ends - sizes - 1] = inner[1, ends - 1] = False
     left[inner[0]] = right[inner[1]] = word
-    pairs, at, n = np.unique(left * len(names) + right, return_inverse=True, return_counts=True)
-    one, two = pairs // len(names), pairs % len(names)
-    alone = np.arange(len(names))
+    pairs, at, n = np.unique(left * len(words) + right, return_inverse=True, return_counts=True)
+    one, two = pairs // len(words), pairs % len(words)
+    alone = np.arange(len(words))
     # pairs and words as strings of one list; a word has no separator
-    listed = pa.concat_arrays([pc.binary_join_element_wise(names.take(pa.array(one)), names.take(pa.array(two)), "\0"), names])
-    n = np.append(n, np.bincount(left, minlength=len(names)))
+    listed = pa.concat_arrays([pc.binary_join_element_wise(words.take(pa.array(one)), words.take(pa.array(two)), "\0"), words])
+    n = np.append(n, np.bincount(left, minlength=len(words)))
     first = np.append(one, alone)
-    h = np.fromiter((zlib.crc32(x.encode()) for x in names.to_pylist()), np.uint64, len(names))
+    h = hashes(words)
     mixed = np.append(h[one] * np.uint64(0x9E3779B97F4A7C15) + (h[two] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), h * np.uint64(0x9E3779B97F4A7C15))
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     p = ((mixed >> np.uint64(32)) % np.uint64(shares)).astype(np.int32)
@@ -88,9 +58,8 @@ def _sent(held: list[pa.RecordBatch], chunk: int, shares: int) -> Iterator[pa.Re
     with pa.ipc.new_stream(sink, keys.schema) as out:
         out.write_table(keys)
     own = {KEYS: sink.getvalue(), PLACES: place[at], FIRST: np.diff(first[by], prepend=0).astype(np.int32), WORDS: place[len(pairs) :]}
-    rows = [(-1 - chunk, chunk, k, _pack(x)) for k, x in own.items()]
-    edges = np.append(np.flatnonzero(np.append(True, p[1:] != p[:-1])), len(p))
-    rows += [(int(p[i]), chunk, int(p[i]), _named(listed.slice(i, j - i), n[i:j])) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    rows = [(-1 - chunk, chunk, k, pack(x)) for k, x in own.items()]
+    rows += [(int(p[i]), chunk, int(p[i]), packed_names(listed.slice(i, j - i), n[i:j])) for i, j in runs(p)]
     for i in range(0, len(rows), 64):
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 64], strict=True), PARTS, strict=True)], schema=PARTS)
 
@@ -99,11 +68,11 @@ def _totals(t: pa.Table) -> pa.Table:
     """Counts of a share's strings over all chunks, for each chunk in its own order; what a chunk keeps passes."""
     if t.column("dest")[0].as_py() < 0:
         return t.select(["chunk", "p", "blob"])
-    got = [_names(x) for x in t.column("blob").to_pylist()]
+    got = [names(x) for x in t.column("blob").to_pylist()]
     codes = pa.concat_arrays([x for x, _ in got]).dictionary_encode().indices.to_numpy()
     total = np.bincount(codes, np.concatenate([n for _, n in got])).astype(np.int64)[codes]
     ends = np.cumsum([len(n) for _, n in got]).tolist()
-    blobs = [_pack(total[e - len(n) : e]) for (_, n), e in zip(got, ends, strict=True)]
+    blobs = [pack(total[e - len(n) : e]) for (_, n), e in zip(got, ends, strict=True)]
     return pa.table([t.column("chunk"), t.column("p"), pa.array(blobs, pa.binary())], names=["chunk", "p", "blob"])
 
 
@@ -127,11 +96,11 @@ def sentence_scores(sents: DataFrame, size: int, chunk: int = CHUNK, shares: int
     def scores(t: pa.Table) -> pa.Table:
         p, blobs = t.column("p").to_numpy(), t.column("blob")
         own = {k: blobs[int(np.flatnonzero(p == k)[0])].as_py() for k in (KEYS, PLACES, FIRST, WORDS)}
-        total = np.concatenate([_ints(blobs[int(i)].as_py(), np.int64) for i in np.argsort(p, kind="stable") if p[i] >= 0])
-        lp = np.log((total + 1) / (total[_ints(own[WORDS])][np.cumsum(_ints(own[FIRST]))] + size))
-        rows = pa.ipc.open_stream(_unpack(own[KEYS])).read_all()
+        total = np.concatenate([ints(blobs[int(i)].as_py(), np.int64) for i in np.argsort(p, kind="stable") if p[i] >= 0])
+        lp = np.log((total + 1) / (total[ints(own[WORDS])][np.cumsum(ints(own[FIRST]))] + size))
+        rows = pa.ipc.open_stream(unpack(own[KEYS])).read_all()
         sizes = rows.column("__size").to_numpy()
-        return rows.drop_columns(["__size"]).append_column("lp", pa.array(np.add.reduceat(lp[_ints(own[PLACES])], np.cumsum(sizes) - sizes)))
+        return rows.drop_columns(["__size"]).append_column("lp", pa.array(np.add.reduceat(lp[ints(own[PLACES])], np.cumsum(sizes) - sizes)))
 
     schema = ", ".join(f"`{c}` {sents.schema[c].dataType.simpleString()}" for c in keys)
     sent = sents.mapInArrow(chunks, "dest long, chunk long, p int, blob binary")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.operators import geometry, stats
+from spanwright.operators import geometry, stats, word_rows
 from spanwright.operators import grammar as G
 from spanwright.operators import tokens as T
 from spanwright.operators.lineage import cut
@@ -250,13 +250,27 @@ def vertex_clusters(rows: DataFrame, kernels: Kernels) -> DataFrame:
     return rows.select("word", best.alias("b")).where("b is not null").select("word", F.col("b.kernel").alias("kernel"))
 
 
-def unary_parameters(features: DataFrame, kernels: Kernels, expectations: DataFrame) -> DataFrame:
-    """(kernel, word, weight, xi): hull weights of every word's raw row over the anchors, and these times E(word)."""
-    n = len(kernels.shrunk[0])
-    rows = features.groupBy("word").agg(F.sum("value").alias("n"), F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m"))
-    raw = rows.select("word", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)) / F.col("n")).alias("v"))
-    table = geometry.hull_table(raw, {w: v.tolist() for w, v in zip(kernels.words, kernels.shrunk, strict=True)})
-    return table.join(expectations.select("word", "e"), "word").select(F.col("anchor").alias("kernel"), "word", "weight", (F.col("weight") * F.col("e")).alias("xi"))
+def word_weights(rows: DataFrame, kernels: Kernels) -> DataFrame:
+    """(word, n, weights): occurrences of every word of ``word_rows.marginal_rows``, and the hull weights of its raw row over the anchors."""
+    basis = np.array(kernels.shrunk)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n = b.column("at"), b.column("n")
+            x = np.zeros((b.num_rows, basis.shape[1]))
+            x[np.repeat(np.arange(b.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = n.flatten().to_numpy()
+            w = geometry.hull_weights_of(x / x.sum(1, keepdims=True), basis)
+            ends = pa.array(np.arange(b.num_rows + 1) * len(basis), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(x[:, : basis.shape[1] // 2].sum(1).astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(w.ravel()))], names=["word", "n", "weights"])
+
+    return rows.mapInArrow(run, "word string, n long, weights array<double>")
+
+
+def unary_parameters(weights: DataFrame, kernels: Kernels, n_sentences: int) -> DataFrame:
+    """(kernel, word, weight, xi): the rows of ``word_weights``, and the weights times E(word)."""
+    e = T.expectations(weights, weights.sparkSession.createDataFrame([(n_sentences,)], "total long"))
+    x = e.select("word", "e", F.posexplode("weights").alias("k", "weight"))
+    return x.select(F.get(F.array(*map(F.lit, kernels.words)), "k").alias("kernel"), "word", "weight", (F.col("weight") * F.col("e")).alias("xi"))
 
 
 def kernel_map(spark, kernels: list[str], unary: DataFrame | None = None, threshold: float = 0.9) -> DataFrame:
@@ -265,15 +279,21 @@ def kernel_map(spark, kernels: list[str], unary: DataFrame | None = None, thresh
     if unary is None:
         return F.broadcast(own)  # a row for each anchor: the corpus is not shuffled to meet them
     taken = unary.where((F.col("weight") > threshold) & (F.col("kernel") != kernels[0])).groupBy("word").agg(F.max_by("kernel", F.struct("weight", "kernel")).alias("kernel"))
-    return taken.join(own.select("word"), "word", "left_anti").unionByName(own)
+    return taken.join(F.broadcast(own.select("word")), "word", "left_anti").unionByName(own)
 
 
-def pair_features(sents: DataFrame, members: DataFrame, clusters: DataFrame, n_clusters: int) -> DataFrame:
-    """(b, c, feature, value): marginal features of neighbours that stand for anchors b and c."""
+def pair_features(sents: DataFrame, members: DataFrame, clusters: DataFrame, n_clusters: int, counts: DataFrame | None = None) -> DataFrame:
+    """(b, c, feature, value): marginal features of neighbours that stand for anchors b and c. With the words' ``counts``, the words beside them
+    are turned into clusters before they are counted."""
     p, n = T._padded(F.col("w")), F.size("w") - 1
     quads = sents.where(F.size("w") > 1).select(F.explode(F.arrays_zip(F.slice(p, 1, n).alias("l"), F.slice(p, 2, n).alias("u"), F.slice(p, 3, n).alias("v"), F.slice(p, 4, n).alias("r"))).alias("q")).select("q.*")
     of = lambda c, out: members.select(F.col("word").alias(c), F.col("kernel").alias(out))
-    counted = quads.join(of("u", "b"), "u").join(of("v", "c"), "v").groupBy("b", "c", "l", "r").agg(F.count(F.lit(1)).alias("n"))
+    met = quads.join(of("u", "b"), "u").join(of("v", "c"), "v")
+    if counts is not None:
+        side = lambda k, c: F.struct("b", "c", F.lit(k).alias("side"), F.col(c).alias("other"))
+        x = T.by_cluster(met.select(F.inline(F.array(side(0, "l"), side(1, "r")))), ["other"], clusters, counts)
+        return x.select("b", "c", (F.col("other") + F.col("side") * (n_clusters + 1)).alias("feature"), F.col("n").alias("value"))
+    counted = met.groupBy("b", "c", "l", "r").agg(F.count(F.lit(1)).alias("n"))
     left = T._cid(counted, clusters, "l", "x").select("b", "c", F.col("x").alias("feature"), "n")
     right = T._cid(counted, clusters, "r", "x").select("b", "c", (F.col("x") + n_clusters + 1).alias("feature"), "n")
     return left.unionByName(right).groupBy("b", "c", "feature").agg(F.sum("n").alias("value"))
@@ -340,13 +360,22 @@ class Learned:
         return to_pcfg(self.wcfg)
 
 
-def learn(sents: DataFrame, clusters: DataFrame, n_clusters: int, kernels: list[str] | None = None, number: int | None = None, min_count: int = 100, binary: str = "renyi", alpha: float = 5.0, threshold: float = 0.9, seed: int = 1) -> Learned:
-    """From sentences and word clusters to a grammar: anchors (unless given), rule weights, and the weighted grammar that these make."""
+#: Words that stand for anchors and go to every task, if they are no more; else the pairs of words are shuffled to meet them.
+MEMBERS = 1 << 19
+
+
+def learn(sents: DataFrame, clusters: DataFrame, n_clusters: int, kernels: list[str] | None = None, number: int | None = None, min_count: int = 100, binary: str = "renyi", alpha: float = 5.0, threshold: float = 0.9, seed: int = 1, counted: tuple[DataFrame, int] | None = None) -> Learned:
+    """From sentences and word clusters to a grammar: anchors (unless given), rule weights, and the weighted grammar that these make.
+
+    ``sents`` is read several times and not kept, as it is the largest table; ``counted`` are its ``tokens.counted``. What is kept has
+    a row for each word.
+    """
     stride = n_clusters + 1
-    sents, clusters = cut(sents), cut(clusters)
-    counts = cut(T.word_counts(sents))
-    features = cut(T.marginal_features_of(sents, clusters, counts, n_clusters))
-    n, tokens, types = sents.count(), *counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    clusters = cut(clusters)
+    counts, n = T.counted(sents) if counted is None else counted
+    rows = cut(word_rows.marginal_rows(sents, clusters, counts, n_clusters))
+    features = rows.select("word", F.inline(F.arrays_zip(F.col("at").alias("feature"), F.col("n").alias("value"))))
+    tokens, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     start = start_vector(stride)
     if kernels is None:
         often = counts.where(F.col("n") >= min_count).select("word")
@@ -354,9 +383,13 @@ def learn(sents: DataFrame, clusters: DataFrame, n_clusters: int, kernels: list[
         found = find_kernels(features.join(often, "word", "left_semi"), T.word_contexts(bigrams, often), 2 * stride, start, number, seed=seed)
     else:
         found = given_kernels(features, kernels, 2 * stride, start)
-    e = T.expectations(counts, T.sentence_count(sents))
-    unary = cut(unary_parameters(features, found, e))
-    pairs = cut(pair_features(sents, kernel_map(sents.sparkSession, found.words, unary, threshold), clusters, n_clusters))
-    two = binary_renyi(features, pairs, found.words, n, n_clusters, alpha) if binary == "renyi" else binary_hull(pairs, found, e, n)
+    unary = unary_parameters(cut(word_weights(rows, found)), found, n)
+    members = cut(kernel_map(sents.sparkSession, found.words, unary, threshold))
+    members = F.broadcast(members) if members.limit(MEMBERS + 1).count() <= MEMBERS else members
+    pairs = cut(pair_features(sents, members, clusters, n_clusters, counts))
+    if binary == "renyi":
+        two = binary_renyi(features, pairs, found.words, n, n_clusters, alpha)
+    else:
+        two = binary_hull(pairs, found, T.expectations(counts, sents.sparkSession.createDataFrame([(n,)], "total long")), n)
     rules = raw_wcfg(unary, two, found.words, 1 / (tokens * types), 1 / (tokens * len(found.words) ** 2))
     return Learned(found, rules)

@@ -130,8 +130,8 @@ def _corpus(spark, sf):
     return s, counts, W._clusters(counts), T.marginal_features(b, W._clusters(counts), W.N_CLUSTERS), b
 
 
-def _given(spark, sf):
-    return [I.START, *(r["word"] for r in W._top(spark, sf, KERNELS).collect())]
+def _given(spark, sf, counts=None):
+    return [I.START, *(r["word"] for r in W._top(spark, sf, KERNELS, counts).collect())]
 
 
 def pair_features(spark, sf):
@@ -164,8 +164,9 @@ def neural(spark, sf):
 
 
 def _learned(spark, sf):
-    s, counts, clusters, _, _ = _corpus(spark, sf)
-    return I.learn(s, clusters, W.N_CLUSTERS, kernels=_given(spark, sf))
+    s = W._sents(spark, sf)
+    counts, n = T.counted(s)
+    return I.learn(s, W._clusters(counts), W.N_CLUSTERS, kernels=_given(spark, sf, counts), counted=(counts, n))
 
 
 QUERIES = {

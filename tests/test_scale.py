@@ -255,3 +255,35 @@ def test_bigram_model_joins_no_tokens(spark):
 
     plan = plan_of(M.bigram_model(spark, "/root/testdata/sf0.001"))
     assert "Join" not in plan and "hashpartitioning(doc_id" not in plan
+
+
+@pytest.mark.parametrize("head", [0, 2, 50])
+def test_word_rows_are_counted_by_chunk(spark, head):
+    """Rows as the features of the n-gram tables, whether a neighbour is looked up or met by a shuffle, over chunks of any size."""
+    from spanwright.operators import word_rows
+
+    _, df = corpus(spark)
+    df = df.repartition(3)
+    counts, n = T.counted(df)
+    clusters = T.hashed_clusters(counts, 4, 3)
+    assert n == df.count() and sorted(map(tuple, counts.collect())) == sorted(map(tuple, T.word_counts(df).collect()))
+    want = {(r["word"], r["feature"]): r["value"] for r in T.marginal_features(T.bigram_counts(df), clusters, 4).collect()}
+    for chunk, shares in ((9, 3), (1 << 20, None)):
+        got = word_rows.marginal_rows(df, clusters, counts, 4, head, chunk, shares).collect()
+        assert len(got) == len({r["word"] for r in got}) and {(r["word"], a): n for r in got for a, n in zip(r["at"], r["n"], strict=True)} == want
+
+
+def test_learning_keeps_no_sentences_and_shuffles_no_pairs_of_words(spark, monkeypatch):
+    """What ``learn`` keeps has a row for each word at most, and words that stand for anchors go to every task."""
+    from spanwright.operators import induction as I
+
+    _, df = corpus(spark, 400)
+    counts = T.word_counts(df)
+    clusters = T.hashed_clusters(counts, 4, 3)
+    kept, real = [], I.cut
+    monkeypatch.setattr(I, "cut", lambda x: kept.append((x.columns, plan_of(x), x.count())) or real(x))
+    out = I.learn(df, clusters, 4, kernels=[I.START, "w1", "w2"])
+    assert max(n for _, _, n in kept) <= counts.count() and "w" not in {c for x, _, _ in kept for c in x}
+    pairs = [plan for columns, plan, _ in kept if columns == ["b", "c", "feature", "value"]]
+    assert len(pairs) == 1 and "SortMergeJoin" not in pairs[0]
+    assert {r["lhs"] for r in out.wcfg.select("lhs").distinct().collect()} == {"S", "NT_w1", "NT_w2"}
