@@ -341,13 +341,14 @@ def raw_wcfg(unary: DataFrame, binary: DataFrame, kernels: list[str], unary_floo
     below = k.where(F.col("k") != kernels[0])
     grid = k.select(F.col("k").alias("a")).crossJoin(below.select(F.col("k").alias("b"))).crossJoin(below.select(F.col("k").alias("c"))).join(F.broadcast(binary), ["a", "b", "c"], "left")
     two = grid.select(label(F.col("a"), kernels[0]).alias("lhs"), label(F.col("b"), kernels[0]).alias("r1"), label(F.col("c"), kernels[0]).alias("r2"), F.greatest(F.coalesce("xi", F.lit(0.0)), F.lit(binary_floor)).alias("p"))
+    two = cut(two)  # a row for each three anchors
     one = unary.select(label(F.col("kernel"), kernels[0]).alias("lhs"), F.col("word").alias("r1"), F.lit(None).cast("string").alias("r2"), F.greatest("xi", F.lit(unary_floor)).alias("p"))
     return one.unionByName(two).where("p > 0")
 
 
 def to_pcfg(rules: DataFrame) -> DataFrame:
-    """A consistent grammar of the same conditional distribution: scaled down where it diverges, then renormalised."""
-    rules = cut(rules)  # read once for each of the algebra's tables
+    """A consistent grammar of the same conditional distribution: scaled down where it diverges, then renormalised. ``rules`` are read once
+    for each of the algebra's tables, so they lie over checkpoints."""
     return G.by_partition(rules if G.is_convergent(rules) else G.scaled_if_divergent(rules))
 
 

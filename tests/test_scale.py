@@ -283,7 +283,8 @@ def test_learning_keeps_no_sentences_and_shuffles_no_pairs_of_words(spark, monke
     kept, real = [], I.cut
     monkeypatch.setattr(I, "cut", lambda x: kept.append((x.columns, plan_of(x), x.count())) or real(x))
     out = I.learn(df, clusters, 4, kernels=[I.START, "w1", "w2"])
+    rules = I.to_pcfg(out.wcfg)
     assert max(n for _, _, n in kept) <= counts.count() and "w" not in {c for x, _, _ in kept for c in x}
     pairs = [plan for columns, plan, _ in kept if columns == ["b", "c", "feature", "value"]]
     assert len(pairs) == 1 and "SortMergeJoin" not in pairs[0]
-    assert {r["lhs"] for r in out.wcfg.select("lhs").distinct().collect()} == {"S", "NT_w1", "NT_w2"}
+    assert {r["lhs"] for r in rules.select("lhs").distinct().collect()} == {"S", "NT_w1", "NT_w2"}
