@@ -282,18 +282,35 @@ def kernel_map(spark, kernels: list[str], unary: DataFrame | None = None, thresh
     return taken.join(F.broadcast(own.select("word")), "word", "left_anti").unionByName(own)
 
 
-def pair_features(sents: DataFrame, members: DataFrame, clusters: DataFrame, n_clusters: int, counts: DataFrame | None = None) -> DataFrame:
-    """(b, c, feature, value): marginal features of neighbours that stand for anchors b and c. With the words' ``counts``, the words beside them
-    are turned into clusters before they are counted."""
+def _standing(quads: DataFrame, members: DataFrame, counts: DataFrame, head: int) -> DataFrame:
+    """(l, r, b, c) of the neighbours u and v that stand for anchors b and c. For the ``head`` words of the most occurrences (a list of fixed size)
+    that is looked up where they stand, and most pairs have one that stands for none; pairs of others are shuffled to meet ``members``."""
+    few = counts.orderBy(F.desc("n"), "word").limit(head).select("word")
+    known = F.broadcast(few.join(members, "word", "left"))
+    for c, out in (("u", "b"), ("v", "c")):
+        own = known.select(F.col("word").alias(c), F.col("kernel").alias(out), F.lit(True).alias(f"__{c}"))
+        quads = quads.join(own, c, "left").where(F.col(f"__{c}").isNull() | F.col(out).isNotNull()).drop(f"__{c}")
+    if counts.limit(head + 1).count() > head:
+        for c, out in (("u", "b"), ("v", "c")):
+            # rows whose word is known are dealt by a number: they would meet in few tasks
+            key = F.when(F.col(out).isNull(), F.col(c)).otherwise(F.concat(F.lit("\0"), F.xxhash64("l", "u", "v", "r").cast("string")))
+            own = members.select(F.col("word").alias("__key"), F.col("kernel").alias("__out"))
+            quads = quads.withColumn("__key", key).join(own, "__key", "left").withColumn(out, F.coalesce(out, "__out")).drop("__key", "__out").where(F.col(out).isNotNull())
+    return quads.where("b IS NOT NULL AND c IS NOT NULL").select("l", "r", "b", "c")
+
+
+def pair_features(sents: DataFrame, members: DataFrame, clusters: DataFrame, n_clusters: int, counts: DataFrame | None = None, head: int = T.FIRST_IDS) -> DataFrame:
+    """(b, c, feature, value): marginal features of neighbours that stand for anchors b and c. With the words' ``counts``, ``members`` may be of any
+    number, and the words beside them are turned into clusters before they are counted."""
     p, n = T._padded(F.col("w")), F.size("w") - 1
     quads = sents.where(F.size("w") > 1).select(F.explode(F.arrays_zip(F.slice(p, 1, n).alias("l"), F.slice(p, 2, n).alias("u"), F.slice(p, 3, n).alias("v"), F.slice(p, 4, n).alias("r"))).alias("q")).select("q.*")
     of = lambda c, out: members.select(F.col("word").alias(c), F.col("kernel").alias(out))
-    met = quads.join(of("u", "b"), "u").join(of("v", "c"), "v")
     if counts is not None:
+        met = _standing(quads, members, counts, head)
         side = lambda k, c: F.struct("b", "c", F.lit(k).alias("side"), F.col(c).alias("other"))
         x = T.by_cluster(met.select(F.inline(F.array(side(0, "l"), side(1, "r")))), ["other"], clusters, counts)
         return x.select("b", "c", (F.col("other") + F.col("side") * (n_clusters + 1)).alias("feature"), F.col("n").alias("value"))
-    counted = met.groupBy("b", "c", "l", "r").agg(F.count(F.lit(1)).alias("n"))
+    counted = quads.join(of("u", "b"), "u").join(of("v", "c"), "v").groupBy("b", "c", "l", "r").agg(F.count(F.lit(1)).alias("n"))
     left = T._cid(counted, clusters, "l", "x").select("b", "c", F.col("x").alias("feature"), "n")
     right = T._cid(counted, clusters, "r", "x").select("b", "c", (F.col("x") + n_clusters + 1).alias("feature"), "n")
     return left.unionByName(right).groupBy("b", "c", "feature").agg(F.sum("n").alias("value"))
@@ -361,10 +378,6 @@ class Learned:
         return to_pcfg(self.wcfg)
 
 
-#: Words that stand for anchors and go to every task, if they are no more; else the pairs of words are shuffled to meet them.
-MEMBERS = 1 << 19
-
-
 def learn(sents: DataFrame, clusters: DataFrame, n_clusters: int, kernels: list[str] | None = None, number: int | None = None, min_count: int = 100, binary: str = "renyi", alpha: float = 5.0, threshold: float = 0.9, seed: int = 1, counted: tuple[DataFrame, int] | None = None) -> Learned:
     """From sentences and word clusters to a grammar: anchors (unless given), rule weights, and the weighted grammar that these make.
 
@@ -386,7 +399,6 @@ def learn(sents: DataFrame, clusters: DataFrame, n_clusters: int, kernels: list[
         found = given_kernels(features, kernels, 2 * stride, start)
     unary = unary_parameters(cut(word_weights(rows, found)), found, n)
     members = cut(kernel_map(sents.sparkSession, found.words, unary, threshold))
-    members = F.broadcast(members) if members.limit(MEMBERS + 1).count() <= MEMBERS else members
     pairs = cut(pair_features(sents, members, clusters, n_clusters, counts))
     if binary == "renyi":
         two = binary_renyi(features, pairs, found.words, n, n_clusters, alpha)

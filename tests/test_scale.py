@@ -273,6 +273,22 @@ def test_word_rows_are_counted_by_chunk(spark, head):
         assert len(got) == len({r["word"] for r in got}) and {(r["word"], a): n for r in got for a, n in zip(r["at"], r["n"], strict=True)} == want
 
 
+@pytest.mark.parametrize("head", [0, 2, 50])
+def test_pairs_of_many_members_meet_where_they_stand(spark, head):
+    """Features of pairs as those of two joins, whether a word is looked up or met by a shuffle; only pairs of rarer words are shuffled."""
+    from spanwright.operators import induction as I
+
+    _, df = corpus(spark, 300)
+    counts = T.word_counts(df).cache()
+    clusters = T.hashed_clusters(counts, 4, 3)
+    members = spark.createDataFrame([("w1", "w1"), ("w2", "w2"), ("w5", "w1"), ("w9", "w2"), ("w30", "w2")], "word string, kernel string")
+    rows = lambda x: sorted(map(tuple, x.select("b", "c", "feature", "value").collect()))
+    got = I.pair_features(df, members, clusters, 4, counts, head)
+    assert rows(got) == rows(I.pair_features(df, members, clusters, 4)) and got.count() > 10
+    met = plan_of(I._standing(spark.createDataFrame([("a", "w1", "w2", "b")], "l string, u string, v string, r string"), members, counts, head))
+    assert ("hashpartitioning(__key" in met) == (head < 50)
+
+
 def test_learning_keeps_no_sentences_and_shuffles_no_pairs_of_words(spark, monkeypatch):
     """What ``learn`` keeps has a row for each word at most, and words that stand for anchors go to every task."""
     from spanwright.operators import induction as I
