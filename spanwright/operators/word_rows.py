@@ -53,8 +53,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: str, chunk: int) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def marginal_rows(sents: DataFrame, clusters: DataFrame, counts: DataFrame, n_clusters: int, head: int = HEAD, chunk: int = CHUNK, shares: int | None = None) -> DataFrame:
-    """(word, at, n): the features that a word has, in order, and their counts: those of ``tokens.marginal_features_of``. ``sents`` is read once where
+def marginal_rows(sents: DataFrame, clusters: DataFrame, counts: DataFrame, n_clusters: int, head: int = HEAD, chunk: int = CHUNK, shares: int | None = None, unknown: int = 0) -> DataFrame:
+    """(word, at, n): the features that a word has, in order, and their counts: those of ``tokens.marginal_features_of``, words outside
+    ``clusters`` having ``unknown``. ``sents`` is read once where
     all clustered words go to every task, else twice; ``clusters`` and ``counts`` are read several times."""
     stride, width = n_clusters + 1, 2 * (n_clusters + 1)
     sents, own = sents.select("w"), clusters.select("word", "cid")
@@ -74,7 +75,7 @@ def marginal_rows(sents: DataFrame, clusters: DataFrame, counts: DataFrame, n_cl
                 continue
             words, token = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
             at = pc.fill_null(pc.index_in(words, value_set=listed), -1).to_numpy()
-            outside = np.where(pc.equal(words, BOUNDARY).to_numpy(zero_copy_only=False), 0, 0 if all_known else -1)
+            outside = np.where(pc.equal(words, BOUNDARY).to_numpy(zero_copy_only=False), 0, unknown if all_known else -1)
             cid = np.where(at >= 0, np.append(cids, 0)[at], outside)
             ends = np.cumsum(sizes)[sizes > 0]
             left, right = np.append(-1, token[:-1]), np.append(token[1:], -1)
@@ -114,5 +115,5 @@ def marginal_rows(sents: DataFrame, clusters: DataFrame, counts: DataFrame, n_cl
     parts = sents.mapInArrow(met, PARTS)
     if not all_known:
         rest = sents.mapInArrow(others, "word string, side int, other string, n long").join(own.select(F.col("word").alias("other"), "cid"), "other", "left")
-        parts = parts.unionByName(rest.select("word", (F.coalesce("cid", F.lit(0)) + F.col("side") * stride).cast("long").alias("feature"), "n").mapInArrow(dealt, PARTS))
+        parts = parts.unionByName(rest.select("word", (F.coalesce("cid", F.lit(unknown)) + F.col("side") * stride).cast("long").alias("feature"), "n").mapInArrow(dealt, PARTS))
     return parts.groupBy("p").applyInArrow(sums, "word string, at array<int>, n array<long>")

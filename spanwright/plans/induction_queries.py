@@ -16,7 +16,7 @@ from spanwright.operators import charts as C
 from spanwright.operators import grammar as G
 from spanwright.operators import induction as I
 from spanwright.operators import evaluation as V
-from spanwright.operators import clustering, gap_learner, sampling, training, trees
+from spanwright.operators import clustering, gap_learner, sampling, training, trees, word_rows
 from spanwright.operators import tokens as T
 from spanwright.operators.lineage import cut
 from spanwright.plans import corpus_queries as W
@@ -147,13 +147,15 @@ def binary_xi(spark, sf):
 
 
 def find_kernels(spark, sf):
-    b = cut(T.bigram_counts(W._sents(spark, sf)))  # every candidate's test reads the anchors' neighbours
+    s = W._sents(spark, sf)
+    b = cut(T.bigram_counts(s))  # every candidate's test reads the anchors' neighbours
     counts = cut(T.counts_of(b))
     clusters = cut(W.exchanged(b, counts))
     rare = clusters.where(F.col("word") == clustering.UNKNOWN).first()["cid"]
-    features = T.marginal_features(b, clusters, W.N_CLUSTERS, rare)
     often = counts.where(F.col("n") >= M.MIN_ROWS).select("word")
-    found = I.find_kernels(cut(features.join(often, "word", "left_semi")), T.word_contexts(b, often), 2 * (W.N_CLUSTERS + 1), I.start_vector(W.N_CLUSTERS + 1), replicates=200)
+    rows = word_rows.marginal_rows(s, clusters, counts, W.N_CLUSTERS, unknown=rare).join(often, "word", "left_semi")
+    features = cut(rows.select("word", F.inline(F.arrays_zip(F.col("at").alias("feature"), F.col("n").alias("value")))))
+    found = I.find_kernels(features, T.word_contexts(b, often), 2 * (W.N_CLUSTERS + 1), I.start_vector(W.N_CLUSTERS + 1), replicates=200)
     return spark.createDataFrame([(k, w, None if d == float("inf") else round(d, 6), found.reason) for k, (w, d) in enumerate(zip(found.words, found.distances, strict=True))], "rank int, word string, distance double, reason string")
 
 

@@ -267,9 +267,9 @@ def test_word_rows_are_counted_by_chunk(spark, head):
     counts, n = T.counted(df)
     clusters = T.hashed_clusters(counts, 4, 3)
     assert n == df.count() and sorted(map(tuple, counts.collect())) == sorted(map(tuple, T.word_counts(df).collect()))
-    want = {(r["word"], r["feature"]): r["value"] for r in T.marginal_features(T.bigram_counts(df), clusters, 4).collect()}
-    for chunk, shares in ((9, 3), (1 << 20, None)):
-        got = word_rows.marginal_rows(df, clusters, counts, 4, head, chunk, shares).collect()
+    for chunk, shares, unknown in ((9, 3, 0), (1 << 20, None, 2)):
+        want = {(r["word"], r["feature"]): r["value"] for r in T.marginal_features(T.bigram_counts(df), clusters, 4, unknown).collect()}
+        got = word_rows.marginal_rows(df, clusters, counts, 4, head, chunk, shares, unknown).collect()
         assert len(got) == len({r["word"] for r in got}) and {(r["word"], a): n for r in got for a, n in zip(r["at"], r["n"], strict=True)} == want
 
 
